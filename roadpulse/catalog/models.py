@@ -55,8 +55,7 @@ def _rates(df, digits=6):
 
 
 def rule_importance(spark, d):
-    test = history(spark, d).transform(E.stratified_split).where(F.col("is_test") == 1)
-    return E.permutation_importance(test, rule_scorer())
+    return E.permutation_importance(split_rows(spark, d)[1], rule_scorer())
 
 
 def _rounded_importance(df):

@@ -22,14 +22,11 @@ def hourly_medians(df: DataFrame, column: str, ts: str = "date_time") -> DataFra
 
 def repair_zero_temperature(df: DataFrame, ts: str = "date_time") -> DataFrame:
     """Zero readings take the median of their hour over all rows, zeros included."""
-    medians = F.broadcast(hourly_medians(df, "temp", ts))  # 24 hours at most
-    hour = F.hour(ts)
-    return (
-        df.withColumn("_h", hour)
-        .join(medians, F.col("_h") == F.col("_hour"), "left")
-        .withColumn("temp", F.when(F.col("temp") == 0, F.col("_median")).otherwise(F.col("temp")))
-        .drop("_h", "_hour", "_median")
-    )
+    hour = F.col("_hour")
+    entry = F.when(hour.isNotNull(), F.struct(hour, F.col("_median")))
+    # 24 entries at most, as a scalar subquery: no join, and the de-duplicated rows are shuffled once.
+    medians = hourly_medians(df, "temp", ts).agg(F.map_from_entries(F.collect_list(entry))).scalar()
+    return df.withColumn("temp", F.when(F.col("temp") == 0, medians[F.hour(ts)]).otherwise(F.col("temp")))
 
 
 def cap(df: DataFrame, column: str = "rain_1h", upper: float = V.RAIN_CAP) -> DataFrame:

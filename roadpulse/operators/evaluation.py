@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from roadpulse import fixed_values as V
 from roadpulse.functions import columns as C
-from roadpulse.operators.ranking import seeded_hash
+from roadpulse.operators.ranking import seeded_hash, seeded_sample
+from roadpulse.session import shared_dir
 
 N_CLASSES = len(V.CONGESTION_LABELS)
 
@@ -182,9 +183,9 @@ def permutation_importance(
     order for the receivers and, per (feature, repeat), in seeded hash order for the donors. One
     equi-join gives every row its donor value and one scoring pass covers all features and repeats.
     """
-    from roadpulse.operators.ranking import seeded_sample
-
-    sample = seeded_sample(test.select(key, label, *features), rows, seed, key)
+    shared_dir(test.sparkSession)
+    # Drawn once and cut off from its history: at most `rows` rows feed everything below.
+    sample = seeded_sample(test.select(key, label, *features), rows, seed, key).checkpoint()
     n_rep = F.array(*[F.lit(r) for r in range(repeats)])
     own = sample.withColumn("_pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)))
     long = (
@@ -207,8 +208,9 @@ def permutation_importance(
     scored = scorer(swapped.select(key, label, *features, "feature", "repeat").unionByName(base_row))
     conf = confusion_matrix(scored, "feature", "repeat", actual=label, predicted="pred_code")
     f1 = weighted_f1(class_report(conf, "feature", "repeat"), "feature", "repeat")
-    base = f1.where(F.col("feature") == "").agg(F.max("f1_weighted")).scalar()
+    every = Window.partitionBy(F.lit(0))  # one row per (feature, repeat)
+    base = F.max(F.when(F.col("feature") == "", F.col("f1_weighted"))).over(every)
     return (
-        f1.where(F.col("feature") != "").withColumn("_drop", base - F.col("f1_weighted"))
+        f1.withColumn("_drop", base - F.col("f1_weighted")).where(F.col("feature") != "")
         .groupBy("feature").agg(F.avg("_drop").alias("importance"), F.stddev_pop("_drop").alias("std"))
     )

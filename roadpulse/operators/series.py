@@ -42,13 +42,17 @@ def _range_blocks(df: DataFrame, keys, ts: str, tie: str, rows: int, max_rows: i
 def with_blocks(
     df: DataFrame, keys=(), ts: str = "date_time", tie: str = "obs_id",
     span: str = "month", max_block_rows: int = MAX_BLOCK_ROWS, strategy: str = "auto",
+    size_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds `_series` and an order-keeping `_block`. `auto` counts rows per span first."""
+    """Adds `_series` and an order-keeping `_block`. `auto` counts rows per span first, on `size_from`
+    where given: any frame with at least these rows, such as the table before cleaning, whose count
+    reads two columns and skips the cleaning shuffles."""
     blocked = _calendar_blocks(df, keys, ts, span)
     if strategy == "calendar":
         return blocked
+    measured = blocked if size_from is None else _calendar_blocks(size_from, keys, ts, span)
     size = (
-        blocked.groupBy("_series", "_block").count()
+        measured.groupBy("_series", "_block").count()
         .agg(F.max("count").alias("hottest"), F.sum("count").alias("total")).first()
     )
     if strategy == "range" or (size.hottest or 0) > max_block_rows:

@@ -19,6 +19,7 @@ from roadpulse.sources.artifacts import write_importance, write_metric_tables, w
 
 def prepared_history(raw: DataFrame, keys=(), tie: str = "obs_id", **series) -> DataFrame:
     """Raw observations to labelled feature rows: clean, engineer, label, drop unlabelled."""
+    series.setdefault("size_from", raw)
     return raw.transform(clean).transform(engineer, keys=keys, tie=tie, **series).transform(
         label_congestion
     ).transform(drop_unlabelled)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roadpulse.functions import columns as C
 from roadpulse.operators.aggregates import LAGS
 from roadpulse.operators.corridor import at_or_above, coded_segments
-from roadpulse.operators.explain import explain
+from roadpulse.operators.explain import contributing_factors, narrative
 from roadpulse.operators.features import default_lags
 from roadpulse.operators.scoring import RISK_DEFAULTS, Scorer, score_conditions, trend
 
@@ -40,18 +40,21 @@ def live_report(
     timed = conditions.withColumns({
         "hour": F.hour(t), "day_of_week": F.weekday(t), "month": F.month(t), "as_of": F.to_date(t),
     })
-    scored = score_conditions(_slots(timed, hourly_lags), scorer).transform(explain)
+    scored = score_conditions(_slots(timed, hourly_lags), scorer)
     slot = F.col("_slot")
-    one = F.struct(
-        F.col("label"), F.col("pred_code").alias("code"), F.col("confidence"), F.col("narrative"), F.col("hour")
+    factors = contributing_factors()
+    now = F.struct(
+        F.col("label"), F.col("pred_code").alias("code"), F.col("confidence"), F.col("hour"),
+        factors.alias("factors"), narrative(F.col("label"), factors).alias("narrative"),
     )
+    following = F.struct(F.col("label"), F.col("pred_code").alias("code"), F.col("confidence"), F.col("hour"))
     hourly = F.struct(
         F.col("hour"), F.col("label"), F.col("pred_code").alias("code"), F.col("confidence"),
         C.risk_score(F.col("pred_code")).alias("risk_score"),
     )
     nested = scored.groupBy("scenario_id", "corridor_id", "date_time").agg(
-        F.max(F.when(slot == NOW, one)).alias("current"),
-        F.max(F.when(slot == NEXT, one)).alias("next_hour"),
+        F.max(F.when(slot == NOW, now)).alias("current"),
+        F.max(F.when(slot == NEXT, following)).alias("next_hour"),
         F.array_sort(F.collect_list(F.when(slot >= 0, hourly))).alias("risk_forecast"),
     ).withColumn("base_code", F.col("current.code"))
     seg = F.struct("ordinal", "name", "factor", "segment_label", "segment_code", "color_hex", "is_bottleneck")
