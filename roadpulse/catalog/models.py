@@ -12,7 +12,7 @@ from roadpulse.functions import columns as C
 from roadpulse.operators import evaluation as E
 from roadpulse.operators import learning as L
 from roadpulse.operators.scoring import rule_scorer, with_prediction
-from roadpulse.plans.batch import train_job, training_rows
+from roadpulse.plans.batch import train_job, write_split
 from roadpulse.session import scratch_path
 from roadpulse.sources import artifacts as R
 from roadpulse.sources import bindings as B
@@ -87,11 +87,7 @@ def _metric_tables(spark, d):
 
 
 def split_rows(spark, d):
-    """Feature rows written once, so every pass of a fit reads the same table."""
-    path = scratch_path(spark, "feature-rows")
-    training_rows(history(spark, d)).write.parquet(path)
-    parts = spark.read.parquet(path).transform(E.stratified_split)
-    return [parts.where(F.col("is_test") == i).drop("is_test") for i in (0, 1)]
+    return write_split(B.observations(spark, d), scratch_path(spark, "feature-rows"))
 
 
 def _fit(name):

@@ -20,6 +20,11 @@ def lookup(pairs: dict, key: Column, default=None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
+def nth(values, index: Column) -> Column:
+    """The value at a 0-based index of a fixed list, null outside it."""
+    return F.get(F.array(*[F.lit(v) for v in values]), index)
+
+
 def flag(condition: Column) -> Column:
     return condition.cast("int")
 
@@ -43,7 +48,7 @@ def nearest_code(volume: Column, bins=V.CONGESTION_BINS) -> Column:
 
 
 def level_label(code: Column, labels=V.CONGESTION_LABELS) -> Column:
-    return lookup(dict(enumerate(labels)), code)
+    return nth(labels, code)
 
 
 def level_code(label: Column, default: int | None = None) -> Column:
@@ -51,7 +56,9 @@ def level_code(label: Column, default: int | None = None) -> Column:
 
 
 def risk_score(code: Column) -> Column:
-    return F.round(code / F.lit(3.0) * 100, 1)
+    """Code over the highest code, in percent; a lookup, as there are four codes."""
+    top = len(V.CONGESTION_LABELS) - 1
+    return nth([round(c / top * 100, 1) for c in range(top + 1)], code)
 
 
 def segment_code(base_code: Column, factor: Column) -> Column:
@@ -91,15 +98,15 @@ def cycle_columns(hour: Column, month: Column) -> dict[str, Column]:
 
 
 def day_short(dow: Column) -> Column:
-    return lookup(dict(enumerate(V.DAYS_SHORT)), dow)
+    return nth(V.DAYS_SHORT, dow)
 
 
 def day_long(dow: Column) -> Column:
-    return lookup(dict(enumerate(V.DAYS_LONG)), dow)
+    return nth(V.DAYS_LONG, dow)
 
 
 def month_short(month: Column) -> Column:
-    return lookup(dict(enumerate(V.MONTHS_SHORT, start=1)), month)
+    return nth(V.MONTHS_SHORT, month - 1)
 
 
 def clock(hour: Column) -> Column:

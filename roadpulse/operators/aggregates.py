@@ -354,7 +354,7 @@ def severity_profile(df: DataFrame) -> DataFrame:
         F.array(*[F.avg(F.when(level == i, F.col(VOLUME))) for i in range(last + 1)]).alias("means")
     )
     return means.select(F.posexplode("means").alias("severity", "avg_volume")).select(
-        "severity", C.lookup(dict(enumerate(V.SEVERITY_LABELS)), F.col("severity")).alias("severity_label"), "avg_volume"
+        "severity", C.nth(V.SEVERITY_LABELS, F.col("severity")).alias("severity_label"), "avg_volume"
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadpulse import fixed_values as V
 from roadpulse.functions import columns as C
-from roadpulse.operators.scoring import Scorer, hour_list, score_conditions
+from roadpulse.operators.scoring import Scorer, hour_bits, hour_texts, score_conditions, worst_hour
 from roadpulse.schema import SEGMENT
 
 N_CLASSES = len(V.CONGESTION_LABELS)
@@ -167,9 +167,14 @@ def segment_history(requests: DataFrame, segments: DataFrame, scorer: Scorer) ->
 
 def segment_history_summary(history: DataFrame) -> DataFrame:
     code, hour = F.col("code"), F.col("hour")
-    top = F.max(F.struct(code.alias("c"), (-hour).alias("h")))
-    return history.groupBy("scenario_id", "segment_name", "segment_factor").agg(
-        C.clock(-top["h"]).alias("peak_hour"),
-        C.level_label(top["c"]).alias("peak_label"),
-        hour_list(code == 0).alias("safe_hours"),
-    ).withColumn("is_bottleneck", F.col("segment_factor") > 1.0)
+    bits = history.groupBy("scenario_id", "segment_name", "segment_factor").agg(
+        worst_hour(code, hour).alias("_worst"), hour_bits(code == 0).alias("_safe")
+    )
+    worst = F.col("_worst")
+    return bits.select(
+        "scenario_id", "segment_name", "segment_factor",
+        C.clock(23 - worst % 24).alias("peak_hour"),
+        C.level_label(F.floor(worst / 24).cast("int")).alias("peak_label"),
+        hour_texts(F.col("_safe")).alias("safe_hours"),
+        (F.col("segment_factor") > 1.0).alias("is_bottleneck"),
+    )

@@ -39,11 +39,13 @@ def split_cuts(df: DataFrame, share: float, seed: int, label: str, key: str) ->
 
 
 def stratified_split(
-    df: DataFrame, share: float = 0.15, seed: int = 42, label: str = "congestion_code", key: str = "obs_id"
+    df: DataFrame, share: float = 0.15, seed: int = 42, label: str = "congestion_code", key: str = "obs_id",
+    population: DataFrame | None = None,
 ) -> DataFrame:
     """Adds `is_test`: exactly ceil(share x n) rows of every class, chosen by seeded hash order.
-    The rows themselves are only compared with a one-row-per-class table; they are not shuffled."""
-    cuts = split_cuts(df, share, seed, label, key)
+    The rows themselves are only compared with a one-row-per-class table; they are not shuffled.
+    `population`, if given, has the same (key, label) rows and is cheaper to read than `df`."""
+    cuts = split_cuts(df if population is None else population, share, seed, label, key)
     here = F.struct(seeded_hash(seed, key).alias("_hash"), F.col(key).alias("_key"))
     return (
         df.join(F.broadcast(cuts), F.col(label) == F.col("_label"), "left")

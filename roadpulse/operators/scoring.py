@@ -24,6 +24,7 @@ def rule_scorer(column: str = "traffic_lag_1h", bins=V.CONGESTION_BINS) -> Score
             "probabilities": F.lit(None).cast("array<double>"),
         })
 
+    score.has_probabilities = False
     return score
 
 
@@ -93,20 +94,36 @@ def risk_by_hour(conditions: DataFrame, hourly_lags: DataFrame, scorer: Scorer)
     return scored.withColumn("risk_score", C.risk_score(F.col("pred_code")))
 
 
-def hour_list(condition: Column) -> Column:
-    """Aggregate: the matching hours as clock texts in order."""
-    return F.transform(F.array_sort(F.collect_list(F.when(condition, F.col("hour")))), C.clock)
+def hour_bits(condition: Column) -> Column:
+    """Aggregate: the matching hours as a bit set. A primitive buffer keeps the aggregation hashed,
+    where lists or structs would make it sort."""
+    return F.bit_or(F.when(condition, F.call_function("shiftleft", F.lit(1), F.col("hour"))).otherwise(0))
+
+
+def hour_texts(bits: Column) -> Column:
+    """The hours of a bit set as clock texts in order."""
+    hours = F.filter(F.sequence(F.lit(0), F.lit(23)), lambda h: F.getbit(bits, h) == 1)
+    return F.transform(hours, C.clock)
+
+
+def worst_hour(code: Column, hour: Column) -> Column:
+    """Aggregate: code and hour of the highest code, the first hour on ties, in one number."""
+    return F.max(code * 24 + (23 - hour))
 
 
 def risk_summary(risk: DataFrame, key: str = "scenario_id") -> DataFrame:
     """Peak hour (the first on ties), mean risk, severe and high hours. The 24 rows of a scenario
     leave the explode together, so they combine before the shuffle."""
     code, hour = F.col("pred_code"), F.col("hour")
-    return risk.groupBy(key).agg(
-        C.clock(-F.max(F.struct(code.alias("c"), (-hour).alias("h")))["h"]).alias("peak_hour"),
+    bits = risk.groupBy(key).agg(
+        worst_hour(code, hour).alias("_worst"),
         F.round(F.sum("risk_score") / F.count("risk_score"), 1).alias("avg_risk"),
-        hour_list(code == 3).alias("severe_hours"),
-        hour_list(code == 2).alias("high_hours"),
+        hour_bits(code == 3).alias("_severe"),
+        hour_bits(code == 2).alias("_high"),
+    )
+    return bits.select(
+        key, C.clock(23 - F.col("_worst") % 24).alias("peak_hour"), "avg_risk",
+        hour_texts(F.col("_severe")).alias("severe_hours"), hour_texts(F.col("_high")).alias("high_hours"),
     )
 
 
@@ -121,11 +138,13 @@ def next_hour_outlook(conditions: DataFrame, scorer: Scorer) -> DataFrame:
     scored = score_conditions(both, scorer)
     pick = lambda slot, c: F.max(F.when(F.col("_slot") == slot, F.col(c)))
     out = scored.groupBy("scenario_id").agg(
-        pick(0, "pred_code").alias("code"), pick(0, "label").alias("label"),
-        pick(1, "hour").alias("next_hour"), pick(1, "pred_code").alias("next_code"),
-        pick(1, "label").alias("next_label"), pick(1, "confidence").alias("next_confidence"),
+        pick(0, "pred_code").alias("code"), pick(1, "hour").alias("next_hour"),
+        pick(1, "pred_code").alias("next_code"), pick(1, "confidence").alias("next_confidence"),
     )
-    return out.withColumn("trend", trend(F.col("code"), F.col("next_code")))
+    code, following = F.col("code"), F.col("next_code")
+    return out.withColumns({
+        "label": C.level_label(code), "next_label": C.level_label(following), "trend": trend(code, following)
+    })
 
 
 def trend(code: Column, following: Column) -> Column:

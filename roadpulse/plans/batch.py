@@ -44,20 +44,23 @@ def training_rows(history: DataFrame, key: str = "obs_id") -> DataFrame:
     return history.select(key, "congestion_code", *V.FEATURES)
 
 
+def write_split(raw: DataFrame, path: str, keys=(), share: float = 0.15, seed: int = 42) -> list[DataFrame]:
+    """Feature rows written once, by part, and read back as (train, test): the fits and the evaluation
+    start from a table, and lost executors re-read files. The split ranks on calendar rows, so
+    the lag features are computed in a single pass."""
+    rows = training_rows(prepared_history(raw, keys=keys))
+    rows = stratified_split(rows, share, seed, population=labelled_calendar(raw))
+    rows.write.mode("overwrite").partitionBy("is_test").parquet(path)
+    table = raw.sparkSession.read.parquet(path)
+    return [table.where(F.col("is_test") == i).drop("is_test") for i in (0, 1)]
+
+
 def train_job(
     raw: DataFrame, out: str, keys=(), settings: dict[str, dict] | None = None, models=None,
     share: float = 0.15, seed: int = 42, sample: int = 5000, repeats: int = 5,
 ):
-    """Prepare, split, fit and compare, rank features, write artifacts. Returns (best name, summary, importance).
-
-    The feature rows are written once and read back, so the fits, the split and the evaluation start
-    from a table instead of repeating the preparation, and lost executors re-read a file.
-    """
-    spark = raw.sparkSession
-    table = f"{out}/feature_rows"
-    training_rows(prepared_history(raw, keys=keys)).write.mode("overwrite").parquet(table)
-    parts = stratified_split(spark.read.parquet(table), share, seed)
-    train, test = (parts.where(F.col("is_test") == i).drop("is_test") for i in (0, 1))
+    """Prepare, split, fit and compare, rank features, write artifacts. Returns (best name, summary, importance)."""
+    train, test = write_split(raw, f"{out}/feature_rows", keys, share, seed)
     fitted, summary, scored = train_and_compare(train, test, settings, models)
     write_metrics(summary, f"{out}/model_results")
     confusion = confusion_matrix(scored, "model")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.functions import columns as C
 from roadpulse.operators.aggregates import LAGS
 from roadpulse.operators.corridor import at_or_above, coded_segments
 from roadpulse.operators.explain import contributing_factors, narrative
-from roadpulse.operators.features import default_lags
+from roadpulse.operators.features import condition_features, default_lags
 from roadpulse.operators.scoring import RISK_DEFAULTS, Scorer, score_conditions, trend
 
 NOW, NEXT = -2, -1
@@ -31,38 +31,63 @@ def _slots(conditions: DataFrame, hourly_lags: DataFrame) -> DataFrame:
     })
 
 
+def _predictions(conditions: DataFrame, hourly_lags: DataFrame, scorer: Scorer) -> DataFrame:
+    """The 26 outcomes beside each condition (`scenario_id` is unique). All slots are scored in one
+    pass; the aggregation has numeric keys and buffers only, so it hashes and combines before the
+    shuffle, and the wide condition columns meet it once per scenario instead of 26 times."""
+    scored = score_conditions(_slots(conditions, hourly_lags), scorer)
+    slot = F.col("_slot")
+    sure = getattr(scorer, "has_probabilities", True)
+    picks = [
+        F.max(F.when(slot == i, F.col(c))).alias(f"{c}_{i}")
+        for i in range(NOW, 24) for c in (("pred_code", "confidence") if sure else ("pred_code",))
+    ]
+    wide = conditions.join(scored.groupBy("scenario_id").agg(*picks), "scenario_id")
+
+    def outcome(hour, code, confidence) -> Column:
+        return F.struct(
+            hour.alias("hour"), C.level_label(code).alias("label"), code.alias("code"),
+            confidence.alias("confidence"), C.risk_score(code).alias("risk_score"),
+        )
+
+    unknown = F.lit(None).cast("double")
+    conf = lambda i: F.col(f"confidence_{i}") if sure else unknown
+    one = lambda i, hour: outcome(hour, F.col(f"pred_code_{i}"), conf(i))
+    # A lambda over the 24 values keeps the generated code small enough to be compiled.
+    each = F.array(*[F.struct(F.col(f"pred_code_{i}").alias("c"), conf(i).alias("p")) for i in range(24)])
+    hour = F.col("hour")
+    return wide.select(
+        *conditions.columns, F.col(f"pred_code_{NOW}").alias("base_code"),
+        one(NOW, hour).alias("_now"),
+        one(NEXT, F.pmod(hour + 1, F.lit(24))).alias("next_hour"),
+        F.transform(each, lambda x, i: outcome(i, x["c"], x["p"])).alias("risk_forecast"),
+    )
+
+
 def live_report(
     conditions: DataFrame, hourly_lags: DataFrame, segments: DataFrame, scorer: Scorer, level: str = "High"
 ) -> DataFrame:
-    """One nested row per condition. All 26 predictions of a condition are scored in one pass and
-    re-nested by one aggregation; corridor state and alerts are looked up per (corridor, base code)."""
+    """One nested row per condition: current prediction with its explanation, next hour, 24-hour
+    risk, corridor and alerts. Corridor state and alerts are looked up per (corridor, base code)."""
     t = F.col("date_time")
     timed = conditions.withColumns({
         "hour": F.hour(t), "day_of_week": F.weekday(t), "month": F.month(t), "as_of": F.to_date(t),
     })
-    scored = score_conditions(_slots(timed, hourly_lags), scorer)
-    slot = F.col("_slot")
-    factors = contributing_factors()
-    now = F.struct(
-        F.col("label"), F.col("pred_code").alias("code"), F.col("confidence"), F.col("hour"),
-        factors.alias("factors"), narrative(F.col("label"), factors).alias("narrative"),
-    )
-    following = F.struct(F.col("label"), F.col("pred_code").alias("code"), F.col("confidence"), F.col("hour"))
-    hourly = F.struct(
-        F.col("hour"), F.col("label"), F.col("pred_code").alias("code"), F.col("confidence"),
-        C.risk_score(F.col("pred_code")).alias("risk_score"),
+    told = (
+        _predictions(timed, hourly_lags, scorer)
+        .transform(condition_features)
+        .withColumn("_factors", contributing_factors())
+        .withColumn("current", F.struct(
+            "_now.*", F.col("_factors").alias("factors"),
+            narrative(F.col("_now.label"), F.col("_factors")).alias("narrative"),
+        ))
     )
-    nested = scored.groupBy("scenario_id", "corridor_id", "date_time").agg(
-        F.max(F.when(slot == NOW, now)).alias("current"),
-        F.max(F.when(slot == NEXT, following)).alias("next_hour"),
-        F.array_sort(F.collect_list(F.when(slot >= 0, hourly))).alias("risk_forecast"),
-    ).withColumn("base_code", F.col("current.code"))
     seg = F.struct("ordinal", "name", "factor", "segment_label", "segment_code", "color_hex", "is_bottleneck")
     state = coded_segments(segments).groupBy("corridor_id", "base_code").agg(
         F.array_sort(F.collect_list(seg)).alias("corridor"),
         F.array_sort(F.collect_list(F.when(at_or_above(level), seg))).alias("_hits"),
     )
-    return nested.join(state, ["corridor_id", "base_code"], "left").select(
+    return told.join(state, ["corridor_id", "base_code"], "left").select(
         "scenario_id",
         F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
         F.date_format(t, "HH:mm").alias("local_time"),
