@@ -58,7 +58,7 @@ MEANS = ("traffic_rolling_3h", "traffic_rolling_6h")
 def _csv_round_trip(spark, d):
     path = scratch_path(spark, "observations")
     O.write_observations_csv(raw(spark, d).select("obs_id", *O.OBSERVATION.names), path)
-    return O.read_observations(spark, path, extra="obs_id long", time_format="yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return O.read_observations(spark, path, extra="obs_id long")
 
 
 def _table_round_trip(spark, d):

@@ -145,7 +145,6 @@ def _train_job(spark, d):
     out = scratch_path(spark, "training")
     best, _, importance = train_job(
         B.observations(spark, d), out, settings=SMALL, models={k: L.MODELS[k] for k in ("RandomForest", "RandomisedForest")},
-        sample=1000, repeats=2,
     )
     return R.read_importance(spark, f"{out}/feature_importance").withColumn("best_model", F.lit(best))
 
@@ -179,7 +178,7 @@ QUERIES = {
     "m16_top_features": lambda s, d: rule_importance(s, d).transform(E.top_features, 10).select(
         "feature", F.round("importance", 6).alias("importance")),
     "m17_per_class_long": lambda s, d: report(s, d).transform(E.per_class_long).withColumn("value", F.round("value", 6)),
-    "m17_six_axes": lambda s, d: E.six_axes(summary(s, d), report(s, d)).withColumns(
+    "m17_six_axes": lambda s, d: confusion(s, d).transform(E.six_axes).withColumns(
         {f"{n.lower()}_f1": F.round(f"{n.lower()}_f1", 6) for n in V.CONGESTION_LABELS}),
     "m18_persistence": lambda s, d: with_prediction(history(s, d), rule_scorer()).select(
         "obs_id", "congestion_code", "pred_code", "label"),

@@ -113,6 +113,21 @@ def clock(hour: Column) -> Column:
     return F.format_string("%02d:00", hour)
 
 
+def iso_text(t: Column) -> Column:
+    """ISO text with microseconds, from the fields of the timestamp: no detour through a time zone."""
+    seconds = F.lpad(F.extract(F.lit("SECOND"), t).cast("string"), 9, "0")
+    return F.format_string("%sT%02d:%02d:%s", F.to_date(t).cast("string"), F.hour(t), F.minute(t), seconds)
+
+
+def time_texts(t: Column) -> dict[str, Column]:
+    return {
+        "timestamp": iso_text(t),
+        "local_time": F.format_string("%02d:%02d", F.hour(t), F.minute(t)),
+        "day_name": day_long(F.weekday(t)),
+        "date": F.to_date(t).cast("string"),
+    }
+
+
 # --- weather ----------------------------------------------------------------------------
 
 def rain_level(rain: Column, edge: str = "train") -> Column:
@@ -142,10 +157,6 @@ def thousands(x: Column) -> Column:
     return F.format_number(x.cast("long"), 0)
 
 
-def one_decimal(x: Column) -> Column:
-    return F.format_string("%.1f", x)
-
-
 def percent_over(x: Column, base: Column) -> Column:
     """Excess of x over base in percent, the divisor floored at 1."""
     return F.round((x - base) / F.greatest(base, F.lit(1.0)) * 100, 1)

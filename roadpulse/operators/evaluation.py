@@ -88,8 +88,8 @@ def _ratio(x: Column, y: Column) -> Column:
     return F.when(y > 0, x / y).otherwise(F.lit(0.0))
 
 
-def class_report(confusion: DataFrame, *by: str) -> DataFrame:
-    """Precision, recall, F1 and support per class from the marginals; zero on zero division."""
+def _report_rows() -> list[Column]:
+    """Aggregates over confusion cells: one struct per class."""
     n, a, p = F.col("n"), F.col("actual"), F.col("predicted")
     rows = []
     for i, name in enumerate(V.CONGESTION_LABELS):
@@ -101,7 +101,12 @@ def class_report(confusion: DataFrame, *by: str) -> DataFrame:
             F.lit(i).alias("code"), F.lit(name).alias("class"), pr.alias("precision"), rc.alias("recall"),
             _ratio(2 * pr * rc, pr + rc).alias("f1"), support.alias("support"),
         ))
-    return confusion.groupBy(*by).agg(F.array(*rows).alias("c")).select(*by, F.inline("c"))
+    return rows
+
+
+def class_report(confusion: DataFrame, *by: str) -> DataFrame:
+    """Precision, recall, F1 and support per class from the marginals; zero on zero division."""
+    return confusion.groupBy(*by).agg(F.array(*_report_rows()).alias("c")).select(*by, F.inline("c"))
 
 
 def report_averages(report: DataFrame, *by: str) -> DataFrame:
@@ -124,16 +129,27 @@ def weighted_f1(report: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def summary_metrics(pred: DataFrame, *by: str) -> DataFrame:
+def _summary_columns(confusion: DataFrame, *by: str) -> DataFrame:
+    """One row per group: accuracy, weighted F1 and the class report as an array, in one aggregation."""
+    n, diagonal = F.col("n"), F.col("actual") == F.col("predicted")
+    total = lambda f: F.aggregate(F.transform("_c", f), F.lit(0.0), lambda a, x: a + x)
+    grouped = confusion.groupBy(*by).agg(
+        (F.sum(F.when(diagonal, n).otherwise(0)) / F.sum("n")).alias("accuracy"), F.array(*_report_rows()).alias("_c")
+    )
+    return grouped.withColumn(
+        "f1_weighted", _ratio(total(lambda c: c["f1"] * c["support"]), total(lambda c: c["support"].cast("double")))
+    )
+
+
+def summary_from_confusion(confusion: DataFrame, *by: str) -> DataFrame:
     """Accuracy and weighted F1 per group, rounded to four decimals."""
-    conf = confusion_matrix(pred, *by)
-    n = F.col("n")
-    acc = conf.groupBy(*by).agg(
-        (F.sum(F.when(F.col("actual") == F.col("predicted"), n).otherwise(0)) / F.sum("n")).alias("accuracy")
+    return _summary_columns(confusion, *by).select(
+        *by, F.round("accuracy", 4).alias("accuracy"), F.round("f1_weighted", 4).alias("f1_weighted")
     )
-    f1 = weighted_f1(class_report(conf, *by), *by)
-    both = acc.join(f1, list(by)) if by else acc.withColumn("_o", F.lit(1)).join(f1.withColumn("_o", F.lit(1)), "_o")
-    return both.select(*by, F.round("accuracy", 4).alias("accuracy"), F.round("f1_weighted", 4).alias("f1_weighted"))
+
+
+def summary_metrics(pred: DataFrame, *by: str) -> DataFrame:
+    return summary_from_confusion(confusion_matrix(pred, *by), *by)
 
 
 # --- model tables -----------------------------------------------------------------------
@@ -164,12 +180,11 @@ def per_class_long(report: DataFrame) -> DataFrame:
     ).unpivot(["model", "class"], ["precision", "recall", "f1", "support"], "metric", "value")
 
 
-def six_axes(metrics: DataFrame, report: DataFrame) -> DataFrame:
+def six_axes(confusion: DataFrame) -> DataFrame:
     """Accuracy, weighted F1 and the F1 of each class, one row per model."""
-    f1 = report.groupBy("model").pivot("class", list(V.CONGESTION_LABELS)).agg(F.first("f1"))
-    return metrics.join(f1, "model").select(
-        "model", F.col("accuracy").alias("accuracy"), F.col("f1_weighted").alias("weighted_f1"),
-        *[F.coalesce(n, F.lit(0.0)).alias(f"{n.lower()}_f1") for n in V.CONGESTION_LABELS],
+    return _summary_columns(confusion, "model").select(
+        "model", F.round("accuracy", 4).alias("accuracy"), F.round("f1_weighted", 4).alias("weighted_f1"),
+        *[F.col("_c")[i]["f1"].alias(f"{n.lower()}_f1") for i, n in enumerate(V.CONGESTION_LABELS)],
     )
 
 

@@ -65,12 +65,7 @@ def score_now(conditions: DataFrame, scorer: Scorer, at: str = "date_time") -> D
     timed = conditions.withColumns({
         "hour": F.hour(t), "day_of_week": F.weekday(t), "month": F.month(t), "as_of": F.to_date(t),
     })
-    return score_conditions(timed, scorer).withColumns({
-        "timestamp": F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
-        "local_time": F.date_format(t, "HH:mm"),
-        "day_name": C.day_long(F.weekday(t)),
-        "date": F.date_format(t, "yyyy-MM-dd"),
-    })
+    return score_conditions(timed, scorer).withColumns(C.time_texts(t))
 
 
 # --- 24-hour risk -----------------------------------------------------------------------

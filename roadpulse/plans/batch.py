@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roadpulse import fixed_values as V
 from roadpulse.operators.cleaning import clean, drop_exact_duplicates, drop_unlabelled, fill_holiday
 from roadpulse.operators.evaluation import (
-    class_report, confusion_matrix, permutation_importance, report_averages, stratified_split,
+    class_report, permutation_importance, report_averages, stratified_split,
 )
 from roadpulse.operators.features import (
     calendar_features, engineer, holiday_feature, label_congestion, row_features, rush_features,
@@ -61,9 +61,8 @@ def train_job(
 ):
     """Prepare, split, fit and compare, rank features, write artifacts. Returns (best name, summary, importance)."""
     train, test = write_split(raw, f"{out}/feature_rows", keys, share, seed)
-    fitted, summary, scored = train_and_compare(train, test, settings, models)
+    fitted, summary, confusion = train_and_compare(train, test, settings, models)
     write_metrics(summary, f"{out}/model_results")
-    confusion = confusion_matrix(scored, "model")
     report = class_report(confusion, "model")
     full = report.drop("code").unionByName(report_averages(report, "model"))
     write_metric_tables(f"{out}/model_comparison", summary=summary, confusion=confusion, report=full)

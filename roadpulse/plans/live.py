@@ -89,10 +89,7 @@ def live_report(
     )
     return told.join(state, ["corridor_id", "base_code"], "left").select(
         "scenario_id",
-        F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
-        F.date_format(t, "HH:mm").alias("local_time"),
-        F.date_format(t, "yyyy-MM-dd").alias("date"),
-        C.day_long(F.weekday(t)).alias("day_name"),
+        *[c.alias(n) for n, c in C.time_texts(t).items()],
         "current", "next_hour",
         trend(F.col("current.code"), F.col("next_hour.code")).alias("trend"),
         "risk_forecast", "corridor",

@@ -22,9 +22,9 @@ def read_observations(spark: SparkSession, path: str, extra: str | None = None,
 
 
 def write_observations_csv(df: DataFrame, path: str) -> None:
-    df.withColumn("date_time", F.date_format("date_time", "yyyy-MM-dd HH:mm:ss.SSSSSS")).write.mode(
-        "overwrite"
-    ).option("header", True).csv(path)
+    df.withColumn("date_time", F.col("date_time").cast("string")).write.mode("overwrite").option(
+        "header", True
+    ).csv(path)
 
 
 def read_observation_table(spark: SparkSession, path: str) -> DataFrame:
