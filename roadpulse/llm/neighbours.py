@@ -31,9 +31,9 @@ from roadpulse.llm.frames import cut
 
 PROJECTIONS = 64
 WIDTH = 1.0
-SHARE = 0.64
+SHARE = 0.66
 START = 0.3
-GROW = 1.3
+GROW = 1.15
 EXTRA = 2000
 SHARD_ROWS = 20_000
 LEAST_SHARDS = 16
