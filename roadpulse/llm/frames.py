@@ -24,13 +24,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of `batch` of about `most` bytes each; a longer row is a part of its own."""
+    rows = max(1, batch.num_rows)
+    size = np.zeros(rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            bounds = column.cast(pa.large_string())
+            at = np.frombuffer(bounds.buffers()[1], np.int64)[bounds.offset: bounds.offset + batch.num_rows + 1]
+            size[: batch.num_rows] += np.diff(at)
+    part = np.cumsum(size) // most
+    starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(starts, starts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """Applies `function` to each record batch; it returns the output columns by name."""
+    """Applies `function` to parts of each record batch; it returns the output columns by name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(function(batch))
+            for part in slices(batch):
+                yield pa.RecordBatch.from_pydict(function(part))
 
     return df.mapInArrow(run, schema)
 

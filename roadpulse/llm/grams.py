@@ -56,3 +56,29 @@ def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
         x ^= x >> np.uint64(30)
         x = x * np.uint64(factor)
     return x ^ (x >> np.uint64(31))
+
+
+class GramSums:
+    """Sums of counts by key for one task, held as sorted arrays of a bounded size."""
+
+    MOST = 2_000_000
+
+    def __init__(self, columns: int):
+        self.keys, self.counts, self.waiting = np.zeros(0, np.uint64), np.zeros((0, columns), np.int64), []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> bool:
+        """Adds sorted distinct keys; True if the sums are large enough to be passed on."""
+        self.waiting.append((keys, counts))
+        if sum(len(k) for k, _ in self.waiting) > max(500_000, len(self.keys)):
+            self.sums()
+        return len(self.keys) > self.MOST
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.waiting:
+            keys, place = np.unique(np.concatenate([self.keys, *(k for k, _ in self.waiting)]), return_inverse=True)
+            parts = np.concatenate([self.counts, *(c for _, c in self.waiting)])
+            order = np.argsort(place, kind="stable")
+            starts = np.searchsorted(place[order], np.arange(len(keys)))
+            self.counts = np.add.reduceat(parts[order], starts, axis=0) if len(keys) else parts
+            self.keys, self.waiting = keys, []
+        return self.keys, self.counts

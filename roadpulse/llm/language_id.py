@@ -25,8 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.frames import arrow_map
-from roadpulse.llm.grams import gram_keys, mixed
+from roadpulse.llm.frames import arrow_map, slices
+from roadpulse.llm.grams import GramSums, gram_keys, mixed
 
 ORDER = 5
 LEAST_SHARE = 2e-6
@@ -62,22 +62,33 @@ def _and_slots(slots: np.ndarray, keys: np.ndarray, hashes: int) -> np.ndarray:
 
 
 def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, n) over all rows with a language; counted per record batch before the shuffle."""
+    """(lang, gram, n) over all rows with a language; summed per task before the shuffle."""
 
-    def count(batch: pa.RecordBatch) -> dict:
-        keys, rows = gram_keys(batch.column("text"), order)
-        coded = pc.dictionary_encode(batch.column("lang"))
+    def count(part: pa.RecordBatch) -> dict:
+        keys, rows = gram_keys(part.column("text"), order)
+        coded = pc.dictionary_encode(part.column("lang"))
         names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        langs, grams, counts = [], [], []
+        found = {}
         for i, name in enumerate(names):
-            g, c = np.unique(keys[code[rows] == i], return_counts=True)
-            langs += [name] * len(g)
-            grams.append(g.view(np.int64))
-            counts.append(c.astype(np.int64))
-        return {"lang": pa.array(langs, pa.string()), "gram": np.concatenate(grams), "n": np.concatenate(counts)}
+            found[name] = np.unique(keys[code[rows] == i], return_counts=True)
+        return found
+
+    def run(batches):
+        sums: dict[str, GramSums] = {}
+        for batch in batches:
+            for part in slices(batch):
+                for name, (grams, counts) in count(part).items():
+                    if sums.setdefault(name, GramSums(1)).add(grams, counts[:, None]):
+                        yield from rows_of(name, sums.pop(name))
+        for name, held in sums.items():
+            yield from rows_of(name, held)
+
+    def rows_of(name, held):
+        grams, counts = held.sums()
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(grams), pa.string()), "gram": grams.view(np.int64), "n": counts[:, 0]})
 
     part = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    return arrow_map(part, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return part.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def kept_grams(counts: DataFrame, least_share: float = LEAST_SHARE, least_part: float = LEAST_PART) -> DataFrame:

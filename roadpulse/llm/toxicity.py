@@ -29,8 +29,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.frames import arrow_map, cut
-from roadpulse.llm.grams import gram_keys, mixed
+from roadpulse.llm.frames import arrow_map, cut, slices
+from roadpulse.llm.grams import GramSums, gram_keys, mixed
 
 ORDER = 6
 SLOTS = 1 << 22
@@ -40,15 +40,26 @@ ALPHABET = 256
 def gram_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, toxic, ordinary): occurrences of each n-gram of the highest order by class."""
 
-    def count(batch: pa.RecordBatch) -> dict:
-        keys, rows = gram_keys(batch.column("text"), order)
-        toxic = np.asarray(batch.column("toxic")).astype(bool)[rows]
-        grams, place = np.unique(keys, return_inverse=True)
-        n, t = np.bincount(place, minlength=len(grams)), np.bincount(place[toxic], minlength=len(grams))
-        return {"gram": grams.view(np.int64), "toxic": t, "ordinary": n - t}
+    def run(batches):
+        held = GramSums(2)
+        for batch in batches:
+            for part in slices(batch):
+                keys, rows = gram_keys(part.column("text"), order)
+                toxic = np.asarray(part.column("toxic")).astype(bool)[rows]
+                grams, place = np.unique(keys, return_inverse=True)
+                t = np.bincount(place[toxic], minlength=len(grams))
+                n = np.bincount(place, minlength=len(grams))
+                if held.add(grams, np.stack([t, n - t], axis=1)):
+                    yield rows_of(held)
+                    held = GramSums(2)
+        yield rows_of(held)
+
+    def rows_of(held):
+        grams, counts = held.sums()
+        return pa.RecordBatch.from_pydict({"gram": grams.view(np.int64), "toxic": counts[:, 0], "ordinary": counts[:, 1]})
 
     part = labelled.where("text IS NOT NULL AND toxic IS NOT NULL").select("text", "toxic")
-    counted = arrow_map(part, count, "gram long, toxic long, ordinary long")
+    counted = part.mapInArrow(run, "gram long, toxic long, ordinary long")
     return counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
