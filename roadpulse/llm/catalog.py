@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import language_id, mixing, neighbours, simhash_dedup, token_counts, toxicity
+from roadpulse.llm import decontamination, language_id, mixing, neighbours, secret_scan, simhash_dedup, token_counts, toxicity
 from roadpulse.llm.frames import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all documents with the forest's verdict."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learnt from the labels outside fold 1 of 3."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -45,6 +50,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (language_id.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that each document contains."""
+    found = decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("items") > 0).alias("leaked"), F.col("items"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents under the 32k piece vocabulary."""
     import public_tokenizers
@@ -54,6 +65,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op2_toxicity, op3_neighbours, op4_simhash, op7_mixing, op8_language_id, op10_token_counts)
+    f.__name__: f for f in (
+        op1_secret_scan, op2_toxicity, op3_neighbours, op4_simhash, op7_mixing, op8_language_id, op9_decontamination, op10_token_counts,
+    )
 }
 ORACLE: dict[str, str] = {}
