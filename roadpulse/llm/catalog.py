@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import decontamination, language_id, mixing, neighbours, secret_scan, simhash_dedup, token_counts, toxicity
+from roadpulse.llm import decontamination, language_id, mixing, neighbours, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity
 from roadpulse.llm.frames import table
 
 
@@ -37,6 +37,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_dedup.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without word windows that start earlier somewhere."""
+    return substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without byte strings that start anywhere else."""
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of one and a half times all words takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -66,7 +76,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_secret_scan, op2_toxicity, op3_neighbours, op4_simhash, op7_mixing, op8_language_id, op9_decontamination, op10_token_counts,
+        op1_secret_scan, op2_toxicity, op3_neighbours, op4_simhash, op5_substring_dedup, op6_suffix_dedup, op7_mixing,
+        op8_language_id, op9_decontamination, op10_token_counts,
     )
 }
 ORACLE: dict[str, str] = {}

@@ -1,6 +1,6 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least 16 letters, digits and `_ + / = -` with a digit in it, or whatever of at least
+A candidate is a run of at least 16 letters, digits and `_ + / -` with a digit in it, or whatever of at least
 8 such signs follows a word like `password` or `token` and an assignment sign. Per document and distinct
 candidate there is one finding, placed at its first occurrence, with the number of occurrences. Its features:
 
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from roadpulse.llm.frames import cut
 
-SIGN = r"[A-Za-z0-9_+/=\-]"
+SIGN = r"[A-Za-z0-9_+/\-]"
 KEYED = r"(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|auth)[\"']?\s?[:=]\s?[\"']?"
-CANDIDATE = rf"(?<!{SIGN})(?:(?={SIGN}{{0,64}}[0-9]){SIGN}{{16,}})|(?<={KEYED}){SIGN}{{8,}}"
+CANDIDATE = rf"(?<!{SIGN})(?:(?={SIGN}{{0,64}}[0-9]){SIGN}{{16,}}={{0,2}})|(?<={KEYED}){SIGN}{{8,}}={{0,2}}"
 KEY_WORD = r"(?i)(passw(or)?d|pwd|secret|token|key|auth|credential)\W*$"
 LEAST_SHARE = 1e-5
 MOST_LABELS = 200_000
@@ -49,7 +49,6 @@ def findings(docs: DataFrame, path: str = "source") -> DataFrame:
     found = part.withColumn("_all", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where(F.size("_all") > 0)
     one = found.withColumn("candidate", F.explode(F.array_distinct("_all")))
     one = one.withColumn("start", F.instr("text", F.col("candidate")))
-    # a keyed candidate may start with the key word itself; the pair is kept with the value only
     return one.select(
         "doc_id", "path", "candidate", F.size(F.filter("_all", lambda x: x == F.col("candidate"))).alias("n"), "start",
         F.substring("text", F.greatest(F.lit(1), F.col("start") - 40), F.least(F.lit(40), F.col("start") - 1)).alias("before"),
@@ -126,11 +125,9 @@ def _share_or_zero(text):
 def known_findings(made: DataFrame) -> DataFrame:
     """Findings whose format settles whether they are secrets, with `is_secret` 1 or 0."""
     c = F.col("candidate")
-    # the leading key word of a keyed candidate like password=... belongs to the match
-    value = F.regexp_replace(c, "^[A-Za-z_-]+=", "")
-    keyed = F.col("before").rlike(KEY_WORD) | F.col("before").rlike(r"(?i)(passw(or)?d|token|secret|key)[\s:=\"']*$") | c.rlike("(?i)^(passw(or)?d|token|secret|key)=")
-    secret = c.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$") | c.rlike("^gh[pousr]_[A-Za-z0-9]{36}$") | (keyed & value.rlike("^[0-9a-f]{16,64}$"))
-    plain = c.rlike("^[0-9+/=_-]+$") | value.rlike(r"^[A-Za-z]+[0-9]{0,2}$") | c.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    keyed = F.col("before").rlike(KEY_WORD)
+    secret = c.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$") | c.rlike("^gh[pousr]_[A-Za-z0-9]{36}$") | (keyed & c.rlike("^[0-9a-f]{16,64}$"))
+    plain = c.rlike("^[0-9+/=_-]+$") | c.rlike(r"^[A-Za-z]+[0-9]{0,2}$") | c.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
     return made.withColumn("is_secret", F.when(secret, 1).when(plain, 0)).where("is_secret IS NOT NULL")
 
 
