@@ -4,7 +4,9 @@ A window is `length` consecutive tokens (bytes or words) of one text. Its anchor
 inside it with the smallest hash, the leftmost on ties, so equal windows have equal anchors at equal places.
 Consecutive windows with the same anchor form a region; each window lies in exactly one region.
 
-1. Anchors are counted (combined before the shuffle). A window whose anchor is unique is unique.
+1. Anchors are counted (combined before the shuffle). A window whose anchor is unique is unique. The others go
+   into a filter of a fixed number of bits, which keeps most unique anchors out of the tables that follow; what
+   it lets through by chance falls away in step 2.
 2. Regions of other anchors are compared by the hash of their whole content. Equal regions repeat window by
    window; one of them stands for all.
 3. Anchors with several different contents are compared in shards: the regions of an anchor meet in one task
@@ -16,6 +18,8 @@ No step needs all rows of an anchor in one task, and no pairs are formed.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,15 +28,38 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.frames import arrow_map, cut
+from roadpulse.llm.frames import arrow_map, cut, stored
 from roadpulse.llm.grams import mixed
 
 SEGMENT = 1 << 22
 PART_ROWS = 500
 BLOCK_TOKENS = 1 << 17
+FILTER_BITS = 1 << 26
 _PLACE = np.uint64((1 << 24) - 1)
 
 
+def _places(keys: np.ndarray) -> list[np.ndarray]:
+    return [(mixed(keys, seed) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for seed in (31, 32)]
+
+
+def _bits(keys: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits that holds the longs of `keys` (g); at most FILTER_BITS / 64 rows reach the driver."""
+
+    def marks(batch: pa.RecordBatch) -> dict:
+        place = np.concatenate(_places(np.asarray(batch.column("g")).view(np.uint64)))
+        return {"word": place >> 6, "bit": (np.uint64(1) << (place & 63).astype(np.uint64)).view(np.int64)}
+
+    held = arrow_map(keys, marks, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[held["word"].to_numpy()] = held["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    held = [(bits[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) for p in _places(keys)]
+    return (held[0] & held[1]).astype(bool)
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each `width` consecutive values."""
     n = len(values) - width + 1
@@ -93,10 +120,19 @@ def repeated_spans(docs: DataFrame, tokens: Callable, grams: Callable, length: i
         keys = [g for text in batch.column("text").cast(pa.large_binary()).to_pylist() for _, g, _, _, _ in found(text)]
         return {"g": np.array(keys, np.uint64).view(np.int64)}
 
+    many = arrow_map(docs.select("text"), anchor_keys, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    filter_ = docs.sparkSession.sparkContext.broadcast(_bits(many))
+
     def anchor_rows(batch: pa.RecordBatch) -> dict:
+        bits = filter_.value
         out: tuple[list, ...] = ([], [], [], [], [], [])
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist()):
-            for t, g, s0, s1, at in found(text):
+            own = list(found(text))
+            if not own:
+                continue
+            maybe = _passes(bits, np.array([g for _, g, _, _, _ in own], np.uint64))
+            for i in np.flatnonzero(maybe).tolist():
+                t, g, s0, s1, at = own[i]
                 body = xxhash.xxh3_64_intdigest(t[s0: s1 + length].tobytes())
                 for column, value in zip(out, (g, body, doc, s0, s1, at)):
                     column.append(value)
@@ -104,24 +140,18 @@ def repeated_spans(docs: DataFrame, tokens: Callable, grams: Callable, length: i
                 "doc_id": pa.array(out[2], batch.schema.field("doc_id").type), "s0": pa.array(out[3], pa.int32()),
                 "s1": pa.array(out[4], pa.int32()), "at": pa.array(out[5], pa.int32())}
 
-    many = arrow_map(docs.select("text"), anchor_keys, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-    many = cut(many)
-    rows = arrow_map(docs, anchor_rows, f"g long, c long, doc_id {kind}, s0 int, s1 int, at int")
-    rows = cut(rows.join(many, "g"))
-    place = F.struct("doc_id", "s0")
-    contents = cut(rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")))
-    kinds = cut(contents.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")))
-    contents = cut(contents.join(kinds, "g").where("n > 1 OR kinds > 1"))
-    known = cut(rows.join(contents, ["g", "c"]))
+    rows = stored(arrow_map(docs, anchor_rows, f"g long, c long, doc_id {kind}, s0 int, s1 int, at int"), "regions")
+    contents = stored(rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "s0", "s1", "at")).alias("first")), "contents")
+    kinds = cut(contents.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     span = lambda df: df.select("doc_id", F.col("s0").alias("start"), (F.col("s1") + length).alias("end"))
-    same = known.where("n > 1")
+    same = rows.join(contents.where("n > 1").select("g", "c", "first"), ["g", "c"])
     if keep_first:
         later = (F.col("doc_id") > F.col("first.doc_id")) | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("s0") > F.col("first.s0")))
         same = same.where(later)
-    wanted = known.where("kinds > 1").where((F.col("doc_id") == F.col("first.doc_id")) & (F.col("s0") == F.col("first.s0")))
+    wanted = contents.join(kinds, "g").select("g", "kinds", "first.*")
     parts = F.ceil(F.col("kinds") / PART_ROWS).cast("int")
     salt = F.pmod(F.xxhash64("doc_id", "s0"), parts).cast("int")
-    wanted = wanted.dropDuplicates(["g", "c"]).select("doc_id", F.struct("g", salt.alias("salt"), (parts > 1).alias("split"), "s0", "s1", "at").alias("w"))
+    wanted = wanted.select("doc_id", F.struct("g", salt.alias("salt"), (parts > 1).alias("split"), "s0", "s1", "at").alias("w"))
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
     bodies = packed(docs).join(by_doc, "doc_id")
 
@@ -186,7 +216,7 @@ def repeated_spans(docs: DataFrame, tokens: Callable, grams: Callable, length: i
             yield answer(held, doc_type)
 
     unit = tokens(b"a").dtype.itemsize
-    judged = cut(dealt.mapInArrow(compare, f"doc_id {kind}, start int, end int, window long"))
+    judged = stored(dealt.mapInArrow(compare, f"doc_id {kind}, start int, end int, window long"), "judged")
     spans = span(same).unionByName(judged.where("window IS NULL").select("doc_id", "start", "end"))
     open_ = judged.where("window IS NOT NULL")
     across = open_.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1")
@@ -225,10 +255,20 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n + 1 powers of the base and of its inverse modulo 2^64, kept for the next text."""
+    kept = sys.modules.setdefault("_llm_powers", types.ModuleType("_llm_powers"))
+    have = getattr(kept, "powers", None)
+    if have is None or len(have[0]) <= n:
+        size = max(1 << 16, 2 * n)
+        runs = [np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)]) for b in (_BASE, _INVERSE)]
+        have = kept.powers = tuple(np.cumprod(r, dtype=np.uint64) for r in runs)
+    return have[0][: n + 1], have[1][: n + 1]
+
+
 def window_hash(values: np.ndarray):
     """A function (starts, ends) -> 64-bit hashes of values[start:end], from one running sum."""
     n = len(values)
-    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE, np.uint64)]), dtype=np.uint64)
-    inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _INVERSE, np.uint64)]), dtype=np.uint64)
+    powers, inverse = _powers(n)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers[:n], dtype=np.uint64)])
     return lambda a, b: mixed((total[b] - total[a]) * inverse[a], 9)

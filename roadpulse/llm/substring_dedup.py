@@ -18,9 +18,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
+from roadpulse.llm.frames import WHITE
+from roadpulse.llm.grams import mixed
 from roadpulse.llm.repeats import covered, gram_hashes, repeated_spans, window_hash, with_spans
 
 WINDOW = 20
@@ -28,9 +29,16 @@ GRAM = 4
 CONTEXT = 32
 
 
+_BYTES = mixed(np.arange(256, dtype=np.uint64), 21)
+
+
 def word_values(text: bytes) -> np.ndarray:
-    hash_ = xxhash.xxh3_64_intdigest
-    return np.array([hash_(w) for w in text.split()], np.uint64)
+    """A 64-bit hash of each word."""
+    raw = np.frombuffer(text, np.uint8)
+    solid = np.zeros(len(raw) + 2, np.int8)
+    solid[1:-1] = ~WHITE[raw]
+    change = np.diff(solid)
+    return window_hash(_BYTES[raw])(np.flatnonzero(change == 1), np.flatnonzero(change == -1))
 
 
 class PackedBits:
