@@ -27,7 +27,7 @@ from roadpulse.llm.frames import arrow_map, cut, word_counts
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEATS = 2
-BUCKETS = 1 << 14
+BUCKETS = 1 << 11
 FIRST = -(2**63)
 
 
