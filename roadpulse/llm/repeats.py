@@ -181,6 +181,9 @@ def repeated_spans(docs: DataFrame, tokens: Callable, grams: Callable, length: i
     names = ("g", "salt", "split", "doc_id", "s0", "at", "body")
 
     def answer(held: dict[str, list], doc_type: pa.DataType) -> pa.RecordBatch:
+        # parts of one anchor may share a block: places are compared in the order of documents, not of parts
+        order = sorted(range(len(held["body"])), key=lambda r: (held["doc_id"][r], held["s0"][r]))
+        held = {name: [column[r] for r in order] for name, column in held.items()}
         repeated, leads, hashes = shard(held["body"], np.array(held["at"], np.int64))
         out: dict[str, list] = {"doc_id": [], "start": [], "end": [], "window": []}
 
