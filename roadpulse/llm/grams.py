@@ -1,4 +1,4 @@
-"""Character n-grams inside words as 64-bit numbers, for whole record batches at once."""
+"""Character n-grams as 64-bit numbers, their sums, and filters of such numbers."""
 
 from __future__ import annotations
 
@@ -6,12 +6,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from roadpulse.llm.frames import flat
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from roadpulse.llm.frames import arrow_map, flat
 
 LETTER = np.zeros(256, bool)
 LETTER[ord("a"): ord("z") + 1] = True
 LETTER[0x80:] = True
 EDGE = 1
+FILTER_BITS = 1 << 26
 
 
 def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,3 +86,26 @@ class GramSums:
             self.counts = np.add.reduceat(parts[order], starts, axis=0) if len(keys) else parts
             self.keys, self.waiting = keys, []
         return self.keys, self.counts
+
+
+def _places(keys: np.ndarray) -> list[np.ndarray]:
+    return [(mixed(keys, seed) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for seed in (31, 32)]
+
+
+def key_bits(keys: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits that holds the longs of `keys` (g); at most FILTER_BITS / 64 rows reach the driver."""
+
+    def marks(batch: pa.RecordBatch) -> dict:
+        place = np.concatenate(_places(np.asarray(batch.column("g")).view(np.uint64)))
+        return {"word": place >> 6, "bit": (np.uint64(1) << (place & 63).astype(np.uint64)).view(np.int64)}
+
+    held = arrow_map(keys, marks, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[held["word"].to_numpy()] = held["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys the filter holds; a few others pass by chance."""
+    held = [(bits[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) for p in _places(keys)]
+    return (held[0] & held[1]).astype(bool)

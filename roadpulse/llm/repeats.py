@@ -29,37 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.llm.frames import arrow_map, cut, stored
-from roadpulse.llm.grams import mixed
+from roadpulse.llm.grams import key_bits, mixed, passes
 
 SEGMENT = 1 << 22
 PART_ROWS = 500
 BLOCK_TOKENS = 1 << 17
-FILTER_BITS = 1 << 26
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-def _places(keys: np.ndarray) -> list[np.ndarray]:
-    return [(mixed(keys, seed) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for seed in (31, 32)]
-
-
-def _bits(keys: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits that holds the longs of `keys` (g); at most FILTER_BITS / 64 rows reach the driver."""
-
-    def marks(batch: pa.RecordBatch) -> dict:
-        place = np.concatenate(_places(np.asarray(batch.column("g")).view(np.uint64)))
-        return {"word": place >> 6, "bit": (np.uint64(1) << (place & 63).astype(np.uint64)).view(np.int64)}
-
-    held = arrow_map(keys, marks, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[held["word"].to_numpy()] = held["bits"].to_numpy()
-    return out.view(np.uint64)
-
-
-def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    held = [(bits[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) for p in _places(keys)]
-    return (held[0] & held[1]).astype(bool)
-
-
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each `width` consecutive values."""
     n = len(values) - width + 1
@@ -121,7 +98,7 @@ def repeated_spans(docs: DataFrame, tokens: Callable, grams: Callable, length: i
         return {"g": np.array(keys, np.uint64).view(np.int64)}
 
     many = arrow_map(docs.select("text"), anchor_keys, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-    filter_ = docs.sparkSession.sparkContext.broadcast(_bits(many))
+    filter_ = docs.sparkSession.sparkContext.broadcast(key_bits(many))
 
     def anchor_rows(batch: pa.RecordBatch) -> dict:
         bits = filter_.value
@@ -130,7 +107,7 @@ def repeated_spans(docs: DataFrame, tokens: Callable, grams: Callable, length: i
             own = list(found(text))
             if not own:
                 continue
-            maybe = _passes(bits, np.array([g for _, g, _, _, _ in own], np.uint64))
+            maybe = passes(bits, np.array([g for _, g, _, _, _ in own], np.uint64))
             for i in np.flatnonzero(maybe).tolist():
                 t, g, s0, s1, at = own[i]
                 body = xxhash.xxh3_64_intdigest(t[s0: s1 + length].tobytes())

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadpulse.llm.frames import arrow_map, cut, slices
-from roadpulse.llm.grams import GramSums, gram_keys, mixed
+from roadpulse.llm.frames import arrow_map, cut, slices, stored
+from roadpulse.llm.grams import GramSums, gram_keys, key_bits, mixed, passes
 
-ORDER = 6
+ORDER = 5
 SLOTS = 1 << 22
 ALPHABET = 256
 
@@ -87,14 +87,14 @@ def _discount(df: DataFrame, n: str) -> float:
 
 def log_ratios(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
     """(gram, ratio, weight) of n-grams seen in a class, and of histories for all that follows them unseen."""
-    levels = [cut(counts)]
+    levels = [stored(counts, "grams")]
     for _ in range(order - 1):
-        levels.append(cut(_shorter(levels[-1])))
+        levels.append(stored(_shorter(levels[-1]), "grams"))
+    same = Window.partitionBy(_history(F.col("gram")))  # at most one row a character
     shared = None
     for level in reversed(levels[1:]):
         d = _discount(level, "n")
-        sums = level.groupBy(_history(F.col("gram")).alias("h")).agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("types"))
-        here = level.withColumn("h", _history(F.col("gram"))).join(sums, "h")
+        here = level.withColumn("all", F.sum("n").over(same)).withColumn("types", F.count(F.lit(1)).over(same))
         if shared is None:
             below = F.lit(1.0 / ALPHABET)
         else:
@@ -104,11 +104,10 @@ def log_ratios(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFr
         p = (F.col("n") - d) / F.col("all") + d * F.col("types") / F.col("all") * below
         shared = here.select("gram", p.alias("p"))
     top = levels[0].withColumn("h", _history(F.col("gram"))).withColumn("low", _suffix())
+    for c in ("toxic", "ordinary"):
+        top = top.withColumn(f"{c}_all", F.sum(c).over(same)).withColumn(f"{c}_types", F.sum((F.col(c) > 0).cast("long")).over(same))
     classes = ("toxic", "ordinary")
     discounts = {c: _discount(levels[0], c) for c in classes}
-    sums = top.groupBy("h").agg(
-        *[F.sum(c).alias(f"{c}_all") for c in classes], *[F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_types") for c in classes]
-    )
     weight = {c: F.when(F.col(f"{c}_all") > 0, discounts[c] * F.col(f"{c}_types") / F.col(f"{c}_all")).otherwise(1.0) for c in classes}
     if shared is not None:
         top = top.join(shared.withColumnRenamed("gram", "low"), "low", "left")
@@ -116,10 +115,12 @@ def log_ratios(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFr
         top = top.withColumn("p", F.lit(None).cast("double"))
     own = {c: F.when(F.col(c) > 0, (F.col(c) - discounts[c]) / F.col(f"{c}_all")).otherwise(0.0) for c in classes}
     p = {c: own[c] + weight[c] * F.coalesce("p", F.lit(1.0 / ALPHABET)) for c in classes}
-    seen = top.join(sums, "h").select(
+    seen = top.select(
         "gram", F.log(p["toxic"] / p["ordinary"]).alias("ratio"), (F.col("toxic") + F.col("ordinary")).alias("weight")
     )
-    unseen = sums.select(
+    first = Window.partitionBy("h").orderBy("gram")
+    histories = top.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    unseen = histories.select(
         F.col("h").alias("gram"), F.log(weight["toxic"] / weight["ordinary"]).alias("ratio"),
         (F.col("toxic_all") + F.col("ordinary_all")).alias("weight"),
     )
@@ -183,6 +184,20 @@ def calibrated(scored: DataFrame, labels: DataFrame) -> DataFrame:
     return fit.transform(both).withColumn("score", vector_to_array("_p")[1]).drop("_p", "_c", "_r", "_features", "_evidence")
 
 
+def labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(text, toxic) of the documents in `known`; a filter of fixed size spares most others the shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(key_bits(known.select(F.xxhash64("doc_id").alias("g"))))
+
+    def sift(batches):
+        for batch in batches:
+            keep = passes(held.value, np.asarray(batch.column("g")).view(np.uint64))
+            yield batch.filter(pa.array(keep)).select(["doc_id", "text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    part = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("g")).mapInArrow(sift, f"doc_id {kind}, text string")
+    return part.join(known, "doc_id").select("text", "toxic")
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, order: int = ORDER, slots: int = SLOTS) -> DataFrame:
     """Scores all `docs` (doc_id, text) after learning from those that `labels` (doc_id, toxic) marks.
 
@@ -191,5 +206,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, order: int = ORDER, slots
     """
     known = labels.where("toxic IS NOT NULL").select("doc_id", "toxic")
     curve = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
-    model = train(docs.select("doc_id", "text").join(known.where(~curve), "doc_id").select("text", "toxic"), order, slots)
+    model = train(labelled(docs, known.where(~curve)), order, slots)
     return calibrated(cut(figures(docs, model)), known.where(curve))
