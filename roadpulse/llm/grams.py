@@ -16,6 +16,7 @@ LETTER[ord("a"): ord("z") + 1] = True
 LETTER[0x80:] = True
 EDGE = 1
 FILTER_BITS = 1 << 26
+CHUNK_WORDS = 1 << 13
 
 
 def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,15 +94,22 @@ def _places(keys: np.ndarray) -> list[np.ndarray]:
 
 
 def key_bits(keys: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits that holds the longs of `keys` (g); at most FILTER_BITS / 64 rows reach the driver."""
+    """A filter of FILTER_BITS bits that holds the longs of `keys` (g); it reaches the driver as packed chunks."""
 
     def marks(batch: pa.RecordBatch) -> dict:
         place = np.concatenate(_places(np.asarray(batch.column("g")).view(np.uint64)))
         return {"word": place >> 6, "bit": (np.uint64(1) << (place & 63).astype(np.uint64)).view(np.int64)}
 
-    held = arrow_map(keys, marks, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    def pack(group: pa.Table) -> pa.Table:
+        words = np.zeros(CHUNK_WORDS, np.int64)
+        words[np.asarray(group.column("word")) % CHUNK_WORDS] = np.asarray(group.column("bits"))
+        return pa.table({"chunk": [int(np.asarray(group.column("word"))[0]) // CHUNK_WORDS], "packed": [words.tobytes()]})
+
+    words = arrow_map(keys, marks, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    chunks = words.groupBy(F.expr(f"word DIV {CHUNK_WORDS}")).applyInArrow(pack, "chunk long, packed binary").toArrow()
     out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[held["word"].to_numpy()] = held["bits"].to_numpy()
+    for chunk, packed in zip(chunks.column("chunk").to_pylist(), chunks.column("packed").to_pylist()):
+        out[chunk * CHUNK_WORDS: (chunk + 1) * CHUNK_WORDS] = np.frombuffer(packed, np.int64)
     return out.view(np.uint64)
 
 

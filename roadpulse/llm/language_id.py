@@ -105,14 +105,15 @@ def kept_grams(counts: DataFrame, least_share: float = LEAST_SHARE, least_part:
 def train(docs: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE, least_part: float = LEAST_PART,
           hashes: int = HASHES) -> LanguageFilter:
     """Fits the filter on rows (text, lang)."""
-    rows = kept_grams(gram_counts(docs, order), least_share, least_part).toPandas()
-    languages = sorted(rows["lang"].unique(), key=lambda x: x.encode())
+    rows = kept_grams(gram_counts(docs, order), least_share, least_part).toArrow()
+    name_of, gram_of = np.array(rows.column("lang").to_pylist(), object), np.asarray(rows.column("gram"))
+    languages = sorted(set(name_of), key=lambda x: x.encode())
     if len(languages) > 64:
         raise ValueError("a mask holds 64 languages")
-    size = 1 << max(10, int(np.ceil(np.log2(max(1, len(rows)) * hashes * 4))))
+    size = 1 << max(10, int(np.ceil(np.log2(max(1, len(gram_of)) * hashes * 4))))
     slots = np.zeros(size, np.uint64)
     for i, name in enumerate(languages):
-        keys = rows["gram"].to_numpy()[(rows["lang"] == name).to_numpy()].view(np.uint64)
+        keys = gram_of[name_of == name].view(np.uint64)
         for place in _places(keys, hashes, size):
             slots[place] |= np.uint64(1 << i)
     bits = np.array([1 << i for i in range(len(languages))], np.uint64)

@@ -136,9 +136,9 @@ def _slot_table(rows: DataFrame, slots: int, seed: int) -> np.ndarray:
 
     placed = arrow_map(rows, place, "slot long, ratio double, weight long").groupBy("slot").agg(
         (F.sum(F.col("ratio") * F.col("weight")) / F.sum("weight")).cast("float").alias("ratio")
-    ).toPandas()
+    ).toArrow()
     out = np.full(slots, np.nan, np.float32)
-    out[placed["slot"].to_numpy()] = placed["ratio"].to_numpy()
+    out[np.asarray(placed.column("slot"))] = np.asarray(placed.column("ratio"))
     return out
 
 
