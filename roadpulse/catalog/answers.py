@@ -47,7 +47,7 @@ QUERIES = {
     "a27_rush_schedule": lambda s, d: lean(s, d).transform(A.rush_schedule),
     "j5_complete_hours": lambda s, d: _r(
         history(s, d).transform(A.median_lags_by_hour).transform(A.complete_hours), 6, *A.LAGS),
-    "j6_severity_dimension": lambda s, d: labelled(s, d).where(F.col("snow_1h") == 0).transform(A.severity_profile)
+    "j6_severity_dimension": lambda s, d: labelled(s, d).transform(A.severity_profile)
     .select("severity", "severity_label", F.col("avg_volume").isNull().cast("int").alias("is_empty")),
 }
 
@@ -161,5 +161,5 @@ ORACLE = {
     "j5_complete_hours": sql("SELECT hour, " + ", ".join(_LAG_COLS.format(a=c, b=c) for c in A.LAGS) + " FROM lag_table"),
     "j6_severity_dimension": sql(f"""SELECT s.severity, {_SEVERITY} AS severity_label, CAST(count(obs_id) = 0 AS INTEGER) AS is_empty
         FROM (SELECT CAST(range AS INTEGER) AS severity FROM range(5)) s
-        LEFT JOIN (SELECT * FROM lab WHERE snow_1h = 0) l ON s.severity = least(weather_severity, 4) GROUP BY 1"""),
+        LEFT JOIN lab l ON s.severity = least(weather_severity, 4) GROUP BY 1"""),
 }

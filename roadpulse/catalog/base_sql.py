@@ -71,15 +71,16 @@ FACTORS = (0.70, 0.80, 1.10, 1.40, 1.50, 1.20, 1.05, 0.95, 0.85, 1.00, 0.90, 1.0
 CTES = f"""
 ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 named AS (SELECT *,
-  CASE WHEN k = 90 THEN 'Squall' WHEN event_type = 'view' THEN 'Clear' WHEN event_type = 'click' THEN 'Clouds'
+  CASE WHEN k = 90 THEN 'Squall' WHEN k = 20 THEN 'Haze' WHEN k = 21 THEN 'Smoke' WHEN k = 22 THEN 'Drizzle'
+       WHEN k = 23 THEN 'Mist' WHEN k = 24 THEN 'Fog' WHEN k = 25 THEN 'Thunderstorm' WHEN event_type = 'view' THEN 'Clear' WHEN event_type = 'click' THEN 'Clouds'
        WHEN event_type = 'purchase' THEN 'Rain' WHEN event_type = 'signup' THEN 'Snow'
        WHEN event_type = 'error' THEN 'Tornado' END AS weather_main FROM ev),
 bound AS (SELECT event_id AS obs_id, user_id, user_id % 8 AS sensor_id,
   make_timestamp(CAST(1640995200000000 + 36 * (epoch_us(ts) - 1704067200000000) AS BIGINT)) AS date_time,
   CAST(floor(value * 30) AS INTEGER) AS traffic_volume,
   CASE WHEN event_id % 97 = 0 THEN 0e0 ELSE 253.15e0 + 0.5e0 * k END AS temp,
-  CASE WHEN k >= 95 THEN 60e0 WHEN k = 76 THEN 7.6e0 WHEN k > 60 THEN 0.5e0 * (k - 60) ELSE 0e0 END AS rain_1h,
-  CASE WHEN event_type = 'signup' AND k < 50 THEN 0.1e0 ELSE 0e0 END AS snow_1h,
+  CASE WHEN k >= 95 THEN 60e0 WHEN k = 76 THEN 7.6e0 WHEN k > 60 THEN 0.25e0 * (k - 60) ELSE 0e0 END AS rain_1h,
+  CASE WHEN event_type = 'signup' AND k < 50 THEN 0.125e0 ELSE 0e0 END AS snow_1h,
   k AS clouds_all, weather_main, lower(weather_main) AS weather_description,
   CASE WHEN day(ts) IN (1, 15) THEN 'Holiday' END AS holiday FROM named),
 raw AS (SELECT * EXCLUDE (user_id) FROM bound UNION ALL

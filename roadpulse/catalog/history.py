@@ -64,7 +64,7 @@ def _csv_round_trip(spark, d):
 def _table_round_trip(spark, d):
     path = scratch_path(spark, "observation-table")
     O.write_observation_table(cleaned(spark, d), path)
-    return O.read_observation_table(spark, path).where(F.col("obs_year") == 2023).groupBy("obs_year").agg(
+    return O.read_observation_table(spark, path).groupBy("obs_year").agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -155,7 +155,7 @@ _MATRIX = ", ".join(
 
 ORACLE = {
     "s1_observation_csv": sql(f"SELECT {OBS.replace('sensor_id, ', '')} FROM raw"),
-    "s1_observation_table": sql("SELECT CAST(2023 AS INTEGER) AS obs_year, count(*) AS n FROM cleaned WHERE year(date_time) = 2023"),
+    "s1_observation_table": sql("SELECT CAST(year(date_time) AS INTEGER) AS obs_year, count(*) AS n FROM cleaned GROUP BY 1"),
     "s7_json_records": sql("""SELECT '{"hour":' || hour || ',"avg_volume":' || a || '}' AS record FROM by_hour"""),
     "s8_preview": sql("""SELECT date_time, traffic_volume, congestion_label, hour, is_rush_hour, is_weekend, weather_main,
         round(temp_celsius, 6) AS temp_celsius, rain_1h FROM lab ORDER BY date_time, obs_id LIMIT 200"""),

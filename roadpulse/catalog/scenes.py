@@ -62,6 +62,15 @@ def _levels(spark, d):
     return df.select("obs_id", F.when(F.col("obs_id") % 5 == 0, "Extreme").otherwise(F.col("congestion_label")).alias("level"))
 
 
+def _hourly_rule(df):
+    """A rule that depends on the hour, so that outlooks rise, fall and stay."""
+    shift = F.floor(F.col("hour") / 2).cast("int") % 3
+    return RULE(df).withColumn("pred_code", ((F.col("pred_code") + shift) % 4).cast("int"))
+
+
+_hourly_rule.has_probabilities = False
+
+
 def _live(spark, d):
     r = live_report(B.conditions(spark, d), _lags(spark, d), B.segments(spark, d), RULE)
     return r.select(
@@ -119,9 +128,8 @@ QUERIES = {
     "g4_score_hours": lambda s, d: S.score_hours(
         B.conditions(s, d).withColumn("hours", F.array(F.lit(17), F.lit(8), F.pmod(F.col("hour") + 5, F.lit(24)))), RULE
     ).select("scenario_id", "position", "hour", "label", F.col("pred_code").alias("code")),
-    "g5_feature_vector": lambda s, d: rounded(B.conditions(s, d).transform(features.condition_features).select(
-        "scenario_id", F.round(sum(F.col(f).cast("double") for f in V.FEATURES[4:10]), 6).alias("flag_sum"),
-        "weather_severity", "weather_code", "hour_sin", "month_cos")),
+    "g5_feature_vector": lambda s, d: B.conditions(s, d).transform(features.condition_features).select(
+        "scenario_id", *[F.round(F.col(f).cast("double"), 6).alias(f) for f in V.FEATURES]),
     "g6_score_now": lambda s, d: S.score_now(B.conditions(s, d), RULE).select(
         "scenario_id", "hour", "label", "timestamp", "local_time", "day_name", "date"),
     "g7_segment_code": lambda s, d: _pred(s, d).select(
@@ -140,7 +148,7 @@ QUERIES = {
     "g13_segment_metadata": lambda s, d: B.segments(s, d).transform(K.segment_metadata),
     "g14_segment_list": lambda s, d: B.segments(s, d).transform(K.segment_list),
     "g15_segments_by_factor": lambda s, d: B.segments(s, d).transform(K.segments_by_factor),
-    "g16_next_hour": lambda s, d: S.next_hour_outlook(B.conditions(s, d), RULE).drop("next_confidence"),
+    "g16_next_hour": lambda s, d: S.next_hour_outlook(B.conditions(s, d), _hourly_rule).drop("next_confidence"),
     "g17_live_report": _live,
     "g18_alert_block": lambda s, d: K.alert_block(_base(s, d), B.segments(s, d)).select(
         "scenario_id", _joined("segments").alias("segments"), "alert_count", "alert_active"),
@@ -292,8 +300,8 @@ ORACLE = {
     "g4_score_hours": sql("""SELECT scenario_id, CAST(position AS INTEGER) AS position, CAST(CASE position WHEN 0 THEN 17
         WHEN 1 THEN 8 ELSE (hour + 5) % 24 END AS INTEGER) AS hour, label, pred_code AS code
         FROM pred CROSS JOIN (SELECT range AS position FROM range(3))"""),
-    "g5_feature_vector": sql("""SELECT scenario_id, CAST(day_of_year + is_weekend + is_rush_hour + rush_type + is_morning_rush
-        + is_evening_rush AS DOUBLE) AS flag_sum, weather_severity, weather_code, hour_sin, month_cos FROM cfeat"""),
+    "g5_feature_vector": sql("SELECT scenario_id, " + ", ".join(
+        f"round(CAST({f} AS DOUBLE), 6) AS {f}" for f in V.FEATURES) + " FROM cfeat"),
     "g6_score_now": sql("""SELECT scenario_id, hour, label, strftime(date_time, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp,
         strftime(date_time, '%H:%M') AS local_time, strftime(date_time, '%A') AS day_name,
         strftime(date_time, '%Y-%m-%d') AS date FROM pred"""),
@@ -319,8 +327,10 @@ ORACLE = {
     "g14_segment_list": sql("SELECT corridor_id, ordinal, name, exit, factor, factor > 1 AS is_bottleneck FROM segs"),
     "g15_segments_by_factor": sql("""SELECT corridor_id, ordinal, name, exit, factor, factor > 1 AS is_bottleneck FROM segs
         ORDER BY factor DESC, corridor_id, ordinal"""),
-    "g16_next_hour": sql("""SELECT scenario_id, pred_code AS code, label, CAST((hour + 1) % 24 AS INTEGER) AS next_hour,
-        pred_code AS next_code, label AS next_label, 'steady' AS trend FROM pred"""),
+    "g16_next_hour": sql(f"""SELECT scenario_id, code, {label('code')} AS label, next_hour, next_code, {label('next_code')} AS next_label,
+        CASE WHEN next_code > code THEN 'up' WHEN next_code < code THEN 'down' ELSE 'steady' END AS trend FROM (
+        SELECT scenario_id, CAST((pred_code + hour // 2 % 3) % 4 AS INTEGER) AS code, CAST((hour + 1) % 24 AS INTEGER) AS next_hour,
+        CAST((pred_code + (hour + 1) % 24 // 2 % 3) % 4 AS INTEGER) AS next_code FROM pred)"""),
     "g17_live_report": sql("""SELECT p.scenario_id, strftime(date_time, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp,
         strftime(date_time, '%H:%M') AS local_time, strftime(date_time, '%Y-%m-%d') AS date,
         strftime(date_time, '%A') AS day_name, label, pred_code AS code, CAST((hour + 1) % 24 AS INTEGER) AS next_hour,

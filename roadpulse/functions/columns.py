@@ -172,3 +172,20 @@ def template(text: str, fields: dict[str, Column]) -> Column:
         fmt = fmt.replace("{" + k + "}", "%s")
         args.append(fields[k].cast("string"))
     return F.format_string(fmt, *args) if args else F.lit(text)
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """Text with `digits` (1 or 2) decimals of a double from 0 to 8,191: its exact binary value rounded half to even.
+
+    Spark's own formatting rounds the shortest decimal instead, half up.
+    """
+    bits = F.when(value < 4, F.lit(60)).otherwise(F.lit(50))  # the value is a whole number of 2^-bits
+    unit = F.pow(F.lit(2.0), bits)
+    tens = 10 ** digits
+    scaled = (value * unit).cast("bigint").cast("decimal(20,0)") * F.lit(tens).cast("decimal(3,0)")
+    whole = unit.cast("bigint").cast("decimal(20,0)")
+    rest = scaled % whole
+    down = ((scaled - rest) / whole).cast("bigint")
+    up = (rest * 2 > whole) | ((rest * 2 == whole) & (down % 2 == 1))
+    n = down + F.when(up, 1).otherwise(0)
+    return F.concat(F.floor(n / tens).cast("string"), F.lit("."), F.lpad((n % tens).cast("string"), digits, "0"))

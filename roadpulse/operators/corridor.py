@@ -93,7 +93,8 @@ def corridor_summary(base: DataFrame, segments: DataFrame) -> DataFrame:
         rank(-code).alias("worst_segment"),
         rank(code).alias("safest_segment"),
     )
-    return base.join(per_code, ["corridor_id", "base_code"])
+    counts = ("severe_count", "high_count", "total_segments")
+    return base.join(per_code, ["corridor_id", "base_code"], "left").fillna(0, subset=list(counts))
 
 
 def at_or_above(level: str | Column) -> Column:
@@ -114,11 +115,12 @@ def alert_block(base: DataFrame, segments: DataFrame, level: str = "High") -> Da
     per_code = coded_segments(segments).groupBy("corridor_id", "base_code").agg(
         F.array_sort(F.collect_list(hit)).alias("_hits")
     )
-    return base.join(per_code, ["corridor_id", "base_code"]).select(
+    hits = F.coalesce("_hits", F.array())  # a corridor without segments has no alert
+    return base.join(per_code, ["corridor_id", "base_code"], "left").select(
         "scenario_id", "corridor_id", "base_code",
-        F.col("_hits.name").alias("segments"),
-        F.size("_hits").alias("alert_count"),
-        (F.size("_hits") > 0).alias("alert_active"),
+        hits["name"].alias("segments"),
+        F.size(hits).alias("alert_count"),
+        (F.size(hits) > 0).alias("alert_active"),
     )
 
 
@@ -146,7 +148,12 @@ def find_segments(requests: DataFrame, segments: DataFrame, query: str = "segmen
     )
     out = requests.withColumn("_q", F.col(query)).join(found, ["corridor_id", "_q"], "left").drop("_q")
     missing = F.concat(F.lit("Segment '"), F.col(query), F.lit("' not found."))
-    return out.withColumn("error", F.when(F.col("segment_name").isNull(), missing))
+    known = segments.groupBy("corridor_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "name")))["name"].alias("_known"))
+    lost = F.col("segment_name").isNull()
+    return (
+        out.withColumn("error", F.when(lost, missing)).join(known, "corridor_id", "left")
+        .withColumn("available_segments", F.when(lost, F.coalesce("_known", F.array().cast("array<string>")))).drop("_known")
+    )
 
 
 def segment_history(requests: DataFrame, segments: DataFrame, scorer: Scorer) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse import fixed_values as V
 from roadpulse.functions import columns as C
 from roadpulse.operators.ranking import seeded_hash, seeded_sample
-from roadpulse.session import shared_dir
 
 N_CLASSES = len(V.CONGESTION_LABELS)
 
@@ -190,32 +191,44 @@ def six_axes(confusion: DataFrame) -> DataFrame:
 
 # --- permutation importance -------------------------------------------------------------
 
+def numbered(df: DataFrame, groups: Sequence[str], hashed: Column, key: str, into: str) -> DataFrame:
+    """Numbers the rows of each group from 1 in the order of (hash, key): counts per hash prefix give each
+    prefix its first number, so a group is ranked in up to 65,536 parts."""
+    df = df.withColumn("_hash", hashed).withColumn("_prefix", F.substring("_hash", 1, 4))
+    by = [*groups, "_prefix"]
+    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(
+        *[F.col(c).alias(f"_s_{c}") for c in by], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_hash", key)))
+    met = [F.col(c) == F.col(f"_s_{c}") for c in by]
+    return ranked.join(starts, met).withColumn(into, F.col("_start") + F.col("_rank")).drop(
+        "_hash", "_prefix", "_rank", "_start", *[f"_s_{c}" for c in by]
+    )
+
+
 def permutation_importance(
-    test: DataFrame, scorer, features=V.FEATURES, rows: int = 5000, repeats: int = 5, seed: int = 42,
+    test: DataFrame, scorer, features=V.FEATURES, rows: int | None = None, repeats: int = 5, seed: int = 42,
     label: str = "congestion_code", key: str = "obs_id",
 ) -> DataFrame:
     """Weighted-F1 drop per shuffled feature: mean and population deviation over the repeats.
 
-    The sample (a fixed number of test rows, as a feature of the method) is numbered twice: in key
-    order for the receivers and, per (feature, repeat), in seeded hash order for the donors. One
-    equi-join gives every row its donor value and one scoring pass covers all features and repeats.
+    Takes all test rows, or a seeded sample of `rows` where asked for. They are numbered in seeded hash order
+    once for the receivers and, per (feature, repeat), for the donors. One equi-join gives every row its donor
+    value and one scoring pass covers all features and repeats.
     """
-    shared_dir(test.sparkSession)
-    # Drawn once and cut off from its history: at most `rows` rows feed everything below.
-    sample = seeded_sample(test.select(key, label, *features), rows, seed, key).checkpoint()
+    sample = test.select(key, label, *features)
+    if rows is not None:
+        sample = seeded_sample(sample, rows, seed, key)
     n_rep = F.array(*[F.lit(r) for r in range(repeats)])
-    own = sample.withColumn("_pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)))
+    own = numbered(sample, (), seeded_hash(f"{seed}-receiver", key), key, "_pos")
     long = (
         sample.select(key, F.explode(F.array(*[
             F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features
         ])).alias("x"), n_rep.alias("_reps"))
         .select(key, "x.feature", "x.value", F.explode("_reps").alias("repeat"))
     )
-    shuffled = seeded_hash(seed, "feature", "repeat", key)
-    donors = long.select(
-        "feature", "repeat", "value",
-        F.row_number().over(Window.partitionBy("feature", "repeat").orderBy(shuffled, key)).alias("_pos"),
-    )
+    donors = numbered(long, ("feature", "repeat"), seeded_hash(seed, "feature", "repeat", key), key, "_pos").drop(key)
     swapped = own.join(donors, "_pos").withColumns({
         f: F.when(F.col("feature") == f, F.col("value")).otherwise(F.col(f).cast("double")) for f in features
     })

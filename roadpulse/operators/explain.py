@@ -33,9 +33,9 @@ def contributing_factors() -> Column:
         _factor(weekend, "Weekend", "reducing", "weekend"),
         _factor(~weekend, F.format_string("Weekday (%s)", C.day_long(F.col("day_of_week"))), "moderate", "weekday"),
         _factor(F.col("is_holiday") == 1, "Public Holiday", "reducing", "holiday"),
-        _factor(rain > 5.0, F.format_string("Heavy rain (%.1f mm/hr)", rain), "high", "heavy_rain"),
-        _factor((rain > 0.5) & (rain <= 5.0), F.format_string("Light rain (%.1f mm/hr)", rain), "moderate", "light_rain"),
-        _factor(snow > 0, F.format_string("Snow (%.2f cm)", snow), "high", "snow"),
+        _factor(rain > 5.0, F.format_string("Heavy rain (%s mm/hr)", C.fixed(rain, 1)), "high", "heavy_rain"),
+        _factor((rain > 0.5) & (rain <= 5.0), F.format_string("Light rain (%s mm/hr)", C.fixed(rain, 1)), "moderate", "light_rain"),
+        _factor(snow > 0, F.format_string("Snow (%s cm)", C.fixed(snow, 2)), "high", "snow"),
         _factor(F.col("weather_code") >= 4, "Poor visibility (fog/thunderstorm)", "high", "visibility"),
         _factor(lag > 4500, F.format_string("Prior hour also heavy (%s vehicles)", volume), "high", "prior_heavy"),
         _factor(lag < 1000, F.format_string("Prior hour was light (%s vehicles)", volume), "reducing", "prior_light"),
@@ -145,7 +145,7 @@ def congestion_report(conditions: DataFrame, scorer: Scorer, corridor: str = "Co
     temp = F.bround("temp_celsius", 0).cast("int").cast("string")
     summary = F.concat_ws(
         " · ", C.clock(hour),
-        F.when(rain > 0, F.format_string("Rain %.1fmm/hr", rain)),
+        F.when(rain > 0, F.format_string("Rain %smm/hr", C.fixed(rain, 1))),
         F.when(F.col("is_holiday") == 1, "Holiday"),
         F.when(F.col("is_rush_hour") == 1, "Rush hour"),
         F.concat(temp, F.lit("°C")),

@@ -1,10 +1,9 @@
 """Ordered windows over long series without sending a series to one task.
 
-A series (all rows, or the rows of one sensor) is cut into blocks that keep its order. Windows run
-per block; the few rows a block needs from before its start arrive as a short array per block.
-Blocks are calendar spans. Where one span holds more rows than a task should sort, the rows are
-range-partitioned on (series, time, tie) instead, which splits any hot span, and the partition
-number is fixed by a reliable checkpoint before it is used as data.
+The rows are ordered by (series, time, tie) and cut into blocks at the quantiles of a sample of a fixed
+size, the rows with the smallest hashes. Bounds are values of all three, so a hot series, span or instant
+spreads over blocks. Windows run per block; the few rows a block needs from before its start arrive as a
+short array per block. Bounds shape the tasks only: any bounds give the same result.
 """
 
 from __future__ import annotations
@@ -14,9 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadpulse.session import shared_dir
-
-MAX_BLOCK_ROWS = 2_000_000
+BLOCKS = 256
+PER_BLOCK = 8
 
 
 def _series(keys: Sequence[str]) -> Column:
@@ -24,40 +22,36 @@ def _series(keys: Sequence[str]) -> Column:
     return F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
 
 
-def _calendar_blocks(df: DataFrame, keys, ts: str, span: str) -> DataFrame:
-    return df.withColumns({"_series": _series(keys), "_block": F.date_trunc(span, F.col(ts)).cast("timestamp_ntz")})
+def _place(keys: Sequence[str], ts: str, tie: str) -> Column:
+    return F.struct(_series(keys).alias("s"), F.col(ts).alias("t"), F.col(tie).alias("i"))
 
 
-def _range_blocks(df: DataFrame, keys, ts: str, tie: str, rows: int, max_rows: int) -> DataFrame:
-    shared_dir(df.sparkSession)
-    n = max(2, -(-rows // max_rows))
-    return (
-        df.withColumn("_series", _series(keys))
-        .repartitionByRange(n, "_series", ts, tie)
-        .withColumn("_block", F.spark_partition_id())
-        .checkpoint()
-    )
+def block_bounds(df: DataFrame, keys, ts: str, tie: str, blocks: int) -> Column:
+    """Ascending places that cut `df` into at most `blocks` parts, as a scalar subquery: each map task
+    passes on its `blocks x PER_BLOCK` rows of smallest hash, of which every PER_BLOCK-th is a bound."""
+    place = _place(keys, ts, tie)
+    sample = df.select(place.alias("p"), F.xxhash64(place).alias("h")).orderBy("h").limit(blocks * PER_BLOCK - 1)
+    spread = F.filter(F.array_sort(F.collect_list("p")), lambda x, i: i % PER_BLOCK == PER_BLOCK - 1)
+    return sample.agg(spread).scalar()
 
 
 def with_blocks(
-    df: DataFrame, keys=(), ts: str = "date_time", tie: str = "obs_id",
-    span: str = "month", max_block_rows: int = MAX_BLOCK_ROWS, strategy: str = "auto",
-    size_from: DataFrame | None = None,
+    df: DataFrame, keys=(), ts: str = "date_time", tie: str = "obs_id", blocks: int = BLOCKS,
+    bounds_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds `_series` and an order-keeping `_block`. `auto` counts rows per span first, on `size_from`
-    where given: any frame with at least these rows, such as the table before cleaning, whose count
-    reads two columns and skips the cleaning shuffles."""
-    blocked = _calendar_blocks(df, keys, ts, span)
-    if strategy == "calendar":
-        return blocked
-    measured = blocked if size_from is None else _calendar_blocks(size_from, keys, ts, span)
-    size = (
-        measured.groupBy("_series", "_block").count()
-        .agg(F.max("count").alias("hottest"), F.sum("count").alias("total")).first()
+    """Adds `_series` and an order-keeping `_block`. `bounds_from` is any frame with about these rows that is
+    cheaper to read, such as the table before cleaning. Tables far beyond a billion rows want more blocks."""
+    bounds = block_bounds(df if bounds_from is None else bounds_from, keys, ts, tie, blocks)
+    steps = [1 << k for k in range(blocks.bit_length() - 1, -1, -1)]
+    # number of bounds at or before the row's place, by bisection
+    found = F.aggregate(
+        F.array(*[F.lit(k) for k in steps]), F.lit(0),
+        lambda at, step: F.when(F.get(F.col("_bounds"), at + step - 1) <= F.col("_place"), at + step).otherwise(at),
+    )
+    return (
+        df.withColumns({"_bounds": bounds, "_place": _place(keys, ts, tie)})
+        .withColumns({"_series": _series(keys), "_block": found}).drop("_bounds", "_place")
     )
-    if strategy == "range" or (size.hottest or 0) > max_block_rows:
-        return _range_blocks(df, keys, ts, tie, size.total or 1, max_block_rows)
-    return blocked
 
 
 def block_carry(blocked: DataFrame, value: str, ts: str, tie: str, depth: int) -> DataFrame:
@@ -66,9 +60,9 @@ def block_carry(blocked: DataFrame, value: str, ts: str, tie: str, depth: int) -
     Row-number-limited windows keep `depth` rows per map task before the shuffle, so this moves
     blocks x depth values. Short blocks reach back over up to `depth` earlier blocks.
     """
-    newest_first = Window.partitionBy("_series", "_block").orderBy(F.desc(ts), F.desc(tie))
+    newest_first = Window.partitionBy("_series", "_block").orderBy(F.desc("_t"), F.desc("_i"))
     tails = (
-        blocked.select("_series", "_block", ts, tie, F.col(value).alias("_v"))
+        blocked.select("_series", "_block", F.col(ts).alias("_t"), F.col(tie).alias("_i"), F.col(value).alias("_v"))
         .withColumn("_back", F.row_number().over(newest_first))
         .where(F.col("_back") <= depth)
         .groupBy("_series", "_block")

@@ -19,7 +19,7 @@ from roadpulse.sources.artifacts import write_importance, write_metric_tables, w
 
 def prepared_history(raw: DataFrame, keys=(), tie: str = "obs_id", **series) -> DataFrame:
     """Raw observations to labelled feature rows: clean, engineer, label, drop unlabelled."""
-    series.setdefault("size_from", raw)
+    series.setdefault("bounds_from", raw)
     return raw.transform(clean).transform(engineer, keys=keys, tie=tie, **series).transform(
         label_congestion
     ).transform(drop_unlabelled)
@@ -57,7 +57,7 @@ def write_split(raw: DataFrame, path: str, keys=(), share: float = 0.15, seed: i
 
 def train_job(
     raw: DataFrame, out: str, keys=(), settings: dict[str, dict] | None = None, models=None,
-    share: float = 0.15, seed: int = 42, sample: int = 5000, repeats: int = 5,
+    share: float = 0.15, seed: int = 42, sample: int | None = None, repeats: int = 5,
 ):
     """Prepare, split, fit and compare, rank features, write artifacts. Returns (best name, summary, importance)."""
     train, test = write_split(raw, f"{out}/feature_rows", keys, share, seed)

@@ -87,6 +87,7 @@ def live_report(
         F.array_sort(F.collect_list(seg)).alias("corridor"),
         F.array_sort(F.collect_list(F.when(at_or_above(level), seg))).alias("_hits"),
     )
+    hits = F.coalesce("_hits", F.array())  # no segment, no alert
     return told.join(state, ["corridor_id", "base_code"], "left").select(
         "scenario_id",
         *[c.alias(n) for n, c in C.time_texts(t).items()],
@@ -94,7 +95,7 @@ def live_report(
         trend(F.col("current.code"), F.col("next_hour.code")).alias("trend"),
         "risk_forecast", "corridor",
         F.struct(
-            F.col("_hits").alias("segments"), F.size("_hits").alias("alert_count"),
-            (F.size("_hits") > 0).alias("alert_active"),
+            hits.alias("segments"), F.size(hits).alias("alert_count"),
+            (F.size(hits) > 0).alias("alert_active"),
         ).alias("alerts"),
     )

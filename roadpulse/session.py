@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,24 +25,13 @@ def get_spark(app: str = "roadpulse", master: str | None = None, shuffle_partiti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`.
-
-    Only where the session names none (local tests) a fresh local folder is set instead; on a
-    cluster the setting must point at storage that every executor sees.
-    """
+    """The folder named by `spark.checkpoint.dir`; a folder of its own below the warehouse where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return os.path.dirname(current)
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="roadpulse-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    if not named:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -10,6 +10,7 @@ from roadpulse.operators.features import calendar_features, holiday_feature
 
 FACTORS = (0.70, 0.80, 1.10, 1.40, 1.50, 1.20, 1.05, 0.95, 0.85, 1.00, 0.90, 1.00, 1.15, 1.30, 1.10, 0.75)
 SEGMENTS_PER_CORRIDOR = 16
+RARE_WEATHER = ("Haze", "Smoke", "Drizzle", "Mist", "Fog", "Thunderstorm")
 STRETCH = 36  # one month of events becomes three years of observations
 
 
@@ -22,6 +23,8 @@ def _bound_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     names = {"view": "Clear", "click": "Clouds", "purchase": "Rain", "signup": "Snow", "error": "Tornado"}
     weather = F.when(k == 90, "Squall")
+    for i, name in enumerate(RARE_WEATHER):
+        weather = weather.when(k == 20 + i, name)
     for event, name in names.items():
         weather = weather.when(F.col("event_type") == event, name)
     stretched = F.expr(
@@ -34,8 +37,8 @@ def _bound_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         stretched.alias("date_time"),
         F.floor(F.col("value") * 30).cast("int").alias("traffic_volume"),
         F.when(F.col("event_id") % 97 == 0, 0.0).otherwise(253.15 + 0.5 * k).alias("temp"),
-        F.when(k >= 95, 60.0).when(k == 76, 7.6).when(k > 60, 0.5 * (k - 60)).otherwise(0.0).alias("rain_1h"),
-        F.when((F.col("event_type") == "signup") & (k < 50), 0.1).otherwise(0.0).alias("snow_1h"),
+        F.when(k >= 95, 60.0).when(k == 76, 7.6).when(k > 60, 0.25 * (k - 60)).otherwise(0.0).alias("rain_1h"),
+        F.when((F.col("event_type") == "signup") & (k < 50), 0.125).otherwise(0.0).alias("snow_1h"),
         k.alias("clouds_all"),
         weather.alias("weather_main"),
         F.lower(weather).alias("weather_description"),

@@ -10,10 +10,6 @@ from roadpulse.catalog import all_oracles, all_queries
 from tests.conftest import SF_DIR
 
 QUERIES, ORACLES = all_queries(), all_oracles()
-NO_SQL = {
-    "m2_boosted_trees", "m3_early_stopping", "m4_random_forest", "m5_randomised_forest", "m7_class_probabilities",
-    "m8_confidence", "m13_train_and_compare", "m15_training_job",
-}
 
 
 @pytest.fixture(scope="module")
@@ -29,9 +25,8 @@ def _sorted_rows(rows, columns):
     return sorted(tuple("~" if r[i] is None else repr(r[i] + 0.0) if isinstance(r[i], float) else str(r[i]) for i in order) for r in rows)
 
 
-def test_only_models_lack_sql():
-    assert set(QUERIES) - set(ORACLES) == NO_SQL
-    assert not set(ORACLES) - set(QUERIES)
+def test_all_have_sql():
+    assert set(ORACLES) == set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -133,3 +133,42 @@ def test_training_job_writes_everything(spark, tmp_path):
     assert R.read_importance(spark, str(tmp_path / "feature_importance")).count() == len(V.FEATURES)
     assert L.model_scorer(R.read_model(str(tmp_path / "model")))(spark.read.parquet(str(tmp_path / "feature_rows"))).count() > 0
     assert spark.read.parquet(str(tmp_path / "model_comparison" / "report")).count() == 6
+
+
+def separable(spark, classes, n=400):
+    rows = [(i, classes[i % len(classes)], float(classes[i % len(classes)] * 10 + i % 7), float(i % 5)) for i in range(n)]
+    return spark.createDataFrame(rows, "obs_id long, congestion_code int, x double, y double")
+
+
+FITS = {
+    "RandomForest": lambda df: L.random_forest(df, trees=7, depth=4, features=("x", "y")),
+    "RandomisedForest": lambda df: L.randomised_forest(df, trees=7, depth=4, groups=3, features=("x", "y")),
+    "BoostedTrees": lambda df: L.boosted_trees(df, max_iter=3, depth=3, step=0.5, features=("x", "y")),
+}
+
+
+@pytest.mark.parametrize("name", FITS)
+@pytest.mark.parametrize("classes", [(0, 1, 2), (0, 1, 3)])
+def test_absent_classes(spark, name, classes):
+    df = separable(spark, classes)
+    got = L.model_scorer(FITS[name](df))(df).select("congestion_code", "pred_code", "probabilities").collect()
+    assert all(len(r.probabilities) == 4 and abs(sum(r.probabilities) - 1) < 1e-9 for r in got)
+    assert sum(r.congestion_code == r.pred_code for r in got) > 0.97 * len(got)
+
+
+@pytest.mark.parametrize("name", ["RandomForest", "RandomisedForest"])
+def test_fit_does_not_depend_on_partitions(spark, name):
+    df = separable(spark, (0, 1, 2, 3)).withColumn("x", F.col("x") + F.rand(3) * 15).persist()
+    a, b = (L.model_scorer(FITS[name](df.repartition(n)))(df).select("obs_id", "probabilities") for n in (4, 13))
+    assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+
+def test_all_trees_are_grown(spark):
+    model = L.randomised_forest(separable(spark, (0, 1, 2, 3), 80), trees=11, depth=2, groups=5, features=("x", "y"))
+    assert sum(s.getNumTrees for s in model.stages if hasattr(s, "getNumTrees")) == 11
+
+
+def test_patience():
+    assert L.patient_rounds([5, 4, 3, 3.5, 3.4, 3.2, 1], 3) == 3
+    assert L.patient_rounds([5, 4, 3, 3.5, 3.4, 2, 1], 3) == 7
+    assert L.patient_rounds([1], 20) == 1

@@ -275,3 +275,11 @@ def test_prediction_of_a_vector(spark):
 
     r = with_prediction(spark.range(1), scorer).first()
     assert (r.label, r.confidence) == ("High", 61.2)
+
+
+def test_printed_decimals_round_the_exact_value(spark):
+    from roadpulse.functions.columns import fixed
+
+    values = [0.0, 0.05, 0.1, 0.15, 0.125, 0.25, 0.35, 0.45, 0.375, 0.95, 0.99, 0.995, 2.25, 2.5, 2.35, 7.6, 7.65, 49.95, 50.0, 1234.565, 1e-9]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", fixed(F.col("v"), 1).alias("a"), fixed(F.col("v"), 2).alias("b"))
+    assert all((r.a, r.b) == (f"{r.v:.1f}", f"{r.v:.2f}") for r in got.collect())

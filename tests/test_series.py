@@ -43,19 +43,11 @@ def test_random_blocks(spark, seed):
     rng = random.Random(seed)
     df = rows(spark, rng.randrange(30, 400), seed, same_time=rng.choice([0.0, 0.5]))
     for keys in ((), ("sensor_id",)):
-        span = rng.choice(["hour", "day", "week", "month", "year"])
-        same(series.lag_features(df, keys=keys, span=span, strategy="calendar"), plain(df, keys))
+        same(series.lag_features(df, keys=keys, blocks=rng.choice([1, 2, 3, 16, 100])), plain(df, keys))
 
 
-@pytest.mark.parametrize("limit", [1, 7, 24, 100])
-def test_range_blocks(spark, limit):
-    df = rows(spark, 150, limit)
-    for keys in ((), ("sensor_id",)):
-        same(series.lag_features(df, keys=keys, strategy="range", max_block_rows=limit), plain(df, keys))
-
-
-def test_hot_time_and_hot_sensor_are_split(spark):
-    """A third of the rows at one instant: no block of the result is larger than a few limits."""
+def test_blocks_keep_order_and_split_hot_rows(spark):
+    """A third of the rows at one instant of one sensor: no block holds more than a few times its share."""
     df = rows(spark, 200, 5).unionByName(
         spark.range(1000, 1100).select(
             F.col("id").alias("obs_id"), F.lit(1).alias("sensor_id"),
@@ -63,15 +55,18 @@ def test_hot_time_and_hot_sensor_are_split(spark):
             F.col("id").cast("int").alias("traffic_volume"),
         )
     )
-    blocked = series.with_blocks(df, ("sensor_id",), max_block_rows=20)
+    blocked = series.with_blocks(df, ("sensor_id",), blocks=16).select("_series", "date_time", "obs_id", "_block")
     assert blocked.groupBy("_block").count().agg(F.max("count")).first()[0] <= 60
-    same(series.lag_features(df, keys=("sensor_id",), max_block_rows=20), plain(df, ("sensor_id",)))
+    order = Window.partitionBy("_series").orderBy("date_time", "obs_id")
+    assert blocked.withColumn("p", F.lag("_block").over(order)).where("p > _block").count() == 0
+    same(series.lag_features(df, keys=("sensor_id",), blocks=16), plain(df, ("sensor_id",)))
 
 
-def test_fill_and_size_bound(spark):
+def test_fill_and_other_bounds(spark):
     df = rows(spark, 40, 9)
-    got = series.lag_features(df, fill=5.0, size_from=df).where("traffic_lag_24h = 5.0")
+    got = series.lag_features(df, fill=5.0, bounds_from=df.limit(7)).where("traffic_lag_24h = 5.0")
     assert got.count() >= 24
+    same(series.lag_features(df, bounds_from=df.limit(0)), plain(df))
 
 
 def test_offsets_count_rows_not_hours(spark):
