@@ -32,7 +32,7 @@ from roadpulse.llm.frames import arrow_map, cut, stored
 from roadpulse.llm.grams import key_bits, mixed, passes
 
 SEGMENT = 1 << 22
-PART_ROWS = 500
+PART_ROWS = 2500
 BLOCK_TOKENS = 1 << 17
 _PLACE = np.uint64((1 << 24) - 1)
 
