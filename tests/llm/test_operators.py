@@ -497,3 +497,22 @@ def test_registered(spark, sf_dir):
     for name in ("op4_simhash", "op7_mixing", "op8_language_id", "op9_decontamination", "op10_token_counts"):
         assert C.QUERIES[name](spark, sf_dir).count() == n
     assert sorted(int(q[2:].split("_")[0]) for q in C.QUERIES) == list(range(1, 11))
+
+
+def test_similar_components(spark):
+    rng = random.Random(30)
+    rows, group = [], {}
+    for g in range(40):
+        base = words(rng, rng.randrange(80, 300), 10**6)
+        for c in range(rng.choice([1, 1, 2, 4])):
+            w = [*base]
+            for _ in range(c * len(w) // 150):  # each edit touches five shingles
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w), "en", "a"))
+            group[len(rows) - 1] = g
+    n = len(rows)
+    rows += [(1000, None, None, None), (1001, "", "en", "a"), (1002, " ", "en", "a"), (1003, "Two words", "en", "a"), (1004, "two WORDS", "en", "a"), (1, rows[1][1], "en", "a")]
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_components(table(spark, rows)).collect()}
+    assert all(group[got[i]] == group[i] and got[i] <= i for i in range(n))
+    assert sum(got[i] != min(j for j in group if group[j] == group[i]) for i in range(n)) <= 2
+    assert got[1000] == got[1001] == got[1002] == 1000 and got[1003] == got[1004] == 1003
