@@ -15,7 +15,8 @@ HEADLINE = (
     "c1_exact_duplicates", "p14_prepared_history", "w2_w3_by_sensor", "a6_peak_summary", "a7_dataset_statistics",
     "a12_volume_heatmap", "a16_weather_box", "a26_median_lags_by_hour", "m1_stratified_split", "m11_class_report",
     "m14_permutation_importance", "m4_random_forest", "g1_risk_by_hour", "g8_corridor_state", "g9_corridor_summary",
-    "g17_live_report", "i9_congestion_report", "i10_predict_explain_plan",
+    "g17_live_report", "i9_congestion_report", "i10_predict_explain_plan", "m13_train_and_compare",
+    "g12_segment_history", "l1_alert_stream",
 )
 
 
