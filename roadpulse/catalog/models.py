@@ -25,7 +25,7 @@ RULES = {
 # over the fixture, so the checks fit smaller ones.
 SIZES = {
     "BoostedTrees": {"max_iter": 10, "depth": 5},
-    "RandomForest": {"trees": 60, "depth": 10},
+    "RandomForest": {"trees": 30, "depth": 8},
     "RandomisedForest": {"trees": 22, "depth": 10, "groups": 5},
 }
 QUICK_FOREST = {"trees": 20, "depth": 8}
