@@ -61,6 +61,15 @@ def _csv_round_trip(spark, d):
     return O.read_observations(spark, path, extra="obs_id long")
 
 
+def _reference_csv(spark, d):
+    """The nine columns of an observation file, without any key, from CSV to feature rows."""
+    path = scratch_path(spark, "observations")
+    O.write_observations_csv(raw(spark, d).select(*O.OBSERVATION.names), path)
+    return prepared_history(O.read_observations(spark, path)).select(
+        "date_time", "traffic_volume", "congestion_code", F.round("temp_celsius", 6).alias("temp_celsius"), "traffic_lag_1h", "traffic_lag_24h"
+    )
+
+
 def _table_round_trip(spark, d):
     path = scratch_path(spark, "observation-table")
     O.write_observation_table(cleaned(spark, d), path)
@@ -91,6 +100,7 @@ QUERIES = {
     # sources
     "s1_observation_csv": _csv_round_trip,
     "s1_observation_table": _table_round_trip,
+    "s1_reference_csv": _reference_csv,
     "s7_json_records": lambda s, d: lean(s, d).transform(
         lambda x: as_json_records(x.groupBy("hour").agg(F.round(F.avg("traffic_volume"), 1).alias("avg_volume")))
     ),
@@ -155,6 +165,8 @@ _MATRIX = ", ".join(
 
 ORACLE = {
     "s1_observation_csv": sql(f"SELECT {OBS.replace('sensor_id, ', '')} FROM raw"),
+    "s1_reference_csv": sql("""SELECT date_time, traffic_volume, congestion_code, round(temp_celsius, 6) AS temp_celsius,
+        traffic_lag_1h, traffic_lag_24h FROM hist"""),
     "s1_observation_table": sql("SELECT CAST(year(date_time) AS INTEGER) AS obs_year, count(*) AS n FROM cleaned GROUP BY 1"),
     "s7_json_records": sql("""SELECT '{"hour":' || hour || ',"avg_volume":' || a || '}' AS record FROM by_hour"""),
     "s8_preview": sql("""SELECT date_time, traffic_volume, congestion_label, hour, is_rush_hour, is_weekend, weather_main,

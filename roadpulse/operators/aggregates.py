@@ -142,7 +142,8 @@ def dataset_statistics(df: DataFrame) -> DataFrame:
     peak = peak_summary(df).select(
         "peak_hour", "trough_hour", "peak_day", "weekday_avg", "weekend_avg", "holiday_avg", "rush_avg"
     )
-    return stats.withColumn("_one", F.lit(1)).join(peak.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # one row each: the peaks come as a scalar subquery, without a join
+    return stats.withColumn("_peak", peak.select(F.struct("*")).scalar()).select("*", "_peak.*").drop("_peak")
 
 
 # --- class distribution -----------------------------------------------------------------

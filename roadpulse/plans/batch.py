@@ -17,12 +17,23 @@ from roadpulse.operators.learning import model_scorer, train_and_compare
 from roadpulse.sources.artifacts import write_importance, write_metric_tables, write_metrics, write_model
 
 
-def prepared_history(raw: DataFrame, keys=(), tie: str = "obs_id", **series) -> DataFrame:
-    """Raw observations to labelled feature rows: clean, engineer, label, drop unlabelled."""
+def prepared_history(raw: DataFrame, keys=(), tie: str | None = None, **series) -> DataFrame:
+    """Raw observations to labelled feature rows: clean, engineer, label, drop unlabelled.
+
+    Rows of equal time are ordered by `tie`, which is `obs_id` where there is one, else all columns together:
+    after the exact duplicates are gone that is a total order.
+    """
+    if tie is None and "obs_id" in raw.columns:
+        tie = "obs_id"
+    whole_row = tie is None
+    if whole_row:
+        tie = "_tie"
+        raw = raw.withColumn(tie, F.struct(*raw.columns))
     series.setdefault("bounds_from", raw)
-    return raw.transform(clean).transform(engineer, keys=keys, tie=tie, **series).transform(
+    out = raw.transform(clean).transform(engineer, keys=keys, tie=tie, **series).transform(
         label_congestion
     ).transform(drop_unlabelled)
+    return out.drop(tie) if whole_row else out
 
 
 def labelled_rows(raw: DataFrame) -> DataFrame:
