@@ -98,6 +98,7 @@ SIMILAR_WORDS = 5
 SIMILARITY = 0.8
 LONGS = 8
 BLOCK_BITS = 32
+BLOCKS = 10
 
 
 def text_signature(text: bytes, words: int = SIMILAR_WORDS) -> np.ndarray:
@@ -125,13 +126,12 @@ def similar_components(docs: DataFrame, words: int = SIMILAR_WORDS, similarity:
     """Per row: doc_id, component_id of texts whose shingle sets are similar (Jaccard, estimated) by `similarity` or more.
 
     A single fingerprint at 2 bits finds few pairs at 0.8. Here a text has LONGS x 64 bits in blocks of `block_bits`;
-    texts that differ in 2 bits or fewer of any block meet by half the radius as in `links`, and pairs that meet are
+    texts that differ in 2 bits or fewer of one of the first BLOCKS blocks meet by half the radius as in `links`, and pairs that meet are
     verified by all bits: the part of bits that differ estimates the angle between the shingle sets. At 0.8
-    about nine pairs in ten meet in a block, at 0.9 nearly all. Texts that meet by chance grow with the square of
+    about three pairs in four meet in a block, at 0.9 nearly all. Texts that meet by chance grow with the square of
     the documents over 2^block_bits; beyond some 10^8 distinct texts blocks should be longer.
 
-    Of each meeting place the text with the smallest number and the one whose block is most frequent are compared
-    with the others; a place holds at most one text for each value around it. Equal texts are folded first.
+    At each meeting place the text whose block is most frequent is compared with the others; a place holds at most one text for each value around it. Equal texts are folded first.
     """
     names = [f"s{i}" for i in range(LONGS)]
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -149,23 +149,20 @@ def similar_components(docs: DataFrame, words: int = SIMILAR_WORDS, similarity:
     mask = (1 << block_bits) - 1
     blocks = F.array(*[
         F.shiftrightunsigned(n, block_bits * j).bitwiseAND(F.lit(mask)) for n in names for j in range(per_long)
-    ])
+    ][:BLOCKS])
     split = texts.select("sid", "first", F.posexplode(blocks).alias("block", "value"))
     heads = stored(
         split.groupBy("block", "value").agg(F.min(F.struct("first", "sid")).alias("head"), F.count(F.lit(1)).alias("n")), "heads"
     )
     inside = split.join(heads.where("n > 1").select("block", "value", F.col("head.sid").alias("other")), ["block", "value"]).where("sid <> other")
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(block_bits)])
-    met = heads.select("head", "n", "block", "value", F.explode(flips).alias("flip")).select(
-        F.col("head.sid").alias("sid"), "head", "n",
-        (F.col("block") * F.lit(1 << block_bits) + F.col("value").bitwiseXOR(F.col("flip"))).alias("place"),
+    # the rows of this shuffle are many, so they carry a place, a text and how frequent its block is
+    met = heads.select(F.col("head.sid").alias("sid"), F.col("n").cast("int").alias("n"), "block", "value", F.explode(flips).alias("flip")).select(
+        "sid", "n", (F.col("block") * F.lit(1 << block_bits) + F.col("value").bitwiseXOR(F.col("flip"))).alias("place"),
     )
-    place = Window.partitionBy("place")
-    near = met.select(
-        "sid", F.array(F.min("head").over(place)["sid"], F.max(F.struct("n", "sid")).over(place)["sid"]).alias("_centres")
-    ).where((F.col("sid") != F.col("_centres")[0]) | (F.col("sid") != F.col("_centres")[1]))
-    pairs = near.select("sid", F.explode(F.array_distinct("_centres")).alias("other")).where("sid <> other")
-    pairs = stored(pairs.unionByName(inside.select("sid", "other")).select(
+    centre = F.max(F.struct("n", "sid")).over(Window.partitionBy("place"))["sid"]
+    near = met.select("sid", centre.alias("other")).where("sid <> other")
+    pairs = stored(near.unionByName(inside.select("sid", "other")).select(
         F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct(), "pairs")
     most = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * LONGS
