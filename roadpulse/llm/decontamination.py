@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.frames import arrow_map, flat
+from roadpulse.llm.frames import arrow_map, flat, stored
 
 Q = 8
 ERRORS = 0.05
@@ -151,6 +151,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, least
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
+    rows, key = docs.select("doc_id", "text"), ""
+    if blocks > 1:  # a written number of each row brings its blocks together, whatever its doc_id
+        rows, key = stored(rows.withColumn("row", F.monotonically_increasing_id()), "numbered"), "row long, "
     found = None
     for block in range(blocks):
         mine = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).select("item_id", "text")
@@ -158,10 +161,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, least
 
         def search(batch: pa.RecordBatch, held=held) -> dict:
             items = contained(batch.column("text"), held.value)
-            return {"doc_id": batch.column("doc_id"), "items": pa.array(items, pa.list_(pa.int64()))}
+            own = {"row": batch.column("row")} if key else {}
+            return {**own, "doc_id": batch.column("doc_id"), "items": pa.array(items, pa.list_(pa.int64()))}
 
-        part = arrow_map(docs.select("doc_id", "text"), search, f"doc_id {kind}, items array<bigint>")
+        part = arrow_map(rows, search, f"{key}doc_id {kind}, items array<bigint>")
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
-        found = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        items = F.array_sort(F.flatten(F.collect_list("items"))).alias("items")
+        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), items).drop("row")
     return found

@@ -570,3 +570,17 @@ def test_all_similar_pairs_are_found(spark):
     rows = [(2 * i + j, " ".join(w), "en", "a") for i, p in enumerate(pairs) for j, w in enumerate(p)]
     got = {r.doc_id: r.component_id for r in simhash_dedup.similar_components(table(spark, rows)).collect()}
     assert got == {i: i - i % 2 for i in range(len(rows))}
+
+
+def test_decontamination_in_blocks_keeps_each_row(spark):
+    rng = random.Random(34)
+    items = [(i, " ".join(words(rng, 12, 10**6))) for i in range(6)]
+    items.append(items[1])
+    texts = [f"{items[0][1]} more {items[1][1]}", f"x {items[2][1]}", items[3][1], "no item here at all"]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (None, None), (2, texts[3])]
+    docs = table(spark, [(i, t, "en", "a") for i, t in rows])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = [(1, [0, 1, 1]), (1, [0, 1, 1]), (1, [2]), (None, [3]), (None, []), (None, []), (2, [])]
+    for block_bytes in (1 << 20, 200):
+        got = [(r.doc_id, r["items"]) for r in decontamination.matches(docs, bench, block_bytes=block_bytes).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
