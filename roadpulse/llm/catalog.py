@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import decontamination, language_id, mixing, neighbours, secret_scan, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity
+from roadpulse.llm import decontamination, language_id, lexical_search, mixing, neighbours, secret_scan, simhash_dedup, substring_dedup
+from roadpulse.llm import suffix_dedup, token_counts, toxicity
 from roadpulse.llm.frames import table
 
 
@@ -74,10 +75,32 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_secret_scan, op2_toxicity, op3_neighbours, op4_simhash, op5_substring_dedup, op6_suffix_dedup, op7_mixing,
-        op8_language_id, op9_decontamination, op10_token_counts,
+        op8_language_id, op9_decontamination, op10_token_counts, op13_lexical_search,
     )
 }
-ORACLE: dict[str, str] = {}
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[0-9A-Za-z\x{80}-\x{10FFFF}]+')"""
+
+ORACLE: dict[str, str] = {
+    "op13_lexical_search": f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents WHERE text IS NOT NULL),
+size AS (SELECT r, doc_id, len(ts) AS n FROM doc WHERE len(ts) > 0),
+whole AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM size),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM doc) GROUP BY 1, 2),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY t, nd),
+impact AS (SELECT tf.r, tf.t, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // l))) AS i
+  FROM tf JOIN size USING (r) JOIN w USING (t), whole),
+asked AS (SELECT item_id, t, count(*) AS k FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark WHERE text IS NOT NULL) GROUP BY 1, 2),
+scored AS (SELECT item_id, r, CAST(sum(k * i) AS BIGINT) AS score FROM asked JOIN impact USING (t) GROUP BY 1, 2),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored JOIN size USING (r) WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20""",
+}
