@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadpulse.llm import decontamination, language_id, lexical_search, mixing, neighbours, secret_scan, simhash_dedup, substring_dedup
-from roadpulse.llm import suffix_dedup, token_counts, toxicity
+from roadpulse.llm import suffix_dedup, token_counts, toxicity, whitening
 from roadpulse.llm.frames import table
 
 
@@ -75,6 +75,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents for each benchmark item."""
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -83,7 +88,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_secret_scan, op2_toxicity, op3_neighbours, op4_simhash, op5_substring_dedup, op6_suffix_dedup, op7_mixing,
-        op8_language_id, op9_decontamination, op10_token_counts, op13_lexical_search,
+        op8_language_id, op9_decontamination, op10_token_counts, op11_whitening, op13_lexical_search,
     )
 }
 _TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
