@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import decontamination, language_id, lexical_search, mixing, neighbours, secret_scan, simhash_dedup, substring_dedup
-from roadpulse.llm import suffix_dedup, token_counts, toxicity, whitening
+from roadpulse.llm import decontamination, language_id, lexical_search, mixing, neighbours, ngram_join, secret_scan
+from roadpulse.llm import simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity, whitening
 from roadpulse.llm.frames import table
 
 
@@ -80,6 +80,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document under links of 85 % of the words' 4-grams."""
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents for each benchmark item."""
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -88,13 +93,25 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_secret_scan, op2_toxicity, op3_neighbours, op4_simhash, op5_substring_dedup, op6_suffix_dedup, op7_mixing,
-        op8_language_id, op9_decontamination, op10_token_counts, op11_whitening, op13_lexical_search,
+        op8_language_id, op9_decontamination, op10_token_counts, op11_whitening, op12_ngram_join, op13_lexical_search,
     )
 }
 _TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[0-9A-Za-z\x{80}-\x{10FFFF}]+')"""
 
 ORACLE: dict[str, str] = {
+    "op12_ngram_join": r"""
+WITH RECURSIVE doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+word AS (SELECT r, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM doc),
+run AS (SELECT r, i, t, lead(t, 1) OVER o AS t2, lead(t, 2) OVER o AS t3, lead(t, 3) OVER o AS t4 FROM word WINDOW o AS (PARTITION BY r ORDER BY i)),
+single AS (SELECT DISTINCT r, concat_ws(' ', t, t2, t3, t4) AS g FROM run WHERE i = 1 OR t4 IS NOT NULL),
+sized AS (SELECT r, doc_id, coalesce(n, 0) AS n FROM doc LEFT JOIN (SELECT r, count(*) AS n FROM single GROUP BY 1) USING (r)),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM single a JOIN single b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+edge AS (SELECT a, b FROM common JOIN sized x ON x.r = a JOIN sized y ON y.r = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT r, r AS s FROM doc UNION SELECT reach.r, edge.b FROM reach JOIN edge ON edge.a = reach.s)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM reach JOIN sized d ON d.r = reach.r JOIN sized o ON o.r = reach.s GROUP BY d.r, d.doc_id, d.n""",
     "op13_lexical_search": f"""
 WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents WHERE text IS NOT NULL),
 size AS (SELECT r, doc_id, len(ts) AS n FROM doc WHERE len(ts) > 0),

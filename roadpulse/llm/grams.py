@@ -89,15 +89,15 @@ class GramSums:
         return self.keys, self.counts
 
 
-def _places(keys: np.ndarray) -> list[np.ndarray]:
-    return [(mixed(keys, seed) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for seed in (31, 32)]
+def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(mixed(keys, seed) & np.uint64(bits - 1)).astype(np.int64) for seed in (31, 32)]
 
 
-def key_bits(keys: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits that holds the longs of `keys` (g); it reaches the driver as packed chunks."""
+def key_bits(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A filter of `bits` bits (a power of two) that holds the longs of `keys` (g); it reaches the driver as packed chunks."""
 
     def marks(batch: pa.RecordBatch) -> dict:
-        place = np.concatenate(_places(np.asarray(batch.column("g")).view(np.uint64)))
+        place = np.concatenate(_places(np.asarray(batch.column("g")).view(np.uint64), bits))
         return {"word": place >> 6, "bit": (np.uint64(1) << (place & 63).astype(np.uint64)).view(np.int64)}
 
     def pack(group: pa.Table) -> pa.Table:
@@ -107,7 +107,7 @@ def key_bits(keys: DataFrame) -> np.ndarray:
 
     words = arrow_map(keys, marks, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits"))
     chunks = words.groupBy(F.expr(f"word DIV {CHUNK_WORDS}")).applyInArrow(pack, "chunk long, packed binary").toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     for chunk, packed in zip(chunks.column("chunk").to_pylist(), chunks.column("packed").to_pylist()):
         out[chunk * CHUNK_WORDS: (chunk + 1) * CHUNK_WORDS] = np.frombuffer(packed, np.int64)
     return out.view(np.uint64)
@@ -115,5 +115,5 @@ def key_bits(keys: DataFrame) -> np.ndarray:
 
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys the filter holds; a few others pass by chance."""
-    held = [(bits[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) for p in _places(keys)]
+    held = [(bits[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) for p in _places(keys, 64 * len(bits))]
     return (held[0] & held[1]).astype(bool)
