@@ -41,6 +41,8 @@ WORDS = 4
 PERCENT = 85
 SLICES = 8
 CUTS = 40
+SKETCH_BITS = 1024
+FOLDED = 4
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
@@ -99,11 +101,12 @@ def segment_keys(sets: np.ndarray, sizes: np.ndarray, of: np.ndarray, classes: C
 
 
 def sketches(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Four longs a row: the parity of the number of n-grams in each of 256 places. Two sets differ in at least as many
-    n-grams as their sketches in bits."""
+    """SKETCH_BITS bits a row, as longs: the parity of the number of n-grams in each of so many places. Two sets differ
+    in at least as many n-grams as their sketches in bits."""
     rows = np.repeat(np.arange(len(sizes)), sizes)
-    odd = np.bincount(rows * 256 + (sets & np.uint64(255)).astype(np.int64), minlength=256 * len(sizes)) & 1
-    return np.packbits(odd.reshape(-1, 256).astype(np.uint8), axis=1).view(np.int64)
+    places = rows * SKETCH_BITS + (sets & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+    odd = np.bincount(places, minlength=SKETCH_BITS * len(sizes)) & 1
+    return np.packbits(odd.reshape(-1, SKETCH_BITS).astype(np.uint8), axis=1).view(np.int64)
 
 
 def _lists(rows: np.ndarray, keys: np.ndarray, n: int) -> pa.ListArray:
@@ -132,10 +135,10 @@ def signed(docs: DataFrame, words: int, classes: Classes) -> DataFrame:
         return {
             "doc_id": batch.column("doc_id"), "sid": pa.array(sids, pa.binary()), "n": sizes,
             "own": _lists(*segment_keys(every, sizes, of, classes), n), "below": _lists(*segment_keys(every, sizes, of - 1, classes), n),
-            **{f"s{i}": bits[:, i].copy() for i in range(4)},
+            "sketch": pa.FixedSizeListArray.from_arrays(bits.ravel(), bits.shape[1]).cast(pa.list_(pa.int64())),
         }
 
-    schema = f"doc_id {kind}, sid binary, n long, own array<long>, below array<long>, s0 long, s1 long, s2 long, s3 long"
+    schema = f"doc_id {kind}, sid binary, n long, own array<long>, below array<long>, sketch array<long>"
     return arrow_map(docs.select("doc_id", "text"), compute, schema)
 
 
@@ -169,48 +172,60 @@ def repeated_only(marked: DataFrame) -> DataFrame:
     return left.dropDuplicates(["sid"])
 
 
-def _may_link(percent: int) -> Column:
-    """Whether the sizes (n, m) and sketches (s, t) of two sets leave a link possible."""
+def _differ(s: str, t: str) -> Column:
+    """Bits in which two sketches differ."""
+    return F.aggregate(F.zip_with(s, t, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+
+
+def _may_link(differ: Column, percent: int) -> Column:
+    """Whether sizes n and m and so many sure differences leave a link possible."""
     sum_ = F.col("n") + F.col("m")
     both = F.ceil(sum_ * percent / (100 + percent) - 1e-6)
-    differ = sum(F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(4))
     return (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (differ <= sum_ - 2 * both)
 
 
-def _met(held: DataFrame, *more: str) -> DataFrame:
-    """A row for each key of each set; `home` says that the key is of the set's own class."""
+def _met(held: DataFrame) -> DataFrame:
+    """(node, key, home): the keys of each set; `home` says that the key is of the set's own class."""
     own = F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(True).alias("home")))
     below = F.transform("below", lambda k: F.struct(k.alias("key"), F.lit(False).alias("home")))
-    return held.select("sid", "n", "s0", "s1", "s2", "s3", *more, F.inline(F.concat(own, below)))
-
+    return held.select("node", F.inline(F.concat(own, below)))
 
-def _other(met: DataFrame, *more: str) -> DataFrame:
-    return met.select(
-        "key", F.col("sid").alias("other"), F.col("n").alias("m"), F.col("home").alias("home_m"),
-        *[F.col(f"s{i}").alias(f"t{i}") for i in range(4)], *[F.col(c).alias(f"{c}_m") for c in more],
-    )
 
-
-def _pairs(met: DataFrame) -> DataFrame:
-    return met.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"), (F.col("n") + F.col("m")).alias("sum")).distinct()
+def _possible(held: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(one, two, a, b, sum): the pairs (one, two) of nodes that sizes and sketches leave possible, with hashes and the sum of the sizes."""
+    own = held.select(F.col("node").alias("one"), F.col("sid").alias("a"), "n", F.col("sketch").alias("s"))
+    other = held.select(F.col("node").alias("two"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("t"))
+    both = pairs.join(own, "one").join(other, "two").where(_may_link(_differ("s", "t"), percent))
+    return both.select("one", "two", "a", "b", (F.col("n") + F.col("m")).alias("sum"))
 
 
 def central_pairs(held: DataFrame, percent: int) -> DataFrame:
-    """(a, b, sum of sizes): at each key the set with the smallest hash of the key's own class with each other set there."""
+    """Pairs as from `_possible`: at each key the first set of the key's own class with each other set there."""
     met = _met(held)
-    own = F.struct("sid", "n", "home", "s0", "s1", "s2", "s3")
-    centres = _other(met.where("home").groupBy("key").agg(F.min(own).alias("c")).select("key", "c.*"))
-    return _pairs(met.join(centres, "key").where(F.col("sid") != F.col("other")).where(_may_link(percent)))
+    centres = met.where("home").groupBy("key").agg(F.min("node").alias("one"))
+    pairs = met.join(centres, "key").where("node <> one").select("one", F.col("node").alias("two")).distinct()
+    return _possible(held, pairs, percent)
+
+
+def _folded(k: int) -> Column:
+    """One of the FOLDED longs that a sketch is folded to: parities in fewer places."""
+    own = F.filter("sketch", lambda x, i: i % FOLDED == k)
+    return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
 
 
 def open_pairs(held: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b, sum of sizes): sets that meet at a key and are in different components."""
-    rooted = stored(held.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted")
-    met = _met(rooted, "root")
-    several = met.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two"), F.bool_or("home").alias("own"))
-    met = met.join(several.where("own AND one <> two").select("key"), "key", "left_semi")
-    once = F.col("home") & (~F.col("home_m") | (F.col("sid") < F.col("other")))
-    return _pairs(met.join(_other(met, "root"), "key").where(once & (F.col("root") != F.col("root_m")) & _may_link(percent)))
+    """The pairs, as from `central_pairs`, that meet at a key and are in different components."""
+    folded = [_folded(k).alias(f"s{k}") for k in range(FOLDED)]
+    rooted = stored(held.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), *folded), "rooted")
+    met = _met(held).join(rooted.select("node", "root"), "node")
+    several = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or("home").alias("own"))
+    met = stored(met.drop("root").join(several.where("own AND low <> high").select("key"), "key", "left_semi"), "open").join(rooted, "node")
+    other = met.select("key", F.col("node").alias("two"), F.col("n").alias("m"), F.col("home").alias("home_m"), F.col("root").alias("root_m"),
+                       *[F.col(f"s{k}").alias(f"t{k}") for k in range(FOLDED)])
+    once = F.col("home") & (~F.col("home_m") | (F.col("node") < F.col("two"))) & (F.col("root") != F.col("root_m"))
+    differ = sum(F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(FOLDED))
+    pairs = met.join(other, "key").where(once & _may_link(differ, percent)).select(F.col("node").alias("one"), "two").distinct()
+    return _possible(held, pairs, percent)
 
 
 def _head(batch: pa.RecordBatch) -> dict:
@@ -219,7 +234,7 @@ def _head(batch: pa.RecordBatch) -> dict:
 
 
 def linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: overlaps counted per fragment of the order and summed per pair."""
+    """(a, b): the nodes of the pairs that link. Overlaps are counted per fragment of the order and summed per pair."""
     pairs = stored(pairs, "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     needed = docs.sparkSession.sparkContext.broadcast(key_bits(arrow_map(asked, _head, "g long"), filter_bits(2 * pairs.count())))
@@ -242,23 +257,24 @@ def linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
     segments = stored(cuts.dropDuplicates(["sid", "fragment"]), "segments")
     of = lambda c: segments.select(F.col("sid").alias(c), "fragment", F.col("segment").alias(f"{c}_s"))
     shared = F.size(F.array_intersect("a_s", "b_s"))
-    counted = pairs.join(of("b"), "b").join(of("a"), ["a", "fragment"]).select("a", "b", "sum", shared.alias("shared"))
-    both = counted.groupBy("a", "b", "sum").agg(F.sum("shared").alias("both"))
-    return stored(both.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b"), "links")
+    counted = pairs.join(of("b"), "b").join(of("a"), ["a", "fragment"]).select("one", "two", "sum", shared.alias("shared"))
+    both = counted.groupBy("one", "two", "sum").agg(F.sum("shared").alias("both"))
+    enough = both.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent)
+    return stored(enough.select(F.col("one").alias("a"), F.col("two").alias("b")), "links")
 
 
 def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, its own included)."""
     marked = stored(signed(docs, words, Classes(percent)), "signed")
-    held = stored(repeated_only(marked), "held")
+    held = stored(repeated_only(marked).withColumn("node", F.monotonically_increasing_id()), "held")  # numbered once, as written
     near = linked(docs, central_pairs(held, percent), words, percent)
     roots = connected_components(near)
     more = linked(docs, open_pairs(held, roots, percent), words, percent)
     if not more.isEmpty():
         roots = connected_components(near.unionByName(more))
-    texts = marked.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"))
-    rooted = texts.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = rooted.join(smallest, "root").select("sid", "component_id")
+    rooted = held.select("sid", "node").join(roots, "node").select("sid", "root")
+    texts = marked.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first")).join(rooted, "sid", "left")
+    smallest = texts.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("low"))
+    found = texts.join(smallest, "root", "left").select("sid", F.least("low", "first").alias("component_id"))
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return marked.join(found, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))

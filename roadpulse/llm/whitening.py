@@ -201,7 +201,7 @@ def characteristic_polynomial(spark: SparkSession, m: list[list[int]]) -> list[i
 
     found = spark.range(0, len(primes), 1, min(len(primes), PRIME_PARTS)).mapInArrow(residues, "id long, residues array<long>")
     product, total = math.prod(primes), [0] * (d + 1)
-    for k, values in found.toLocalIterator():
+    for k, values in found.collect():  # a row of d + 1 longs per prime
         others = product // primes[k]
         unit = others * pow(others, -1, primes[k])
         total = [t + unit * v for t, v in zip(total, values)]
