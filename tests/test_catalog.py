@@ -25,8 +25,12 @@ def _sorted_rows(rows, columns):
     return sorted(tuple("~" if r[i] is None else repr(r[i] + 0.0) if isinstance(r[i], float) else str(r[i]) for i in order) for r in rows)
 
 
-def test_all_have_sql():
-    assert set(ORACLES) == set(QUERIES)
+#: What a model learned on the given classes; the tests of the models hold these against direct computations.
+WITHOUT_SQL = {"m2_predictions", "m3_loss_by_round", "m5_predictions"}
+
+
+def test_all_others_have_sql():
+    assert set(ORACLES) == set(QUERIES) - WITHOUT_SQL
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

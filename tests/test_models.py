@@ -2,12 +2,14 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from roadpulse import fixed_values as V
 from roadpulse.catalog import models as M
 from roadpulse.operators import evaluation as E
+from roadpulse.operators import histogram_trees as H
 from roadpulse.operators import learning as L
 from roadpulse.operators.scoring import rule_scorer
 from roadpulse.sources import artifacts as R
@@ -85,7 +87,7 @@ def test_models_beat_persistence(parts):
     base = _f1(test, rule_scorer())
     small = {
         "BoostedTrees": {"max_iter": 4, "depth": 3}, "RandomForest": {"trees": 8, "depth": 5},
-        "RandomisedForest": {"trees": 8, "depth": 6, "groups": 2},
+        "RandomisedForest": {"trees": 8, "depth": 6},
     }
     for name, fit in L.MODELS.items():
         scorer = L.model_scorer(fit(train, **small[name]))
@@ -142,7 +144,7 @@ def separable(spark, classes, n=400):
 
 FITS = {
     "RandomForest": lambda df: L.random_forest(df, trees=7, depth=4, features=("x", "y")),
-    "RandomisedForest": lambda df: L.randomised_forest(df, trees=7, depth=4, groups=3, features=("x", "y")),
+    "RandomisedForest": lambda df: L.randomised_forest(df, trees=7, depth=4, features=("x", "y")),
     "BoostedTrees": lambda df: L.boosted_trees(df, max_iter=3, depth=3, step=0.5, features=("x", "y")),
 }
 
@@ -156,7 +158,7 @@ def test_absent_classes(spark, name, classes):
     assert sum(r.congestion_code == r.pred_code for r in got) > 0.97 * len(got)
 
 
-@pytest.mark.parametrize("name", ["RandomForest", "RandomisedForest"])
+@pytest.mark.parametrize("name", FITS)
 def test_fit_does_not_depend_on_partitions(spark, name):
     df = separable(spark, (0, 1, 2, 3)).withColumn("x", F.col("x") + F.rand(3) * 15).persist()
     a, b = (L.model_scorer(FITS[name](df.repartition(n)))(df).select("obs_id", "probabilities") for n in (4, 13))
@@ -164,11 +166,100 @@ def test_fit_does_not_depend_on_partitions(spark, name):
 
 
 def test_all_trees_are_grown(spark):
-    model = L.randomised_forest(separable(spark, (0, 1, 2, 3), 80), trees=11, depth=2, groups=5, features=("x", "y"))
-    assert sum(s.getNumTrees for s in model.stages if hasattr(s, "getNumTrees")) == 11
+    assert len(L.randomised_forest(separable(spark, (0, 1, 2, 3), 80), trees=11, depth=2, features=("x", "y"), together=4).trees) == 11
 
 
 def test_patience():
-    assert L.patient_rounds([5, 4, 3, 3.5, 3.4, 3.2, 1], 3) == 3
-    assert L.patient_rounds([5, 4, 3, 3.5, 3.4, 2, 1], 3) == 7
-    assert L.patient_rounds([1], 20) == 1
+    assert H.patient_rounds([5, 4, 3, 3.5, 3.4, 3.2, 1], 3) == (3, True)
+    assert H.patient_rounds([5, 4, 3, 3.5, 3.4, 2, 1], 3) == (7, False)
+    assert H.patient_rounds([1], 20) == (1, False)
+
+
+# --- trees from histograms ------------------------------------------------------------------------------------
+
+USE = ("hour", "day_of_week", "temp_celsius", "traffic_lag_1h")
+
+
+def _same(a, b):
+    return len(a.trees) == len(b.trees) and all(
+        np.array_equal(x.feature, y.feature) and np.array_equal(x.cut, y.cut) and np.array_equal(x.left, y.left) and np.array_equal(x.value, y.value)
+        for x, y in zip(a.trees, b.trees)
+    )
+
+
+@pytest.fixture(scope="module")
+def decided(parts):
+    """Rows whose class the features decide, but for a tenth."""
+    noise = F.pmod(F.xxhash64("obs_id"), F.lit(40))
+    rule = F.when(noise < 4, noise.cast("int")).when(F.col("hour") * 300 + F.col("traffic_lag_1h") < 3500, 0).when(F.col("temp_celsius") < 2, 1).otherwise(F.when(F.col("day_of_week") < 3, 2).otherwise(3))
+    return [p.withColumn("congestion_code", rule).persist() for p in parts]
+
+
+@pytest.mark.parametrize("fit, settings", [
+    (L.boosted_trees, {"max_iter": 3, "depth": 4}), (L.randomised_forest, {"trees": 5, "depth": 7}),
+])
+def test_growth_is_the_same_from_histograms_and_in_one_task(decided, fit, settings):
+    train = decided[0]
+    one = fit(train, features=USE, **settings)
+    assert _same(one, fit(train, features=USE, fits=700, parts=3, **settings))
+    assert _same(one, fit(train.repartition(5), features=USE, fits=0, **settings))
+
+
+def test_boosting_learns_and_stops(decided):
+    train, test = decided
+    model = L.boosted_trees(train, features=USE)
+    assert model.rounds < len(model.losses) < 300 and model.losses[model.rounds - 1] == min(model.losses[: model.rounds + 20])
+    assert all(len(t.feature) <= 61 for t in model.trees)  # 31 leaves
+    assert E.summary_metrics(L.predictions(test, L.model_scorer(model))).first().accuracy > 0.9
+
+
+def test_first_round_is_the_best_newton_step(decided):
+    """The first tree of each class, one split deep, against all cuts of all features tried one by one."""
+    train = decided[0]
+    model = L.boosted_trees(train, features=USE[:2], max_iter=1, depth=1, step=1.0)
+    table = train.withColumn("v", L.validation_bucket(42, "obs_id") < L.VALIDATION_CUT).where("NOT v").select("congestion_code", *USE[:2]).toPandas()
+    y, shares = table["congestion_code"].to_numpy(), np.bincount(table["congestion_code"], minlength=4) / len(table)
+    assert np.allclose(np.exp(model.start), shares)
+    for c in range(4):
+        g, h = shares[c] - (y == c), np.full(len(y), shares[c] * (1 - shares[c]))
+        score = lambda use: g[use].sum() ** 2 / (h[use].sum() + 0.1)  # noqa: B023,E731
+        best = max(
+            (score(left) + score(~left), f, cut) for f in USE[:2] for cut in np.unique(table[f])[:-1]
+            for left in [table[f].to_numpy() <= cut] if min(left.sum(), (~left).sum()) >= 20
+        )
+        tree = model.trees[c]
+        assert model.features[tree.feature[0]] == best[1] and best[2] < tree.cut[0] < best[2] + 1
+        left = table[best[1]].to_numpy() <= best[2]
+        assert np.allclose(tree.value[1:, 0], [-g[s].sum() / (h[s].sum() + 0.1) for s in (left, ~left)], atol=1e-4)
+
+
+def test_random_thresholds_differ_by_node_and_tree(decided):
+    model = L.randomised_forest(decided[0], features=USE, trees=6, depth=8)
+    assert not any(_same(H.TreeEnsemble([], [a]), H.TreeEnsemble([], [b])) for i, a in enumerate(model.trees) for b in model.trees[:i])
+    for tree in model.trees:
+        cuts = {f: [c for g, c in zip(tree.feature, tree.cut) if g == f] for f in range(len(USE))}
+        assert any(len(set(c)) > 3 for c in cuts.values())  # a tree's nodes cut a feature at different places
+        deep = np.bincount(tree.feature[tree.feature >= 0], minlength=len(USE))
+        assert (deep > 0).all()
+    for tree in model.trees:  # every leaf holds shares of the classes
+        assert np.allclose(tree.value.sum(axis=1), 1)
+
+
+def test_ensembles_round_trip_as_tables(spark, decided, tmp_path):
+    for i, model in enumerate((L.boosted_trees(decided[0], features=USE, max_iter=2, depth=3), L.randomised_forest(decided[0], features=USE, trees=2, depth=4))):
+        R.write_model(model, str(tmp_path / str(i)))
+        again = R.read_model(str(tmp_path / str(i)))
+        assert _same(model, again) and again.start == model.start and again.features == model.features
+
+
+def test_ensembles_of_few_rows(spark):
+    schema = "obs_id long, congestion_code int, a double"
+    none = spark.createDataFrame([], schema)
+    one = spark.createDataFrame([(i, 2, float(i)) for i in range(50)], schema)
+    gaps = spark.createDataFrame([(i, 3 * (i % 2), None if i % 2 else float(i)) for i in range(400)], schema)
+    for train, want in ((one, 2), (gaps, None)):
+        for model in (L.boosted_trees(train, features=("a",), max_iter=4), L.randomised_forest(train, features=("a",), trees=3)):
+            got = {r.pred_code for r in L.model_scorer(model)(train).collect()}
+            assert got == ({want} if want is not None else {0, 3})
+    for model in (L.boosted_trees(none, features=("a",), max_iter=4), L.randomised_forest(none, features=("a",), trees=3)):
+        assert L.model_scorer(model)(one).select(F.size("probabilities").alias("n")).distinct().collect()[0].n == 4
