@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roadpulse import fixed_values as V
 from roadpulse.catalog.base_sql import WEATHER, label, sql
 from roadpulse.functions import columns as C
-from roadpulse.operators import cleaning, features, ranking, series
+from roadpulse.operators import cleaning, features, quantiles, ranking, series
 from roadpulse.operators.aggregates import peak_position, weather_ranking
 from roadpulse.operators.explain import system_findings_by_priority
 from roadpulse.plans.batch import labelled_calendar, labelled_rows, prepared_history
@@ -96,7 +96,21 @@ def _series(spark, d):
     return uniq(spark, d).transform(series.lag_features)
 
 
+def _value_quartiles(spark, d):
+    """Exact quartiles of a continuous measure per kind of event, selected by bits."""
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_type", "value")
+    found = quantiles.exact_quantiles(events, "value", [0.25, 0.5, 0.75], ["event_type"], "q")
+    return found.select("event_type", *[F.round(F.col("q")[i], 9).alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+
+
+def _continuous_repair(spark, d):
+    """Zero temperatures repaired with medians selected by bits."""
+    return uniq(spark, d).transform(cleaning.repair_zero_temperature, continuous=True).select("obs_id", F.round("temp", 6).alias("temp"))
+
+
 QUERIES = {
+    "c2_continuous_repair": _continuous_repair,
+    "w4_value_quartiles": _value_quartiles,
     # sources
     "s1_observation_csv": _csv_round_trip,
     "s1_observation_table": _table_round_trip,
@@ -173,6 +187,9 @@ ORACLE = {
         round(temp_celsius, 6) AS temp_celsius, rain_1h FROM lab ORDER BY date_time, obs_id LIMIT 200"""),
     "c1_exact_duplicates": sql(f"SELECT {OBS} FROM uniq"),
     "c2_zero_temperature": sql("SELECT obs_id, temp FROM cleaned"),
+    "c2_continuous_repair": sql("SELECT obs_id, round(temp, 6) AS temp FROM cleaned"),
+    "w4_value_quartiles": """SELECT event_type, round(quantile_cont(value, 0.25), 9) AS q1, round(quantile_cont(value, 0.5), 9) AS median,
+        round(quantile_cont(value, 0.75), 9) AS q3 FROM events GROUP BY 1""",
     "c3_rain_cap": sql("SELECT obs_id, rain_1h FROM cleaned"),
     "c4_holiday_fill": sql("SELECT obs_id, holiday FROM cleaned"),
     "c5_drop_unlabelled": sql("SELECT obs_id, congestion_label FROM lab"),

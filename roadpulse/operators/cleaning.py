@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse import fixed_values as V
+from roadpulse.operators.quantiles import exact_quantiles
 
 
 def drop_exact_duplicates(df: DataFrame) -> DataFrame:
@@ -13,19 +14,23 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def hourly_medians(df: DataFrame, column: str, ts: str = "date_time") -> DataFrame:
+def hourly_medians(df: DataFrame, column: str, ts: str = "date_time", continuous: bool = False) -> DataFrame:
     """Exact median per hour of day: at most 24 rows. Equal values are counted first, so the
-    median itself runs over distinct values only and no raw group reaches one task."""
+    median itself runs over distinct values only and no raw group reaches one task. Readings with few digits have few
+    distinct values; for `continuous` ones the median is selected by bits, and no task holds the distinct values of an hour."""
+    if continuous:
+        hours = df.select(F.hour(ts).alias("_hour"), column)
+        return exact_quantiles(hours, column, [0.5], ["_hour"]).select("_hour", F.col("quantiles")[0].alias("_median"))
     counted = df.groupBy(F.hour(ts).alias("_hour"), F.col(column).alias("_v")).count()
     return counted.groupBy("_hour").agg(F.percentile("_v", 0.5, F.col("count")).alias("_median"))
 
 
-def repair_zero_temperature(df: DataFrame, ts: str = "date_time") -> DataFrame:
+def repair_zero_temperature(df: DataFrame, ts: str = "date_time", continuous: bool = False) -> DataFrame:
     """Zero readings take the median of their hour over all rows, zeros included."""
     hour = F.col("_hour")
     entry = F.when(hour.isNotNull(), F.struct(hour, F.col("_median")))
     # 24 entries at most, as a scalar subquery: no join, and the de-duplicated rows are shuffled once.
-    medians = hourly_medians(df, "temp", ts).agg(F.map_from_entries(F.collect_list(entry))).scalar()
+    medians = hourly_medians(df, "temp", ts, continuous).agg(F.map_from_entries(F.collect_list(entry))).scalar()
     return df.withColumn("temp", F.when(F.col("temp") == 0, medians[F.hour(ts)]).otherwise(F.col("temp")))
 
 
