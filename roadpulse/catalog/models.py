@@ -210,7 +210,7 @@ def _train_job(spark, d):
 
 # What the comparing queries fit, all three models.
 COMPARED = {
-    "BoostedTrees": {}, "RandomForest": {"trees": 20, "depth": 8}, "RandomisedForest": {"trees": 100},
+    "BoostedTrees": {}, "RandomForest": {"trees": 20, "depth": 8}, "RandomisedForest": {"trees": 40},
 }
 
 QUERIES = {
