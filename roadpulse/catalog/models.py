@@ -77,6 +77,15 @@ def _metrics_json(spark, d):
     return R.read_metrics(spark, path).where(F.col("value").isNotNull())
 
 
+def _nested(spark, d):
+    """The nested metrics of the three rules, written and read back: summary, confusion cells, report."""
+    path = scratch_path(spark, "nested-metrics")
+    rep = report(spark, d)
+    whole = rep.drop("code").unionByName(E.report_averages(rep, "model"))
+    R.write_full_metrics(summary(spark, d), confusion(spark, d), whole, path)
+    return R.read_full_metrics(spark, path)
+
+
 def _metric_tables(spark, d):
     path = scratch_path(spark, "metric-tables")
     R.write_metric_tables(path, confusion=confusion(spark, d))
@@ -216,6 +225,8 @@ COMPARED = {
 QUERIES = {
     "s2_importance_csv": _importance_round_trip,
     "s3_metrics_json": _metrics_json,
+    "s3_nested_confusion": lambda s, d: _nested(s, d)[1],
+    "s3_nested_report": lambda s, d: _rates(_nested(s, d)[2]).withColumn("support", F.col("support").cast("long")),
     "s4_importance_sink": _importance_sink,
     "s5_metric_tables": _metric_tables,
     "s6_model_round_trip": _model_round_trip,
@@ -312,6 +323,7 @@ ORACLE = {
     "s2_importance_csv": _importance_sql("SELECT * FROM imp"),
     "s3_metrics_json": sql("""SELECT model, 'accuracy' AS metric, accuracy AS value FROM summ
         UNION ALL SELECT model, 'f1_weighted', f1_weighted FROM summ"""),
+    "s3_nested_confusion": sql("SELECT * FROM conf"),
     "s4_importance_sink": f"SELECT count(*) AS n FROM (VALUES {FEATURE_CODES}) t(f)",
     "s5_metric_tables": sql("SELECT * FROM conf"),
     "s6_model_round_trip": sql("""SELECT CAST(sum(w) AS BIGINT) AS n, CAST(sum(w) AS BIGINT) AS n_same
@@ -329,6 +341,10 @@ ORACLE = {
         UNION ALL SELECT model, 'weighted avg', round(sum(precision * support) / sum(support), 6),
         round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
         CAST(sum(support) AS BIGINT) FROM rep GROUP BY 1"""),
+    "s3_nested_report": sql(_REP + """ UNION ALL SELECT model, 'macro avg', round(avg(precision), 6), round(avg(recall), 6),
+        round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM rep GROUP BY 1
+        UNION ALL SELECT model, 'weighted avg', round(sum(precision * support) / sum(support), 6),
+        round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM rep GROUP BY 1"""),
     "m12_weighted_f1": sql("SELECT model, round(sum(f1 * support) / sum(support), 6) AS f1_weighted FROM rep GROUP BY 1"),
     "m14_permutation_importance": _importance_sql("SELECT * FROM imp"),
     "m16_leaderboard": sql("""SELECT *, CAST(position = 1 AS INTEGER) AS is_best FROM (SELECT *,
