@@ -18,7 +18,7 @@ their 64-bit hash, and the order is cut into fragments (vertical partitions), wh
   are contracted to components. At segments where more than one component is left, the members of different
   components are paired; a pair whose parity sketches already differ in more bits than it may differ in n-grams is
   left out. So copies, and groups that a centre links, make as many pairs as they have members, and no link
-  between components is lost.
+  between components is lost. Near copies that do not link are paired with each other, at each segment they meet at.
 
 Sets and n-grams stand for themselves by hashes of 128 and 64 bits. Null, empty and blank texts have an empty set
 and are linked with nothing. Repeated rows and rows without doc_id are documents; a component without any doc_id
