@@ -12,7 +12,7 @@ from roadpulse.llm.frames import table
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of all documents with the forest's verdict."""
-    return secret_scan.scan(table(spark, sf_dir, "documents"))
+    return secret_scan.scan(table(spark, sf_dir, "documents")).drop("row_key")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,18 +16,21 @@ are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.frames import arrow_map, flat, stored
+from roadpulse.llm.frames import arrow_filter, arrow_map, flat, stored
 
 Q = 8
 ERRORS = 0.05
 LEAST = 24
 BLOCK_BYTES = 8 << 20
+PAIRS = 1 << 18
+BANDS = 1 << 24
 
 PLAIN = np.full(256, 0x20, np.uint8)
 PLAIN[0x80:] = np.arange(0x80, 0x100)
@@ -77,9 +80,14 @@ def prepare(items: list[tuple[int, str]], errors: float = ERRORS, least: int = L
     place = np.concatenate([*(np.arange(x) for x in n), np.zeros(0, np.int64)]).astype(np.int64)[order]
     bits = np.zeros(1 << 22, bool)
     bits[_short(all_keys)] = True
-    unique, first = np.unique(all_keys[order], return_index=True)
+    unique, first, which = np.unique(all_keys[order], return_index=True, return_inverse=True)
+    # places of an item that follow each other under one q-gram are one run
+    starts = np.ones(len(item), bool)
+    starts[1:] = (np.diff(which) != 0) | (np.diff(item) != 0) | (np.diff(place) != 1)
+    begin = np.flatnonzero(starts)
     return {"ids": [i for i, _ in kept], "texts": [t for _, t in kept], "edits": edits, "bound": lengths - Q + 1 - Q * edits,
-            "keys": unique, "first": np.append(first, len(item)), "item": item, "place": place, "bits": bits}
+            "keys": unique, "bits": bits, "runs_first": np.searchsorted(begin, np.append(first, len(item))), "run_item": item[begin],
+            "run_place": place[begin], "run_length": np.diff(np.append(begin, len(item)))}
 
 
 def _short(keys: np.ndarray) -> np.ndarray:
@@ -103,6 +111,65 @@ def least_edits(item: bytes, region: bytes, enough: int) -> int:
     return int(row.min())
 
 
+def _until(x: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Pairs (i, j) with 0 <= i < m, 0 <= j < n and i - j <= x."""
+    triangle = lambda y: np.where(y > 0, y * (y + 1) // 2, 0)
+    k = np.clip(x + n, 0, m + n - 1)
+    return triangle(k) - triangle(k - m) - triangle(k - n) + triangle(k - m - n)
+
+
+def _full_bands(index: dict, rows: np.ndarray, at: np.ndarray, spot: np.ndarray, n_rows: int) -> np.ndarray:
+    """Codes of the bands (band, item, row) whose shared q-grams reach the bound.
+
+    `at` are the text places with a q-gram of the index, `spot` its number there. A q-gram that stands at `m` places
+    in a row of the text and at `n` in a row of the item shares m n of them; a band's part of these is counted by
+    a formula. Runs meet in steps of at most PAIRS bands; a band that no later place can reach is judged and dropped.
+    """
+    # runs of one q-gram in the text, and of places of an item under one q-gram
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (np.diff(spot) != 0) | (rows[at[1:]] != rows[at[:-1]])
+    begin = np.flatnonzero(new)
+    length = np.diff(np.append(begin, len(at)))
+    p, s = at[begin], spot[begin]
+    first = index["runs_first"]
+    many = first[s + 1] - first[s]
+    ends = np.cumsum(many)
+    n_items, total = len(index["ids"]), int(many.sum())
+    reach = np.array([len(t) for t in index["texts"]], np.int64)
+    kept, codes, counts = [np.zeros(0, np.int64)], np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def bounds(code):
+        return index["bound"][code // n_rows % n_items]
+
+    a = 0
+    while a < total:
+        pair = np.arange(a, min(total, a + PAIRS))
+        run = np.searchsorted(ends, pair, "right")
+        entry = first[s[run]] + pair - (ends[run] - many[run])
+        item, m, n = index["run_item"][entry], length[run], index["run_length"][entry]
+        width = index["edits"][item] + 1
+        d0 = p[run] - index["run_place"][entry]
+        low, high = (d0 - n + 1) // width - 1, (d0 + m - 1) // width
+        sizes = high - low + 1
+        few = max(1, int(np.searchsorted(np.cumsum(sizes), PAIRS, "right")))
+        item, m, n, width, d0, low, sizes, run = (x[:few] for x in (item, m, n, width, d0, low, sizes, run))
+        each = np.repeat(np.arange(few), sizes)
+        band = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left = band * width[each] - d0[each]
+        inside = _until(left + 2 * width[each] - 1, m[each], n[each]) - _until(left - 1, m[each], n[each])
+        code = ((band + BANDS) * n_items + item[each]) * n_rows + rows[p[run]][each]
+        codes, place = np.unique(np.concatenate([codes, code]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([counts, inside]), len(codes)).astype(np.int64)
+        item = codes // n_rows % n_items
+        last = (codes // n_rows // n_items - BANDS + 2) * (index["edits"][item] + 1) + reach[item]
+        open_ = (last >= p[run[-1]]) & (counts < bounds(codes))
+        kept.append(codes[counts >= bounds(codes)])
+        # a band that has reached its bound is noted once more if it fills again; alignment happens once for equal codes
+        codes, counts = codes[open_], counts[open_]
+        a += few
+    return np.unique(np.concatenate(kept))
+
+
 def contained(column: pa.Array, index: dict) -> list[list[int]]:
     """For each text the numbers of the items it contains."""
     out: list[list[int]] = [[] for _ in range(len(column))]
@@ -116,27 +183,15 @@ def contained(column: pa.Array, index: dict) -> list[list[int]]:
     spot = np.minimum(np.searchsorted(index["keys"], keys[at]), len(index["keys"]) - 1)
     good = index["keys"][spot] == keys[at]
     at, spot = at[good], spot[good]
-    many = index["first"][spot + 1] - index["first"][spot]
-    total = int(many.sum())
-    if not total:
-        return out
-    entry = np.repeat(index["first"][spot], many) + np.arange(total) - np.repeat(np.cumsum(many) - many, many)
-    where = np.repeat(at, many)
-    item, diagonal = index["item"][entry], where - index["place"][entry]
-    width = index["edits"][item] + 1
-    band = (diagonal + (1 << 20)) // width
-    n_items = len(index["ids"])
     found: dict[tuple[int, int], bool] = {}
-    # each diagonal lies in two bands: the one that starts at its multiple of the width and the one before
-    code = np.concatenate([((band - shift) * n_items + item) * len(column) + rows[where] for shift in (0, 1)])
-    codes, counts = np.unique(code, return_counts=True)
-    enough = counts >= index["bound"][codes // len(column) % n_items]
-    for c in codes[enough].tolist():
+    n_items = len(index["ids"])
+    codes = _full_bands(index, rows, at, spot, len(column))
+    for c in codes.tolist():
         row, i = c % len(column), c // len(column) % n_items
         if found.get((row, i)):
             continue
         k, text = int(index["edits"][i]), index["texts"][i]
-        start = (c // len(column) // n_items) * (k + 1) - (1 << 20)
+        start = (c // len(column) // n_items - BANDS) * (k + 1)
         inside = np.searchsorted(rows, [row, row + 1])
         a, b = max(inside[0], start - k), min(inside[1], start + 2 * (k + 1) + len(text) + k)
         found[row, i] = least_edits(text, data[max(0, a): max(0, b)].tobytes(), k) <= k
@@ -146,27 +201,44 @@ def contained(column: pa.Array, index: dict) -> list[list[int]]:
     return [sorted(x) for x in out]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row: doc_id and `items`, the numbers of the benchmark items (item_id, text) found in the text."""
-    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+def _blocks(benchmark: DataFrame, errors: float, least: int, block_bytes: int) -> Iterator:
+    """Broadcast indexes of the items, of about `block_bytes` each."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
+    for block in range(blocks):
+        mine = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).select("item_id", "text")
+        yield benchmark.sparkSession.sparkContext.broadcast(prepare([(r[0], r[1]) for r in mine.collect()], errors, least))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row: doc_id and `items`, the numbers of the benchmark items (item_id, text) found in the text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    held = list(_blocks(benchmark, errors, least, block_bytes))
     rows, key = docs.select("doc_id", "text"), ""
-    if blocks > 1:  # a written number of each row brings its blocks together, whatever its doc_id
+    if len(held) > 1:  # a written number of each row brings its blocks together, whatever its doc_id
         rows, key = stored(rows.withColumn("row", F.monotonically_increasing_id()), "numbered"), "row long, "
     found = None
-    for block in range(blocks):
-        mine = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).select("item_id", "text")
-        held = spark.sparkContext.broadcast(prepare([(r[0], r[1]) for r in mine.collect()], errors, least))
+    for index in held:
 
-        def search(batch: pa.RecordBatch, held=held) -> dict:
-            items = contained(batch.column("text"), held.value)
+        def search(batch: pa.RecordBatch, index=index) -> dict:
+            items = contained(batch.column("text"), index.value)
             own = {"row": batch.column("row")} if key else {}
             return {**own, "doc_id": batch.column("doc_id"), "items": pa.array(items, pa.list_(pa.int64()))}
 
         part = arrow_map(rows, search, f"{key}doc_id {kind}, items array<bigint>")
         found = part if found is None else found.unionByName(part)
-    if blocks > 1:
+    if key:
         items = F.array_sort(F.flatten(F.collect_list("items"))).alias("items")
         found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), items).drop("row")
     return found
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `docs` that contain no item; each row is judged on its own text, and a block sees what the blocks before it left."""
+    for index in _blocks(benchmark, errors, least, block_bytes):
+
+        def clean(batch: pa.RecordBatch, index=index) -> list[bool]:
+            return [not items for items in contained(batch.column("text"), index.value)]
+
+        docs = arrow_filter(docs, clean)
+    return docs

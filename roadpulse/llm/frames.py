@@ -58,6 +58,17 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema:
     return df.mapInArrow(run, schema)
 
 
+def arrow_filter(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows of `df`, repeats included, for which `keep` (a part of a record batch -> booleans) is true; no key is needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(np.asarray(keep(part), bool)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """UTF-8 bytes of a string column; null becomes empty."""
     column = batch.column(name)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.frames import arrow_map, slices
+from roadpulse.llm.frames import arrow_filter, arrow_map, slices
 from roadpulse.llm.grams import GramSums, gram_keys, mixed
 
 ORDER = 5
@@ -121,33 +121,50 @@ def train(docs: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE,
     return LanguageFilter(languages, slots, order, hashes, chance)
 
 
+def _scores(held, text: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and known share of each text, from the broadcast parts of a filter."""
+    m = LanguageFilter(**held.value)
+    n_rows, k = len(text), len(m.languages)
+    text = text.fill_null("")
+    keys, rows = gram_keys(text, m.order)
+    masks = m.masks(keys)
+    n = np.bincount(rows, minlength=n_rows)
+    share = np.zeros((n_rows, max(k, 1)))
+    for i in range(k):
+        hit = np.bincount(rows[(masks >> np.uint64(i)) & np.uint64(1) != 0], minlength=n_rows)
+        share[:, i] = np.clip((hit / np.maximum(n, 1) - m.chance[i]) / (1 - m.chance[i]), 0, 1)
+    letters = np.asarray(pc.match_substring_regex(text, r"\p{L}"))
+    best = share.argmax(axis=1)
+    known = share[np.arange(n_rows), best]
+    total = share.sum(axis=1)
+    score = np.where(letters & (total > 0), known / np.where(total > 0, total, 1), 0.0)
+    names = [m.languages[b] if ok and k else UNKNOWN for b, ok in zip(best, letters)]
+    return names, score, np.where(letters, known, 0.0)
+
+
 def predict(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """Per row: doc_id, lang_pred, score (the language's part of all corrected shares), known (its corrected share)."""
     held = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain values: executors need no class of this package
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batch: pa.RecordBatch) -> dict:
-        m = LanguageFilter(**held.value)
-        n_rows, k = batch.num_rows, len(m.languages)
-        keys, rows = gram_keys(batch.column("text").fill_null(""), m.order)
-        masks = m.masks(keys)
-        n = np.bincount(rows, minlength=n_rows)
-        share = np.zeros((n_rows, max(k, 1)))
-        for i in range(k):
-            hit = np.bincount(rows[(masks >> np.uint64(i)) & np.uint64(1) != 0], minlength=n_rows)
-            share[:, i] = np.clip((hit / np.maximum(n, 1) - m.chance[i]) / (1 - m.chance[i]), 0, 1)
-        letters = np.asarray(pc.match_substring_regex(batch.column("text").fill_null(""), r"\p{L}"))
-        best = share.argmax(axis=1)
-        known = share[np.arange(n_rows), best]
-        total = share.sum(axis=1)
-        score = np.where(letters & (total > 0), known / np.where(total > 0, total, 1), 0.0)
-        names = [m.languages[b] if ok and k else UNKNOWN for b, ok in zip(best, letters)]
-        return {"doc_id": batch.column("doc_id"), "lang_pred": pa.array(names, pa.string()), "score": score,
-                "known": np.where(letters, known, 0.0)}
+        names, score, known = _scores(held, batch.column("text"))
+        return {"doc_id": batch.column("doc_id"), "lang_pred": pa.array(names, pa.string()), "score": score, "known": known}
 
     return arrow_map(docs.select("doc_id", "text"), score, f"doc_id {kind}, lang_pred string, score double, known double")
 
 
+def in_known_language(docs: DataFrame, model: LanguageFilter, least: float = 0.2) -> DataFrame:
+    """The rows of `docs` with a letter of which some language knows a part of at least `least`; each row is judged on its own text."""
+    held = docs.sparkSession.sparkContext.broadcast(vars(model))
+
+    def keep(batch: pa.RecordBatch) -> np.ndarray:
+        names, _, known = _scores(held, batch.column("text"))
+        return (np.array(names, object) != UNKNOWN) & (known >= least)
+
+    return arrow_filter(docs, keep)
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the number as text, modulo `parts`."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts

@@ -17,7 +17,8 @@ and telephone numbers, plain numbers, long words); it learns from at most `most_
 
 Everything is DataFrame operations and the ML library; there is no Python on the executors. The dictionary has
 at most 1 / least_share words. Null and empty texts have no finding; a null path is a path. Repeated rows count
-as documents of their own but share findings by doc_id. Extra columns are ignored.
+as documents of their own but share findings; a text without doc_id, or with a repeated one, has its own findings.
+An empty table has no finding. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,19 +42,26 @@ FEATURES = (
     "key_before", "assigned", "quoted", "known_before", "known_after", "digits_around",
 )
 ID = ("doc_id", "candidate")
+KEY = "_finding"
+
+
+def _row_key(doc_id, text):
+    """What tells texts apart where doc_id is null or repeated: equal rows have equal findings."""
+    return F.struct(doc_id.alias("doc_id"), F.xxhash64(text).alias("text"))
 
 
 def findings(docs: DataFrame, path: str = "source") -> DataFrame:
-    """(doc_id, path, candidate, n, start, before, after) from rows (doc_id, text, path)."""
+    """(row_key, doc_id, path, candidate, n, start, before, after) from rows (doc_id, text, path); of equal texts with one doc_id the first path counts."""
     part = docs.select("doc_id", F.col(path).cast("string").alias("path"), "text").where(F.col("text").isNotNull())
     found = part.withColumn("_all", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where(F.size("_all") > 0)
     one = found.withColumn("candidate", F.explode(F.array_distinct("_all")))
     one = one.withColumn("start", F.instr("text", F.col("candidate")))
-    return one.select(
-        "doc_id", "path", "candidate", F.size(F.filter("_all", lambda x: x == F.col("candidate"))).alias("n"), "start",
+    one = one.groupBy(_row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "doc_id", "candidate").agg(F.min(F.struct(
+        "path", F.size(F.filter("_all", lambda x: x == F.col("candidate"))).alias("n"), "start",
         F.substring("text", F.greatest(F.lit(1), F.col("start") - 40), F.least(F.lit(40), F.col("start") - 1)).alias("before"),
         F.substring("text", F.col("start") + F.length("candidate"), F.lit(40)).alias("after"),
-    ).dropDuplicates(ID)
+    )).alias("_at"))
+    return one.select("row_key", "doc_id", "candidate", "_at.*")
 
 
 def dictionary(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -72,6 +80,7 @@ def _share(column: str, pattern: str):
 def features(found: DataFrame, words: DataFrame, n_docs_by_path: DataFrame) -> DataFrame:
     """`found` with the columns FEATURES."""
     c = F.col("candidate")
+    found = found.withColumn(KEY, F.struct("row_key", "candidate"))  # nulls inside a struct are equal in a join
     chars = F.split(c, "")
     letters = F.split(F.regexp_replace(F.lower(c), r"[^\p{L}]+", " "), " ")
     # letter pairs of frequent words, by their first letter
@@ -80,20 +89,20 @@ def features(found: DataFrame, words: DataFrame, n_docs_by_path: DataFrame) -> D
     ).agg(F.sum("n").alias("n"))
     firsts = pairs.groupBy(F.substring("pair", 1, 1).alias("first")).agg(F.sum("n").alias("all"))
     pairs = pairs.join(firsts, F.substring("pair", 1, 1) == F.col("first")).select("pair", F.log(F.col("n") / F.col("all")).alias("log_p"))
-    own_pairs = found.select(*ID, F.explode(F.sequence(F.lit(1), F.length("candidate") - 1)).alias("i")).select(
-        *ID, F.lower(F.substring("candidate", F.col("i"), F.lit(2))).alias("pair")
+    own_pairs = found.select(KEY, "candidate", F.explode(F.sequence(F.lit(1), F.length("candidate") - 1)).alias("i")).select(
+        KEY, F.lower(F.substring("candidate", F.col("i"), F.lit(2))).alias("pair")
     )
-    moved = own_pairs.join(pairs, "pair", "left").groupBy(*ID).agg(F.avg(F.coalesce("log_p", F.lit(-12.0))).alias("transitions"))
-    own_words = found.select(*ID, F.explode(letters).alias("word")).where("word <> ''")
-    covered = own_words.join(words.select("word"), "word").groupBy(*ID).agg(F.sum(F.length("word")).alias("_covered"))
+    moved = own_pairs.join(pairs, "pair", "left").groupBy(KEY).agg(F.avg(F.coalesce("log_p", F.lit(-12.0))).alias("transitions"))
+    own_words = found.select(KEY, F.explode(letters).alias("word")).where("word <> ''")
+    covered = own_words.join(words.select("word"), "word").groupBy(KEY).agg(F.sum(F.length("word")).alias("_covered"))
     near = found.select(
-        *ID, F.regexp_extract(F.lower("before"), r"(\p{L}+)\P{L}*$", 1).alias("w_before"), F.regexp_extract(F.lower("after"), r"^\P{L}*(\p{L}+)\b", 1).alias("w_after")
+        KEY, F.regexp_extract(F.lower("before"), r"(\p{L}+)\P{L}*$", 1).alias("w_before"), F.regexp_extract(F.lower("after"), r"^\P{L}*(\p{L}+)\b", 1).alias("w_after")
     )
     known = words.select("word", F.lit(1).alias("known"))
     around = (
         near.join(known.withColumnsRenamed({"word": "w_before", "known": "known_before"}), "w_before", "left")
         .join(known.withColumnsRenamed({"word": "w_after", "known": "known_after"}), "w_after", "left")
-        .select(*ID, F.coalesce("known_before", F.lit(0)).alias("known_before"), F.coalesce("known_after", F.lit(0)).alias("known_after"))
+        .select(KEY, F.coalesce("known_before", F.lit(0)).alias("known_before"), F.coalesce("known_after", F.lit(0)).alias("known_after"))
     )
     counts = F.transform(F.array_distinct(chars), lambda x: F.size(F.filter(chars, lambda y: y == x)) / F.length("candidate"))
     rate = found.groupBy("path").agg(F.count(F.lit(1)).alias("_found")).join(
@@ -112,8 +121,8 @@ def features(found: DataFrame, words: DataFrame, n_docs_by_path: DataFrame) -> D
     )
     return (
         made.join(rate, F.col("path").eqNullSafe(F.col("_path")), "left").drop("_path")
-        .join(moved, list(ID), "left").join(covered, list(ID), "left").join(around, list(ID), "left")
-        .withColumn("coverage", F.coalesce(F.col("_covered") / F.length("candidate"), F.lit(0.0))).drop("_covered")
+        .join(moved, KEY, "left").join(covered, KEY, "left").join(around, KEY, "left")
+        .withColumn("coverage", F.coalesce(F.col("_covered") / F.length("candidate"), F.lit(0.0))).drop("_covered", KEY)
         .fillna(0.0, subset=["path_rate", "transitions"]).fillna(0, subset=["known_before", "known_after"])
     )
 
@@ -138,7 +147,7 @@ def train(labelled: DataFrame, most: int = MOST_LABELS, trees: int = 40, depth:
         return None
     part = min(1.0, most / sum(counts.values()))
     chosen = labelled.where(F.pmod(F.xxhash64(*ID), F.lit(1_000_000)) < int(part * 1_000_000))
-    dealt = chosen.repartition(8, F.xxhash64(*ID)).sortWithinPartitions(*ID)  # the same rows in the same places on any cluster
+    dealt = chosen.repartition(8, F.xxhash64(*ID)).sortWithinPartitions(*ID, "row_key")  # the same rows in the same places on any cluster
     weight = F.when(F.col("is_secret") == 1, 0.5 / counts[1]).otherwise(0.5 / counts[0]) * sum(counts.values())
     ready = _assembled(dealt).select("features", F.col("is_secret").cast("double").alias("label"), weight.alias("weight"))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight").fit(ready)
@@ -149,7 +158,7 @@ def _assembled(made: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, path: str = "source", labelled: DataFrame | None = None) -> DataFrame:
-    """Per document and distinct candidate: doc_id, candidate, n, start, probability, is_secret.
+    """Per document and distinct candidate: row_key, doc_id, candidate, n, start, probability, is_secret.
 
     `labelled` has rows (doc_id, candidate, is_secret); without it `known_findings` labels.
     """
@@ -163,15 +172,20 @@ def scan(docs: DataFrame, path: str = "source", labelled: DataFrame | None = Non
         scored = made.withColumn("probability", F.lit(float(row[0]) if row else 1.0))
     else:
         scored = model.transform(_assembled(made)).withColumn("probability", vector_to_array("probability")[1])
-    return scored.select(*ID, "n", "start", "probability", (F.col("probability") >= 0.5).cast("int").alias("is_secret"))
+    return scored.select("row_key", *ID, "n", "start", "probability", (F.col("probability") >= 0.5).cast("int").alias("is_secret"))
 
 
 def redacted(docs: DataFrame, secrets: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """`docs` with every occurrence of the secrets (doc_id, candidate) of a document replaced, longest first."""
+    """`docs` with every occurrence of the secrets (row_key, candidate) of a document replaced, longest first.
+
+    Rows without doc_id, and rows that share one, each lose their own secrets; the number of rows stays.
+    Secrets given as (doc_id, candidate) go from every row of that doc_id.
+    """
     longest = F.array_sort(
         F.collect_set("candidate"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
     )
-    own = secrets.groupBy("doc_id").agg(longest.alias("_secrets"))
-    both = docs.join(own, "doc_id", "left")
+    key = _row_key(docs["doc_id"], docs["text"]) if "row_key" in secrets.columns else docs["doc_id"]
+    own = secrets.groupBy(F.col("row_key" if "row_key" in secrets.columns else "doc_id").alias("_row")).agg(longest.alias("_secrets"))
+    both = docs.join(own, key == F.col("_row"), "left")
     clean = F.aggregate("_secrets", F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark)))
     return both.withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)

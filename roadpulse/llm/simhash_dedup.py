@@ -92,6 +92,25 @@ def components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Dat
     return marked.join(by_value, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """One row of `docs` for each component: the smallest doc_id stays, then whatever a hash of the row puts first.
+
+    Rows are told apart by doc_id and a hash of all columns, so rows without doc_id (last in the order) or with a
+    repeated one are rows of their own; of rows equal in every column one stays.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("row"))
+    found = components(docs.select(key.alias("doc_id"), "text"), words, radius).where("doc_id = component_id")
+    firsts = stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).select("doc_id.row", "doc_id.doc_id", "rows"), "firsts")
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        own = some.select(F.col("row").alias("_row"), F.col("doc_id").alias("_id"))
+        same = (F.xxhash64(*[docs[c] for c in docs.columns]) == F.col("_row")) & docs["doc_id"].eqNullSafe(F.col("_id"))
+        return docs.join(own, same, "left_semi")
+
+    kept, repeated = rows_of(firsts.where("rows = 1")), firsts.where("rows > 1")
+    return kept if repeated.isEmpty() else kept.unionByName(rows_of(repeated).distinct())
+
+
 # --- similarity of 0.8 or more --------------------------------------------------------------------------------
 
 SIMILAR_WORDS = 5

@@ -584,3 +584,79 @@ def test_decontamination_in_blocks_keeps_each_row(spark):
     for block_bytes in (1 << 20, 200):
         got = [(r.doc_id, r["items"]) for r in decontamination.matches(docs, bench, block_bytes=block_bytes).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_decontamination_of_repetitive_texts(spark):
+    """Periods of one, two and three bytes, alone and inside other text, against the edit distance to every part."""
+    rng = random.Random(35)
+    base = [("a" * 60, 0), ("ab" * 30, 1), ("abc" * 25, 2), ("a" * 30 + "q" + "a" * 30, 3), ("a" * 40 + " ".join(words(rng, 5, 50)), 4)]
+    texts = ["a" * n for n in (10, 57, 60, 61, 500)] + ["ab" * n for n in (20, 29, 30, 200)] + ["abc" * n for n in (23, 25, 90)]
+    texts += ["a" * 29 + "q" + "a" * 31, "a" * 29 + "qq" + "a" * 31 + "b" * 50 + "a" * 58, "ba" * 40 + "a" * 57 + "abc" * 24, "a" * 40 + base[4][0], "zz" + base[4][0][2:]]
+    column = pa.array([*texts, None, ""])
+    index = decontamination.prepare([(i, t) for t, i in base])
+    want = [sorted(i for t, i in base if distance(t, x) <= min(int(0.05 * len(t)), (len(t) - 8) // 8)) for x in texts]
+    old = decontamination.PAIRS
+    try:
+        for pairs in (old, 7):
+            decontamination.PAIRS = pairs
+            assert decontamination.contained(column, index) == [*want, [], []]
+    finally:
+        decontamination.PAIRS = old
+    assert sum(map(len, want)) > 10
+
+
+def test_decontamination_of_a_long_run_in_bounded_memory():
+    import tracemalloc
+
+    index = decontamination.prepare([(1, "a" * 1000), (2, "b" * 500 + "a" * 500)])
+    column = pa.array(["a" * 1_000_000, "ab" * 20_000])
+    tracemalloc.start()
+    assert decontamination.contained(column, index) == [[1], []]
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
+def test_rows_are_filtered_one_by_one(spark):
+    """Null and repeated doc_id in the filters of the pipeline."""
+    rng = random.Random(36)
+    text = lambda n: syllables(rng, LANGUAGES["aa"], n)
+    item, other = text(40), text(60)
+    rows = [(1, other, "aa", "a"), (1, f"x {item}", "aa", "a"), (None, item, "aa", "a"), (None, text(50), "aa", "a"), (None, None, None, None), (2, other, "aa", "b")]
+    rows += [(3, text(50), "aa", "a")] * 3
+    docs = table(spark, rows)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontamination.without_items(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if item not in (r.text or ""))
+    known = language_id.in_known_language(docs, language_id.train(docs))
+    assert sorted(map(str, known.collect())) == sorted(str(r) for r in docs.collect() if r.text)
+    one = simhash_dedup.one_of_each(docs).collect()
+    assert sorted(((r.doc_id, r.text, r.source) for r in one), key=str) == sorted(
+        {(1, other, "a"), (1, rows[1][1], "a"), *[(r[0], r[1], r[3]) for r in rows[2:5]], (3, rows[6][1], "a")}, key=str)
+
+
+def test_one_of_each_keeps_the_smallest_of_every_component(spark):
+    rng = random.Random(37)
+    texts = [" ".join(words(rng, 80, 3000)) for _ in range(20)]
+    rows = [(100 - i, texts[i % 20] + (" " + "x" * (i // 60) if i >= 60 else ""), "en", "a") for i in range(90)] + [(None, texts[0], "en", "a"), (None, "", "en", "b")]
+    docs = table(spark, rows)
+    want = {r.component_id for r in simhash_dedup.components(docs.where("doc_id IS NOT NULL")).collect()}
+    got = [r.doc_id for r in simhash_dedup.one_of_each(docs).collect()]
+    assert sorted(i for i in got if i is not None) == sorted(want) and got.count(None) == 1
+    assert simhash_dedup.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_secrets_of_rows_without_doc_id(spark):
+    rng = random.Random(38)
+    make = lambda: "AKIA" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(15)) + "7"
+    numbers = lambda: "4" + "".join(rng.choice("0123456789") for _ in range(15))
+    body = lambda s: f'{syllables(rng, LANGUAGES["aa"], 20)} {s} {syllables(rng, LANGUAGES["aa"], 5)}'
+    held = [make() for _ in range(20)]
+    rows = [(None if i < 10 else 5, body(s), "aa", "p") for i, s in enumerate(held)] + [(100 + i, body(numbers()), "aa", None) for i in range(20)]
+    rows += [(None, body(numbers()), "aa", None), (None, None, None, None), (5, body("no secret"), "aa", "p")] + [rows[0]]
+    docs = table(spark, rows)
+    found = secret_scan.scan(docs)
+    assert {r.candidate for r in found.where("is_secret = 1").collect()} == set(held)
+    clean = secret_scan.redacted(docs, found.where("is_secret = 1")).collect()
+    assert len(clean) == len(rows) and not any(s in (r.text or "") for r in clean for s in held)
+    assert sum("[secret]" in (r.text or "") for r in clean) == 21
