@@ -14,34 +14,35 @@ ORACLE_SQL = None
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those of which no language knows a fifth of the n-grams."""
-    model = language_id.train(docs)
-    found = language_id.predict(docs, model).select("doc_id", "lang_pred", "known")
-    rejected = found.where((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("known") < 0.2)).select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents without a letter (null and empty texts too) and those of which no language knows a fifth of the n-grams.
+
+    Rows are judged one by one, whatever their doc_id; repeated rows share their lot. Without any lang all rows go.
+    """
+    return language_id.in_known_language(docs, language_id.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest number of each group of texts similar by 0.8 or more."""
-    kept = simhash_dedup.similar_components(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Keeps one document of each group that links of 3-word SimHash fingerprints (2 or fewer differing bits) connect.
+
+    It is the one with the smallest doc_id; rows without doc_id come last, and of wholly equal rows one stays.
+    """
+    return simhash_dedup.one_of_each(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item."""
-    leaked = decontamination.matches(docs, table(spark, sf_dir, "benchmark")).where(F.size("items") > 0).select("doc_id")
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents that contain a benchmark item; rows are judged one by one. Without items nothing goes."""
+    return decontamination.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces confirmed secrets in the texts; no document goes."""
+    """Replaces confirmed secrets in the texts; no document goes, and rows without or with equal doc_id lose their own."""
     confirmed = secret_scan.scan(docs).where("is_secret = 1")
     clean = secret_scan.redacted(docs, confirmed)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document that it takes anything of."""
+    """What the mix takes of each document that it takes anything of; a text without words has nothing to take."""
     return mixing.mix(docs).where("taken > 0")
 
 
