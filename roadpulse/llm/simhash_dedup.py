@@ -14,7 +14,6 @@ are linked like others. Repeated rows share a component; extra columns are ignor
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +23,6 @@ from pyspark.sql import functions as F
 
 from roadpulse.llm.components import connected_components
 from roadpulse.llm.frames import arrow_map, cut, stored, texts_of
-from roadpulse.llm.grams import key_bits, mixed, passes
 
 WORDS = 3
 RADIUS = 2
@@ -111,164 +109,6 @@ def one_of_each(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> Da
     return kept if repeated.isEmpty() else kept.unionByName(rows_of(repeated).distinct())
 
 
-# --- similarity of 0.8 or more --------------------------------------------------------------------------------
-
-SIMILAR_WORDS = 5
-SIMILARITY = 0.8
-SAMPLED = 16
-COMMON = (2, 8, 64, 512)
-PLACE_ROWS = 1000
-
-
-def shingle_set(text: bytes, words: int = SIMILAR_WORDS) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles, from those of their words; none for a text without words."""
-    import xxhash
-
-    parts = text.lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    single = np.array(list(map(xxhash.xxh3_64_intdigest, parts)), np.uint64)
-    width = min(words, len(parts))
-    k = len(parts) - width + 1
-    out = np.zeros(k, np.uint64)
-    for i in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + single[i: i + k]
-    return np.unique(mixed(out, 50 + width))
-
-
-def _set_id(shingles: np.ndarray) -> int:
-    import xxhash
-
-    return int(np.array([xxhash.xxh3_64_intdigest(shingles.tobytes())], np.uint64).view(np.int64)[0])
-
-
-def _sets_of(batch: pa.RecordBatch, words: int) -> list[tuple[int, np.ndarray]]:
-    return [(_set_id(s), s) for s in (shingle_set(t, words) for t in texts_of(batch))]
-
-
-def _longs(parts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
-
-
-def _places(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(place, sid, n, at, low): shingles at which a set meets others. `at` is the shingle's position in its set of n.
-
-    Shingles are ordered from rare to common, equally in all sets. The first shingle that two similar sets share
-    stands in the first n - ceil(similarity * n) + 1 of the larger one and (`low`) the first
-    n - ceil(2 * similarity / (1 + similarity) * n) + 1 of the smaller one, in whatever order. How common a shingle is
-    is counted in one SAMPLED-th of the sets: this decides how many sets meet in vain, never which ones are linked.
-    """
-    session = docs.sparkSession.sparkContext
-    both = 2 * similarity / (1 + similarity)
-
-    def sample(batch: pa.RecordBatch) -> dict:
-        own = [(i, s) for i, s in _sets_of(batch, words) if i % SAMPLED == 0]
-        return {"g": _longs([s for _, s in own]), "sid": np.repeat(np.array([i for i, _ in own], np.int64), [len(s) for _, s in own])}
-
-    sampled = arrow_map(docs.select("text"), sample, "g long, sid long").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    common = stored(sampled.where(F.col("n") >= COMMON[0]), "common")
-    filters = session.broadcast([key_bits(common.where(F.col("n") >= n).select("g")) for n in COMMON])
-
-    def firsts(batch: pa.RecordBatch) -> list[tuple[int, int, np.ndarray]]:
-        """(sid, n, the shingles that can be the first common one) of each text with words."""
-        own = [(i, s) for i, s in _sets_of(batch, words) if len(s)]
-        every = _longs([s for _, s in own]).view(np.uint64)
-        level, left = np.zeros(len(every), np.int64), np.arange(len(every))
-        for bits in filters.value:
-            left = left[passes(bits, every[left])]
-            level[left] += 1
-        out, start = [], 0
-        for i, s in own:
-            few = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
-            out.append((i, len(s), s[np.argsort(level[start: start + len(s)], kind="stable")[:few]]))
-            start += len(s)
-        return out
-
-    def heads(batch: pa.RecordBatch) -> dict:
-        return {"g": _longs([head for _, _, head in firsts(batch)])}
-
-    many = arrow_map(docs.select("text"), heads, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-    repeated = session.broadcast(key_bits(many))
-
-    def rows(batch: pa.RecordBatch) -> dict:
-        own = firsts(batch)
-        sizes = [len(head) for _, _, head in own]
-        place = _longs([head for _, _, head in own])
-        keep = passes(repeated.value, place.view(np.uint64))
-        each = lambda values: np.repeat(np.array(values, np.int64), sizes)[keep]
-        at = np.concatenate([np.zeros(0, np.int64), *(np.arange(x) for x in sizes)])[keep]
-        n = each([n for _, n, _ in own])
-        low = at < n - np.ceil(both * n - 1e-9) + 1
-        return {"place": place[keep], "sid": each([i for i, _, _ in own]), "n": n.astype(np.int32), "at": at.astype(np.int32), "low": low}
-
-    met = stored(arrow_map(docs.select("text"), rows, "place long, sid long, n int, at int, low boolean").distinct(), "met")
-    shared = met.groupBy("place").agg(F.count(F.lit(1)).alias("sets"), F.min(F.struct("sid", "n", "at")).alias("centre")).where("sets > 1")
-    return stored(met.join(shared, "place"), "places")
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard similarity is at least `similarity`, counted on the sets themselves."""
-    needed = docs.sparkSession.sparkContext.broadcast(key_bits(pairs.select(F.explode(F.array("a", "b")).alias("g")).distinct()))
-
-    def wanted(batch: pa.RecordBatch) -> dict:
-        own = _sets_of(batch, words)
-        held = passes(needed.value, np.array([i for i, _ in own], np.int64).view(np.uint64))
-        own = [x for x, yes in zip(own, held.tolist()) if yes]
-        return {"sid": np.array([i for i, _ in own], np.int64), "shingles": pa.array([s.view(np.int64) for _, s in own], pa.list_(pa.int64()))}
-
-    sets = stored(arrow_map(docs.select("text"), wanted, "sid long, shingles array<long>").dropDuplicates(["sid"]), "sets")
-    of = lambda c: sets.select(F.col("sid").alias(c), F.col("shingles").alias(f"{c}_s"))
-    common = F.size(F.array_intersect("a_s", "b_s"))
-    enough = common >= similarity * (F.size("a_s") + F.size("b_s") - common) - 1e-9
-    return cut(pairs.join(of("a"), "a").join(of("b"), "b").where(enough).select("a", "b"))
-
-
-def similar_edges(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): pairs of distinct shingle sets (by hash) with a Jaccard similarity of `similarity` or more. They connect all that such pairs connect."""
-    places = _places(docs, words, similarity)
-    # two sets meet at their first common shingle: what stands behind it must hold what they have to share
-    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-9)
-    may = (F.col("at") + least <= F.col("n")) & (F.col("at_m") + least <= F.col("m"))
-    ordered = (F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"))
-    star = places.select("sid", "n", "at", F.col("centre.sid").alias("other"), F.col("centre.n").alias("m"), F.col("centre.at").alias("at_m"))
-    near = _verified(docs, stored(star.where("sid <> other").where(may).select(*ordered).distinct(), "star"), words, similarity)
-    # what the centres have connected needs no further links; all others that meet at a place are compared with each other
-    roots = connected_components(near)
-    rooted = stored(
-        places.drop("centre").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted"
-    )
-    several = rooted.groupBy("place").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("place")
-    open_ = rooted.join(several, "place")
-    parts = F.ceil(F.col("sets") / PLACE_ROWS).cast("int")  # a place with many sets is dealt to several tasks
-    small = open_.where("low").select(
-        "place", F.pmod(F.xxhash64("sid"), parts).cast("int").alias("part"), F.col("sid").alias("other"), F.col("n").alias("m"), F.col("at").alias("at_m"), F.col("root").alias("root_m")
-    )
-    large = open_.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    before = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") < F.col("sid")))
-    rest = large.join(small, ["place", "part"]).where(before & (F.col("root") != F.col("root_m")) & may).select(*ordered).distinct()
-    return near.unionByName(_verified(docs, stored(rest, "rest"), words, similarity))
-
-
-def similar_components(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Per row: doc_id, component_id of texts whose sets of shingles have a Jaccard similarity of `similarity` or more.
-
-    All such pairs count and no others: a pair meets at the first shingle that both share (prefix filter), whatever
-    its neighbours, and is verified on its two sets. Texts with equal sets are folded first. Sets and shingles stand
-    for themselves by 64-bit hashes.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def compute(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "sid": np.array([i for i, _ in _sets_of(batch, words)], np.int64)}
-
-    signed = stored(arrow_map(docs.select("doc_id", "text"), compute, f"doc_id {kind}, sid long"), "signed")
-    texts = stored(signed.groupBy("sid").agg(F.min("doc_id").alias("first")), "texts")
-    roots = connected_components(similar_edges(docs, words, similarity))
-    rooted = texts.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return signed.join(rooted.join(smallest, "root").select("sid", "component_id"), "sid").select("doc_id", "component_id")
-
-
 def hexadecimal(fp):
     """16 lower-case digits of a long column."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

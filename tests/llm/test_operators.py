@@ -499,79 +499,6 @@ def test_registered(spark, sf_dir):
     assert sorted(int(q[2:].split("_")[0]) for q in C.QUERIES) == list(range(1, 11))
 
 
-def test_similar_components(spark):
-    rng = random.Random(30)
-    rows, group = [], {}
-    for g in range(40):
-        base = words(rng, rng.randrange(80, 300), 10**6)
-        for c in range(rng.choice([1, 1, 2, 4])):
-            w = [*base]
-            for _ in range(c * len(w) // 150):  # each edit touches five shingles
-                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
-            rows.append((len(rows), " ".join(w), "en", "a"))
-            group[len(rows) - 1] = g
-    n = len(rows)
-    rows += [(1000, None, None, None), (1001, "", "en", "a"), (1002, " ", "en", "a"), (1003, "Two words", "en", "a"), (1004, "two WORDS", "en", "a"), (1, rows[1][1], "en", "a")]
-    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_components(table(spark, rows)).collect()}
-    assert all(group[got[i]] == group[i] and got[i] <= i for i in range(n))
-    assert sum(got[i] != min(j for j in group if group[j] == group[i]) for i in range(n)) <= 2
-    assert got[1000] == got[1001] == got[1002] == 1000 and got[1003] == got[1004] == 1003
-
-
-def jaccard(a, b, n=5):
-    x, y = ({tuple(w[i: i + n]) for i in range(len(w) - n + 1)} for w in (a, b))
-    return len(x & y) / len(x | y)
-
-
-def relatives(rng, families, members, shared, own, edits):
-    """Texts that share a passage inside a family; each has one partner that differs in some words of its own."""
-    out = []
-    for _ in range(families):
-        passage = words(rng, shared, 10**6)
-        for _ in range(members):
-            w = [*passage, *words(rng, own, 10**6)]
-            partner = [*w]
-            for i in range(edits):
-                partner[shared + 6 + i * own // edits] = f"e{rng.randrange(10**6)}"
-            out.append((w, partner))
-    return out
-
-
-def test_all_texts_that_meet_are_compared(spark):
-    pairs = relatives(random.Random(31), 2, 150, 160, 40, 3)
-    assert all(0.8 <= jaccard(*p) < 0.9 for p in pairs[:20]) and 0.6 < jaccard(pairs[0][0], pairs[1][0]) < 0.75
-    rows = [(2 * i + j, " ".join(w), "en", "a") for i, p in enumerate(pairs) for j, w in enumerate(p)]
-    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_components(table(spark, rows)).collect()}
-    assert got == {i: i - i % 2 for i in range(len(rows))}
-
-
-def edited(rng, low, high, pairs=150):
-    """Pairs of texts whose similarity lies in [low, high)."""
-    out = []
-    while len(out) < pairs:
-        w = words(rng, 200, 10**6)
-        copy = [*w]
-        for i in range(rng.randrange(3, 12)):
-            copy[6 + 16 * i] = f"e{rng.randrange(10**6)}"
-        if low <= jaccard(w, copy) < high:
-            out.append((w, copy))
-    return out
-
-
-def test_related_texts_are_not_linked(spark):
-    pairs = edited(random.Random(32), 0.7, 0.8)
-    rows = [(2 * i + j, " ".join(w), "en", "a") for i, p in enumerate(pairs) for j, w in enumerate(p)]
-    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_components(table(spark, rows)).collect()}
-    assert got == {i: i for i in range(len(rows))}
-
-
-def test_all_similar_pairs_are_found(spark):
-    pairs = edited(random.Random(33), 0.8, 0.85)
-    rows = [(2 * i + j, " ".join(w), "en", "a") for i, p in enumerate(pairs) for j, w in enumerate(p)]
-    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_components(table(spark, rows)).collect()}
-    assert got == {i: i - i % 2 for i in range(len(rows))}
-
-
 def test_decontamination_in_blocks_keeps_each_row(spark):
     rng = random.Random(34)
     items = [(i, " ".join(words(rng, 12, 10**6))) for i in range(6)]
