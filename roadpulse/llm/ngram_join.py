@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from roadpulse.llm.components import connected_components
 from roadpulse.llm.frames import arrow_map, stored, texts_of
 from roadpulse.llm.grams import key_bits, mixed, passes
-from roadpulse.llm.simhash_dedup import shingle_set
 
 WORDS = 4
 PERCENT = 85
@@ -46,6 +45,22 @@ FOLDED = 4
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
+def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's shingles, from those of their words; none for a text without words."""
+    import xxhash
+
+    parts = text.lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    single = np.array(list(map(xxhash.xxh3_64_intdigest, parts)), np.uint64)
+    width = min(words, len(parts))
+    k = len(parts) - width + 1
+    out = np.zeros(k, np.uint64)
+    for i in range(width):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + single[i: i + k]
+    return np.unique(mixed(out, 50 + width))
+
+
 class Classes:
     """Classes of set sizes: a set and its partner of the same size or more are in one class or the next."""
 

@@ -496,7 +496,7 @@ def test_registered(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for name in ("op4_simhash", "op7_mixing", "op8_language_id", "op9_decontamination", "op10_token_counts"):
         assert C.QUERIES[name](spark, sf_dir).count() == n
-    assert sorted(int(q[2:].split("_")[0]) for q in C.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in C.QUERIES) == list(range(1, 14))
 
 
 def test_decontamination_in_blocks_keeps_each_row(spark):
