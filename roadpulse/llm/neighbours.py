@@ -3,7 +3,8 @@
 Vectors are brought to length 1, so that the nearest by cosine are the nearest by distance. Each shard of the
 table keeps one sorted array of (projection, vector) for each of `projections` random directions. A query
 looks at the window of half-width `width * radius` centred at its own projection, in every array; the radius grows by
-the factor `grow` each round (virtual rehashing: windows expand, nothing is hashed again). A vector that falls
+the factor `grow` each round (virtual rehashing: windows expand, nothing is hashed again, and only the vectors that a
+window gains on its two sides are counted, one collision each). A vector that falls
 in the windows of at least `share` of the directions is a candidate and is verified with the exact cosine. The
 search of a shard ends when `near` vectors nearer than the current radius are verified, or when `near` plus
 `extra` candidates are.
@@ -36,7 +37,8 @@ START = 0.3
 GROW = 1.15
 EXTRA = 2000
 SHARD_ROWS = 20_000
-LEAST_SHARDS = 16
+LEAST_SHARDS = 8
+QUERY_BLOCK = 64
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -63,37 +65,50 @@ class Shard:
         values = self.unit @ self.directions.T
         order = np.argsort(values, axis=0, kind="stable")
         self.sorted = np.take_along_axis(values, order, axis=0).T.copy()  # one sorted array a direction
-        kind = np.int16 if len(first) < 2**15 else np.int32
-        self.place = np.empty((projections, len(first)), kind)  # where each vector stands in it
-        np.put_along_axis(self.place, order.T, np.arange(len(first), dtype=kind)[None, :], axis=1)
+        self.order = order.T.copy()  # and which vector stands at each place of it
 
     def search(self, queries: np.ndarray, near: int, width: float, share: float, grow: float, extra: int):
         """For each query its verified candidates, as places among the distinct vectors."""
-        n, m = self.place.shape[1], len(self.directions)
-        need = math.ceil(share * m)
         unit = queries / np.sqrt((queries * queries).sum(axis=1))[:, None]
+        found: list[np.ndarray] = []
+        for a in range(0, len(unit), QUERY_BLOCK):
+            found += self._search(unit[a: a + QUERY_BLOCK], near, width, share, grow, extra)
+        return found
+
+    def _search(self, unit: np.ndarray, near: int, width: float, share: float, grow: float, extra: int) -> list[np.ndarray]:
+        n, m = self.order.shape[1], len(self.directions)
+        need = math.ceil(share * m)
         centres = unit @ self.directions.T
-        found = np.zeros((len(queries), n), bool)
-        inside: list[np.ndarray] = [np.zeros(0)] * len(queries)
-        open_, radius = np.arange(len(queries)), START
+        hits = np.zeros((len(unit), n), np.uint16)
+        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(unit)
+        cosines: list[np.ndarray] = [np.zeros(0)] * len(unit)
+        # a window [low, high) in each array, empty at first
+        low = np.stack([np.searchsorted(v, c) for v, c in zip(self.sorted, centres.T)], axis=1)
+        high = low.copy()
+        arrays = list(self.order)
+        open_, radius = np.arange(len(unit)), START
         while len(open_):
             half = width * radius
-            low = np.stack([np.searchsorted(v, c - half) for v, c in zip(self.sorted, centres[open_].T)], axis=1)
-            high = np.stack([np.searchsorted(v, c + half, "right") for v, c in zip(self.sorted, centres[open_].T)], axis=1)
+            wider_low = np.stack([np.searchsorted(v, c - half) for v, c in zip(self.sorted, centres[open_].T)], axis=1)
+            wider_high = np.stack([np.searchsorted(v, c + half, "right") for v, c in zip(self.sorted, centres[open_].T)], axis=1)
             last = radius > 2 * max(1.0, np.abs(self.sorted).max() + np.abs(centres).max()) / width
             more = []
-            for q, a, b in zip(open_, low.astype(self.place.dtype), (high - 1).astype(self.place.dtype)):
-                within = (self.place >= a[:, None]) & (self.place <= b[:, None])
-                hits = within.view(np.uint8).sum(axis=0, dtype=np.uint16)
-                fresh = np.flatnonzero((hits >= need) & ~found[q])
-                found[q, fresh] = True
-                inside[q] = np.concatenate([inside[q], self.unit[fresh] @ unit[q]])
-                enough = np.count_nonzero(inside[q] >= 1 - radius * radius / 2) > near or len(inside[q]) >= min(n, near + extra)
+            for q, a, b in zip(open_.tolist(), wider_low, wider_high):
+                # only what the windows gain on either side is counted
+                gained = [v[x:y] for v, x, y in zip(arrays, a.tolist(), low[q].tolist())]
+                gained += [v[x:y] for v, x, y in zip(arrays, high[q].tolist(), b.tolist())]
+                before, low[q], high[q] = hits[q], a, b
+                now = before + np.bincount(np.concatenate(gained), minlength=n).astype(np.uint16)
+                fresh = np.flatnonzero((now >= need) & (before < need))
+                hits[q] = now
+                found[q] = np.concatenate([found[q], fresh])
+                cosines[q] = np.concatenate([cosines[q], self.unit[fresh] @ unit[q]])
+                enough = np.count_nonzero(cosines[q] >= 1 - radius * radius / 2) > near or len(found[q]) >= min(n, near + extra)
                 if not (enough or last):
                     more.append(q)
             open_ = np.array(more, np.int64)
             radius *= grow
-        return [np.flatnonzero(f) for f in found]
+        return found
 
 
 def exact_cosine(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
