@@ -61,6 +61,28 @@ def _csv_round_trip(spark, d):
     return O.read_observations(spark, path, extra="obs_id long")
 
 
+def _quarantine(spark, d):
+    """A file in which some lines are broken: rows that are read, and rejected lines from the table they are kept in."""
+    n = F.col("obs_id")
+    when = F.when(n % 31 == 0, F.lit("2023-13-45 99:00:00")).otherwise(F.col("date_time").cast("string"))
+    volume = F.when((n % 37 == 0) & F.col("traffic_volume").isNotNull(), F.lit("many")).otherwise(F.col("traffic_volume").cast("string"))
+    fields = [F.coalesce(c.cast("string"), F.lit("")) for c in (
+        n, F.col("holiday"), F.col("temp"), F.col("rain_1h"), F.col("snow_1h"), F.col("clouds_all"), F.col("weather_main"),
+        F.col("weather_description"), when, volume)]
+    line = F.concat_ws(",", *fields)
+    line = F.when(n % 41 == 0, F.concat(line, F.lit(",more"))).when(n % 43 == 0, F.concat_ws(",", *fields[:5])).otherwise(line)
+    header = ",".join(["obs_id", *O.OBSERVATION.names])
+    path, kept = scratch_path(spark, "observations"), scratch_path(spark, "quarantine")
+    raw(spark, d).select(line.alias(header)).write.option("header", True).option("quote", "").option("escape", "").option("sep", "\u0001").csv(path)
+    rows, rejected = O.split_observations(spark, path, extra="obs_id long")
+    O.quarantine(rejected, kept)
+    reason = F.lit(None).cast("string").alias("reason")
+    gone = spark.read.schema("text string, reason string").parquet(kept)
+    return rows.select("obs_id", "date_time", "traffic_volume", reason).unionByName(gone.select(
+        F.split_part("text", F.lit(","), F.lit(1)).cast("long").alias("obs_id"), F.lit(None).cast("timestamp_ntz").alias("date_time"),
+        F.lit(None).cast("int").alias("traffic_volume"), "reason"))
+
+
 def _reference_csv(spark, d):
     """The nine columns of an observation file, without any key, from CSV to feature rows."""
     path = scratch_path(spark, "observations")
@@ -115,6 +137,7 @@ QUERIES = {
     "s1_observation_csv": _csv_round_trip,
     "s1_observation_table": _table_round_trip,
     "s1_reference_csv": _reference_csv,
+    "s1_quarantine": _quarantine,
     "s7_json_records": lambda s, d: lean(s, d).transform(
         lambda x: as_json_records(x.groupBy("hour").agg(F.round(F.avg("traffic_volume"), 1).alias("avg_volume")))
     ),
@@ -181,6 +204,10 @@ ORACLE = {
     "s1_observation_csv": sql(f"SELECT {OBS.replace('sensor_id, ', '')} FROM raw"),
     "s1_reference_csv": sql("""SELECT date_time, traffic_volume, congestion_code, round(temp_celsius, 6) AS temp_celsius,
         traffic_lag_1h, traffic_lag_24h FROM hist"""),
+    "s1_quarantine": sql("""SELECT obs_id, CASE WHEN reason IS NULL THEN date_time END AS date_time,
+        CASE WHEN reason IS NULL THEN traffic_volume END AS traffic_volume, reason FROM (
+        SELECT obs_id, date_time, traffic_volume, CASE WHEN obs_id % 41 = 0 OR obs_id % 43 = 0 THEN 'fields'
+        WHEN obs_id % 31 = 0 THEN 'date_time' WHEN obs_id % 37 = 0 AND traffic_volume IS NOT NULL THEN 'traffic_volume' END AS reason FROM raw)"""),
     "s1_observation_table": sql("SELECT CAST(year(date_time) AS INTEGER) AS obs_year, count(*) AS n FROM cleaned GROUP BY 1"),
     "s7_json_records": sql("""SELECT '{"hour":' || hour || ',"avg_volume":' || a || '}' AS record FROM by_hour"""),
     "s8_preview": sql("""SELECT date_time, traffic_volume, congestion_label, hour, is_rush_hour, is_weekend, weather_main,
