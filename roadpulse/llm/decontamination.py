@@ -153,19 +153,33 @@ def _full_bands(index: dict, rows: np.ndarray, at: np.ndarray, spot: np.ndarray,
         sizes = high - low + 1
         few = max(1, int(np.searchsorted(np.cumsum(sizes), PAIRS, "right")))
         item, m, n, width, d0, low, sizes, run = (x[:few] for x in (item, m, n, width, d0, low, sizes, run))
-        each = np.repeat(np.arange(few), sizes)
+        row = rows[p[run]]
+        # one q-gram with one q-gram: one for each of two bands
+        one = m * n == 1
+        lower = ((low[one] + BANDS) * n_items + item[one]) * n_rows + row[one]
+        found, times = np.unique(np.concatenate([lower, lower + n_items * n_rows]), return_counts=True)
+        item, m, n, width, d0, low, sizes, row = (x[~one] for x in (item, m, n, width, d0, low, sizes, row))
+        each = np.repeat(np.arange(len(sizes)), sizes)
         band = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         left = band * width[each] - d0[each]
         inside = _until(left + 2 * width[each] - 1, m[each], n[each]) - _until(left - 1, m[each], n[each])
-        code = ((band + BANDS) * n_items + item[each]) * n_rows + rows[p[run]][each]
-        codes, place = np.unique(np.concatenate([codes, code]), return_inverse=True)
-        counts = np.bincount(place, np.concatenate([counts, inside]), len(codes)).astype(np.int64)
-        item = codes // n_rows % n_items
-        last = (codes // n_rows // n_items - BANDS + 2) * (index["edits"][item] + 1) + reach[item]
-        open_ = (last >= p[run[-1]]) & (counts < bounds(codes))
-        kept.append(codes[counts >= bounds(codes)])
-        # a band that has reached its bound is noted once more if it fills again; alignment happens once for equal codes
-        codes, counts = codes[open_], counts[open_]
+        code = ((band + BANDS) * n_items + item[each]) * n_rows + row[each]
+        codes, counts = np.concatenate([codes, code]), np.concatenate([counts, inside])
+        if len(codes):  # sums where a band was met before or by a run
+            codes, place = np.unique(codes, return_inverse=True)
+            counts = np.bincount(place, counts, len(codes)).astype(np.int64)
+            spot_ = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
+            known = codes[spot_] == found
+            counts[spot_[known]] += times[known]
+            found, times = found[~known], times[~known]
+        codes, counts = np.concatenate([codes, found]), np.concatenate([counts, times])
+        full = counts >= bounds(codes)
+        kept.append(codes[full])
+        if a + few < total:  # a full band is noted again if it fills again; one that a later place reaches stays open
+            item = codes // n_rows % n_items
+            last = (codes // n_rows // n_items - BANDS + 2) * (index["edits"][item] + 1) + reach[item]
+            open_ = (last >= p[run[-1]]) & ~full
+            codes, counts = codes[open_], counts[open_]
         a += few
     return np.unique(np.concatenate(kept))
 
