@@ -2,18 +2,22 @@
 
 A window is `length` consecutive tokens (bytes or words) of one text. Its anchor is the gram of `gram` tokens
 inside it with the smallest hash, the leftmost on ties, so equal windows have equal anchors at equal places.
-Consecutive windows with the same anchor form a region; each window lies in exactly one region.
+Consecutive windows with the same anchor form a region; each window lies in exactly one region. A region is cut
+in two: the windows with the anchor in their first half all hold the same tokens after it, the others the same
+tokens before it. The hash of these shared tokens is the key of a half, so halves with equal windows have equal
+keys, and an anchor that is frequent in different surroundings falls apart into many keys.
 
-1. Anchors are counted (combined before the shuffle). A window whose anchor is unique is unique. The others go
-   into a filter of a fixed number of bits, which keeps most unique anchors out of the tables that follow; what
+1. Keys are counted (combined before the shuffle). A window whose key is unique is unique. The others go
+   into a filter of a fixed number of bits, which keeps most unique keys out of the tables that follow; what
    it lets through by chance falls away in step 2.
-2. Regions of other anchors are compared by the hash of their whole content. Equal regions repeat window by
+2. Halves of other keys are compared by the hash of their whole content. Equal halves repeat window by
    window; one of them stands for all.
-3. Anchors with several different contents are compared in shards: the regions of an anchor meet in one task
-   and an index tells which windows repeat. An anchor with many contents is split by a salt; each part passes
-   on one place for every window it has seen, and those places are compared by window hash.
+3. Keys with several different contents are compared in shards: the halves of a key meet in one task
+   and an index tells which windows repeat. Where very many contents hold one passage of over half a window,
+   they are split by a salt, which bounds a group; each part passes on one place for every window it has
+   seen, and those places are compared by window hash.
 
-No step needs all rows of an anchor in one task, and no pairs are formed.
+No step needs all rows of a key in one task, and no pairs are formed.
 """
 
 from __future__ import annotations
@@ -61,6 +65,15 @@ def regions(grams: np.ndarray, length: int, gram: int) -> Iterator[tuple[int, in
         yield from zip((starts + a).tolist(), (ends + a).tolist(), (place[starts] + a).tolist())
 
 
+def halves(s0: int, s1: int, at: int, length: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first window, last window, start and end of the tokens that all of them hold) of the halves of a region."""
+    middle = at - (length - gram) // 2  # the first window with the anchor in its first half
+    if s1 >= middle:
+        yield max(s0, middle), s1, at, middle + length
+    if s0 < middle:
+        yield s0, min(s1, middle - 1), middle - 1, at + gram
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """(doc_id, body): texts as compressed bytes, for cheaper shuffles; null texts are empty."""
     import zstandard
@@ -79,7 +92,7 @@ def repeated_spans(docs: DataFrame, tokens: Callable, grams: Callable, length: i
     """(doc_id, start, end): token spans covered by repeated windows, in pieces that may touch or overlap.
 
     `tokens(bytes)` gives a text's token array and `grams(tokens)` the hash of the gram at each place.
-    `shard(bodies, anchors)` compares the regions of one block: for each region which windows repeat, which are
+    `shard(bodies, anchors)` compares the halves of one block: for each which windows repeat, which are
     the first of their kind in the block's order, and their hashes. With `keep_first`
     a window's earliest place (by doc_id, then start) is not covered by it.
     """
@@ -89,18 +102,19 @@ def repeated_spans(docs: DataFrame, tokens: Callable, grams: Callable, length: i
     def found(text: bytes):
         t = tokens(text)
         if len(t) >= length:
-            g = grams(t)
-            for s0, s1, at in regions(g, length, gram):
-                yield t, g[at], s0, s1, at
+            raw, unit = memoryview(t.tobytes()), t.itemsize
+            for first, last, at in regions(grams(t), length, gram):
+                for s0, s1, a, b in halves(first, last, at, length, gram):
+                    yield raw[s0 * unit: (s1 + length) * unit], xxhash.xxh3_64_intdigest(raw[a * unit: b * unit]), s0, s1, at
 
-    def anchor_keys(batch: pa.RecordBatch) -> dict:
-        keys = [g for text in batch.column("text").cast(pa.large_binary()).to_pylist() for _, g, _, _, _ in found(text)]
-        return {"g": np.array(keys, np.uint64).view(np.int64)}
+    def keys(batch: pa.RecordBatch) -> dict:
+        found_ = [g for text in batch.column("text").cast(pa.large_binary()).to_pylist() for _, g, _, _, _ in found(text)]
+        return {"g": np.array(found_, np.uint64).view(np.int64)}
 
-    many = arrow_map(docs.select("text"), anchor_keys, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    many = arrow_map(docs.select("text"), keys, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
     filter_ = docs.sparkSession.sparkContext.broadcast(key_bits(many))
 
-    def anchor_rows(batch: pa.RecordBatch) -> dict:
+    def half_rows(batch: pa.RecordBatch) -> dict:
         bits = filter_.value
         out: tuple[list, ...] = ([], [], [], [], [], [])
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist()):
@@ -109,15 +123,14 @@ def repeated_spans(docs: DataFrame, tokens: Callable, grams: Callable, length: i
                 continue
             maybe = passes(bits, np.array([g for _, g, _, _, _ in own], np.uint64))
             for i in np.flatnonzero(maybe).tolist():
-                t, g, s0, s1, at = own[i]
-                body = xxhash.xxh3_64_intdigest(t[s0: s1 + length].tobytes())
-                for column, value in zip(out, (g, body, doc, s0, s1, at)):
+                body, g, s0, s1, at = own[i]
+                for column, value in zip(out, (g, xxhash.xxh3_64_intdigest(body), doc, s0, s1, at)):
                     column.append(value)
         return {"g": np.array(out[0], np.uint64).view(np.int64), "c": np.array(out[1], np.uint64).view(np.int64),
                 "doc_id": pa.array(out[2], batch.schema.field("doc_id").type), "s0": pa.array(out[3], pa.int32()),
                 "s1": pa.array(out[4], pa.int32()), "at": pa.array(out[5], pa.int32())}
 
-    rows = stored(arrow_map(docs, anchor_rows, f"g long, c long, doc_id {kind}, s0 int, s1 int, at int"), "regions")
+    rows = stored(arrow_map(docs, half_rows, f"g long, c long, doc_id {kind}, s0 int, s1 int, at int"), "regions")
     contents = stored(rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "s0", "s1", "at")).alias("first")), "contents")
     kinds = cut(contents.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     span = lambda df: df.select("doc_id", F.col("s0").alias("start"), (F.col("s1") + length).alias("end"))
@@ -158,7 +171,7 @@ def repeated_spans(docs: DataFrame, tokens: Callable, grams: Callable, length: i
     names = ("g", "salt", "split", "doc_id", "s0", "at", "body")
 
     def answer(held: dict[str, list], doc_type: pa.DataType) -> pa.RecordBatch:
-        # parts of one anchor may share a block: places are compared in the order of documents, not of parts
+        # parts of one key may share a block: places are compared in the order of documents, not of parts
         order = sorted(range(len(held["body"])), key=lambda r: (held["doc_id"][r], held["s0"][r]))
         held = {name: [column[r] for r in order] for name, column in held.items()}
         repeated, leads, hashes = shard(held["body"], np.array(held["at"], np.int64))
@@ -173,7 +186,7 @@ def repeated_spans(docs: DataFrame, tokens: Callable, grams: Callable, length: i
             if len(where):
                 for run in np.split(where, np.flatnonzero(np.diff(where) > 1) + 1):
                     add(r, int(run[0]), int(run[-1]), None)
-            if held["split"][r]:  # one place of every window goes on to the other parts of its anchor
+            if held["split"][r]:  # one place of every window goes on to the other parts of its key
                 for w in np.flatnonzero(lead).tolist():
                     add(r, w, w, int(keys[w]))
         types = {"doc_id": doc_type, "start": pa.int32(), "end": pa.int32(), "window": pa.int64()}
