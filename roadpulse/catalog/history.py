@@ -16,6 +16,7 @@ from roadpulse.session import scratch_path
 from roadpulse.sources import bindings as B
 from roadpulse.sources import observations as O
 from roadpulse.sources.artifacts import as_json_records
+from roadpulse.streaming.lag_stream import read_observation_stream, run_lag_stream
 
 OBS = "obs_id, sensor_id, date_time, traffic_volume, temp, rain_1h, snow_1h, clouds_all, weather_main, weather_description, holiday"
 
@@ -101,10 +102,25 @@ def _table_round_trip(spark, d):
 
 
 def _by_sensor(spark, d):
-    df = uniq(spark, d).transform(series.lag_features, keys=("sensor_id",))
+    df = uniq(spark, d).transform(series.lag_features, keys=("sensor_id",), bounds_from=raw(spark, d))
     return rounded(df.select("obs_id", "sensor_id", *[c for c in df.columns if c.startswith("traffic_") and c != "traffic_volume"]), 6, MEANS)
 
 
+def _lag_stream(spark, d):
+    """The observations in four arrivals by time, each met by a new start of the stream; gaps have the median of all."""
+    df = uniq(spark, d).select("obs_id", "sensor_id", "date_time", "traffic_volume")
+    micros = F.unix_micros(F.col("date_time").cast("timestamp"))
+    cuts = df.agg(F.percentile_approx(micros, [0.25, 0.5, 0.75])).first()[0] or []
+    number = sum((F.when(micros > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    fill = df.transform(series.median_value, "traffic_volume").first()["median"]
+    source, out, state = (scratch_path(spark, n) for n in ("readings", "lags", "lag-state"))
+    for k in range(len(cuts) + 1):
+        df.where(number == k).write.mode("append").parquet(source)
+        run_lag_stream(read_observation_stream(spark, source, df.schema), out, state, fill=fill).awaitTermination()
+    told = spark.read.parquet(out)
+    return rounded(told.select("obs_id", "sensor_id", *[c for c in told.columns if c.startswith("traffic_") and c != "traffic_volume"]), 6, MEANS)
+
+
 def _conditions_features(spark, d):
     f = B.conditions(spark, d).transform(features.condition_features)
     return rounded(rounded(features.feature_matrix(f, "scenario_id")), 6, V.FEATURES[-3:])
@@ -115,7 +131,7 @@ def _history_row(df):
 
 
 def _series(spark, d):
-    return uniq(spark, d).transform(series.lag_features)
+    return uniq(spark, d).transform(series.lag_features, bounds_from=raw(spark, d))
 
 
 def _value_quartiles(spark, d):
@@ -180,6 +196,7 @@ QUERIES = {
     "w2_lags": lambda s, d: _series(s, d).select("obs_id", "traffic_lag_1h", "traffic_lag_24h"),
     "w3_trailing_means": lambda s, d: rounded(_series(s, d).select("obs_id", *MEANS), 6, MEANS),
     "w2_w3_by_sensor": _by_sensor,
+    "l1_lag_stream": _lag_stream,
     "w4_median": lambda s, d: uniq(s, d).transform(series.median_value, "traffic_volume"),
     "w5_peak_hour": lambda s, d: lean(s, d).transform(peak_position, "hour"),
     "w5_peak_month": lambda s, d: lean(s, d).transform(peak_position, "month"),
@@ -247,6 +264,7 @@ ORACLE = {
     "w3_trailing_means": sql("""SELECT obs_id, round(traffic_rolling_3h, 6) AS traffic_rolling_3h,
         round(traffic_rolling_6h, 6) AS traffic_rolling_6h FROM lagged"""),
     "w2_w3_by_sensor": sql(f"SELECT obs_id, sensor_id, {_SERIES} FROM lagged_sensor"),
+    "l1_lag_stream": sql(f"SELECT obs_id, sensor_id, {_SERIES} FROM lagged_sensor"),
     "w4_median": sql("SELECT med AS median FROM med"),
     "w5_peak_hour": sql("SELECT peak_hour, trough_hour FROM peak"),
     "w5_peak_month": sql("""SELECT worst_month AS peak_month,
