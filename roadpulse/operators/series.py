@@ -1,7 +1,8 @@
 """Ordered windows over long series without sending a series to one task.
 
-The rows are ordered by (series, time, tie) and cut into blocks at the quantiles of a sample of a fixed
-size, the rows with the smallest hashes. Bounds are values of all three, so a hot series, span or instant
+The rows are ordered by (series, time, tie) and cut into blocks at the quantiles of a seeded sample, the rows
+whose hash is small enough. The number of blocks follows from the number of rows, so a block keeps its size as
+the table grows, and a bound stands for PER_BLOCK sampled rows. Bounds are values of all three, so a hot series, span or instant
 spreads over blocks. Windows run per block; the few rows a block needs from before its start arrive as a
 short array per block. Bounds shape the tasks only: any bounds give the same result.
 """
@@ -13,8 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCKS = 256
-PER_BLOCK = 8
+BLOCK_ROWS = 1 << 18
+MIN_BLOCKS = 64
+PER_BLOCK = 32
 
 
 def _series(keys: Sequence[str]) -> Column:
@@ -26,23 +28,35 @@ def _place(keys: Sequence[str], ts: str, tie: str) -> Column:
     return F.struct(_series(keys).alias("s"), F.col(ts).alias("t"), F.col(tie).alias("i"))
 
 
-def block_bounds(df: DataFrame, keys, ts: str, tie: str, blocks: int) -> Column:
-    """Ascending places that cut `df` into at most `blocks` parts, as a scalar subquery: each map task
-    passes on its `blocks x PER_BLOCK` rows of smallest hash, of which every PER_BLOCK-th is a bound."""
+def block_count(n_rows: int, block_rows: int = BLOCK_ROWS, least: int = MIN_BLOCKS) -> int:
+    """As many blocks as hold about `block_rows` rows each, and `least` for the cores of a small table."""
+    return max(least, -(-n_rows // block_rows))
+
+
+def block_bounds(df: DataFrame, keys, ts: str, tie: str, blocks: int, n_rows: int) -> Column:
+    """Ascending places that cut `df` into about `blocks` parts, as a scalar subquery. Of `n_rows` rows those are sampled
+    whose hash lies in the lowest PER_BLOCK x `blocks` / `n_rows` of its range, whatever the number of
+    map tasks; every PER_BLOCK-th of them is a bound."""
     place = _place(keys, ts, tie)
-    sample = df.select(place.alias("p"), F.xxhash64(place).alias("h")).orderBy("h").limit(blocks * PER_BLOCK - 1)
-    spread = F.filter(F.array_sort(F.collect_list("p")), lambda x, i: i % PER_BLOCK == PER_BLOCK - 1)
+    share = min(1.0, blocks * PER_BLOCK / max(n_rows, 1))
+    limit = min(int((share - 0.5) * 2.0**64), 2**63 - 1)
+    sample = df.select(place.alias("p")).where(F.xxhash64("p") <= F.lit(limit))
+    per_bound = max(1, round(share * n_rows / blocks))
+    spread = F.filter(F.array_sort(F.collect_list("p")), lambda x, i: i % per_bound == per_bound - 1)
     return sample.agg(spread).scalar()
 
 
 def with_blocks(
-    df: DataFrame, keys=(), ts: str = "date_time", tie: str = "obs_id", blocks: int = BLOCKS,
+    df: DataFrame, keys=(), ts: str = "date_time", tie: str = "obs_id", blocks: int | None = None,
     bounds_from: DataFrame | None = None,
 ) -> DataFrame:
     """Adds `_series` and an order-keeping `_block`. `bounds_from` is any frame with about these rows that is
-    cheaper to read, such as the table before cleaning. Tables far beyond a billion rows want more blocks."""
-    bounds = block_bounds(df if bounds_from is None else bounds_from, keys, ts, tie, blocks)
-    steps = [1 << k for k in range(blocks.bit_length() - 1, -1, -1)]
+    cheaper to count and read, such as the table before cleaning."""
+    like = df if bounds_from is None else bounds_from
+    n_rows = like.count()
+    blocks = blocks or block_count(n_rows)
+    bounds = block_bounds(like, keys, ts, tie, blocks, n_rows)
+    steps = [1 << k for k in range(blocks.bit_length() + 1, -1, -1)]  # a sample may give some bounds more
     # number of bounds at or before the row's place, by bisection
     found = F.aggregate(
         F.array(*[F.lit(k) for k in steps]), F.lit(0),

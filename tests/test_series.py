@@ -62,6 +62,23 @@ def test_blocks_keep_order_and_split_hot_rows(spark):
     same(series.lag_features(df, keys=("sensor_id",), blocks=16), plain(df, ("sensor_id",)))
 
 
+def test_ten_times_the_rows_have_ten_times_the_blocks(spark):
+    """Blocks keep their size: none holds more than twice the mean, whatever the number of map tasks."""
+    found = []
+    for n in (50_000, 500_000):
+        df = spark.range(0, n, 1, 13).select(
+            F.col("id").alias("obs_id"), F.when(F.col("id") % 3 > 0, F.col("id") % 50).cast("int").alias("sensor_id"),
+            F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("id"), F.lit(n))).cast("timestamp_ntz").alias("date_time"),
+        )
+        blocks = series.block_count(n, block_rows=2500, least=1)
+        sizes = [r[1] for r in series.with_blocks(df, ("sensor_id",), blocks=blocks).groupBy("_block").count().collect()]
+        assert sum(sizes) == n and max(sizes) <= 2 * n / len(sizes)
+        found.append((blocks, len(sizes)))
+    (few, few_found), (many, many_found) = found
+    assert many == 10 * few and abs(few_found - few) <= 4 and abs(many_found - many) <= 20
+    assert series.block_count(0) == series.MIN_BLOCKS
+
+
 def test_fill_and_other_bounds(spark):
     df = rows(spark, 40, 9)
     got = series.lag_features(df, fill=5.0, bounds_from=df.limit(7)).where("traffic_lag_24h = 5.0")
