@@ -11,6 +11,7 @@ from roadpulse.operators.scoring import Scorer, hour_bits, hour_texts, score_con
 from roadpulse.schema import SEGMENT
 
 N_CLASSES = len(V.CONGESTION_LABELS)
+SALTS = 16
 ALERT_COLUMNS = (
     "name", "exit", "factor", "segment_label", "color_hex", "lat_center", "lon_center", "is_bottleneck"
 )
@@ -75,10 +76,25 @@ def base_predictions(conditions: DataFrame, scorer: Scorer) -> DataFrame:
     )
 
 
-def corridor_state(base: DataFrame, segments: DataFrame) -> DataFrame:
-    """One row per condition and segment of its corridor. An equi-join on (corridor, base code);
-    Spark broadcasts the segment side only while its size is below the session's limit."""
-    return base.join(coded_segments(segments), ["corridor_id", "base_code"])
+def with_corridor(base: DataFrame, per_code: DataFrame, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """`base` joined with rows per (corridor, base code).
+
+    One corridor may hold any share of the conditions, and all of it may have one code. Where the right side is too large for
+    Spark to broadcast it by its size, or the left is a stream, such a key would be one task: so conditions are dealt by a
+    salt too, and the right side, which does not grow with them, has a copy per salt.
+    """
+    salted = base.withColumn("_salt", F.pmod(F.xxhash64("scenario_id"), F.lit(salts)).cast("int"))
+    copies = per_code.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, ["corridor_id", "base_code", "_salt"], how).drop("_salt")
+
+
+def corridor_state(base: DataFrame, segments: DataFrame, salts: int = SALTS) -> DataFrame:
+    """One row per condition and segment of its corridor. The segments of a corridor under a code are one array, so the
+    join moves a condition once, whatever the number of segments, and the rows fan out after it."""
+    coded = coded_segments(segments)
+    own = [c for c in coded.columns if c not in ("corridor_id", "base_code")]
+    per_code = coded.groupBy("corridor_id", "base_code").agg(F.collect_list(F.struct(*own)).alias("_segments"))
+    return with_corridor(base, per_code, salts=salts).select(*base.columns, F.inline("_segments"))
 
 
 def corridor_summary(base: DataFrame, segments: DataFrame) -> DataFrame:
@@ -94,7 +110,7 @@ def corridor_summary(base: DataFrame, segments: DataFrame) -> DataFrame:
         rank(code).alias("safest_segment"),
     )
     counts = ("severe_count", "high_count", "total_segments")
-    return base.join(per_code, ["corridor_id", "base_code"], "left").fillna(0, subset=list(counts))
+    return with_corridor(base, per_code, "left").fillna(0, subset=list(counts))
 
 
 def at_or_above(level: str | Column) -> Column:
@@ -116,7 +132,7 @@ def alert_block(base: DataFrame, segments: DataFrame, level: str = "High") -> Da
         F.array_sort(F.collect_list(hit)).alias("_hits")
     )
     hits = F.coalesce("_hits", F.array())  # a corridor without segments has no alert
-    return base.join(per_code, ["corridor_id", "base_code"], "left").select(
+    return with_corridor(base, per_code, "left").select(
         "scenario_id", "corridor_id", "base_code",
         hits["name"].alias("segments"),
         F.size(hits).alias("alert_count"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadpulse.functions import columns as C
 from roadpulse.operators.aggregates import LAGS
-from roadpulse.operators.corridor import at_or_above, coded_segments
+from roadpulse.operators.corridor import at_or_above, coded_segments, with_corridor
 from roadpulse.operators.explain import contributing_factors, narrative
 from roadpulse.operators.features import condition_features, default_lags
 from roadpulse.operators.scoring import RISK_DEFAULTS, Scorer, score_conditions, trend
@@ -88,7 +88,7 @@ def live_report(
         F.array_sort(F.collect_list(F.when(at_or_above(level), seg))).alias("_hits"),
     )
     hits = F.coalesce("_hits", F.array())  # no segment, no alert
-    return told.join(state, ["corridor_id", "base_code"], "left").select(
+    return with_corridor(told, state, "left").select(
         "scenario_id",
         *[c.alias(n) for n, c in C.time_texts(t).items()],
         "current", "next_hour",
