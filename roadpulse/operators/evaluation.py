@@ -12,6 +12,7 @@ from roadpulse.functions import columns as C
 from roadpulse.operators.ranking import seeded_hash, seeded_sample
 
 N_CLASSES = len(V.CONGESTION_LABELS)
+BLOCK_ROWS = 512
 
 
 # --- stratified split -------------------------------------------------------------------
@@ -191,52 +192,48 @@ def six_axes(confusion: DataFrame) -> DataFrame:
 
 # --- permutation importance -------------------------------------------------------------
 
-def numbered(df: DataFrame, groups: Sequence[str], hashed: Column, key: str, into: str) -> DataFrame:
-    """Numbers the rows of each group from 1 in the order of (hash, key): counts per hash prefix give each
-    prefix its first number, so a group is ranked in up to 65,536 parts."""
-    df = df.withColumn("_hash", hashed).withColumn("_prefix", F.substring("_hash", 1, 4))
-    by = [*groups, "_prefix"]
-    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(
-        *[F.col(c).alias(f"_s_{c}") for c in by], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
-    )
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_hash", key)))
-    met = [F.col(c) == F.col(f"_s_{c}") for c in by]
-    return ranked.join(starts, met).withColumn(into, F.col("_start") + F.col("_rank")).drop(
-        "_hash", "_prefix", "_rank", "_start", *[f"_s_{c}" for c in by]
-    )
+def hash_number(hashed: Column) -> Column:
+    """The first eight hexadecimal digits as a number."""
+    return F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long")
 
 
 def permutation_importance(
     test: DataFrame, scorer, features=V.FEATURES, rows: int | None = None, repeats: int = 5, seed: int = 42,
-    label: str = "congestion_code", key: str = "obs_id",
+    label: str = "congestion_code", key: str = "obs_id", block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Weighted-F1 drop per shuffled feature: mean and population deviation over the repeats.
 
-    Takes all test rows, or a seeded sample of `rows` where asked for. They are numbered in seeded hash order
-    once for the receivers and, per (feature, repeat), for the donors. One equi-join gives every row its donor
-    value and one scoring pass covers all features and repeats.
+    Takes all test rows, or a seeded sample of `rows` where asked for. A seeded hash deals them into blocks of about `block_rows`
+    rows and orders each block, so places are random. The donor of a place is computed: it lies a number of
+    places further round the block, a number drawn for every (feature, repeat, block). That moves each value to one other
+    row, and the rows are shuffled once, whatever the number of features and repeats; their copies are made, scored and
+    counted where the block lies. `key` tells the rows apart: rows with one key share a block. Without rows there is no importance.
     """
     sample = test.select(key, label, *features)
     if rows is not None:
         sample = seeded_sample(sample, rows, seed, key)
-    n_rep = F.array(*[F.lit(r) for r in range(repeats)])
-    own = numbered(sample, (), seeded_hash(f"{seed}-receiver", key), key, "_pos")
-    long = (
-        sample.select(key, F.explode(F.array(*[
-            F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features
-        ])).alias("x"), n_rep.alias("_reps"))
-        .select(key, "x.feature", "x.value", F.explode("_reps").alias("repeat"))
-    )
-    donors = numbered(long, ("feature", "repeat"), seeded_hash(seed, "feature", "repeat", key), key, "_pos").drop(key)
-    swapped = own.join(donors, "_pos").withColumns({
-        f: F.when(F.col("feature") == f, F.col("value")).otherwise(F.col(f).cast("double")) for f in features
-    })
-    base_row = sample.withColumns({f: F.col(f).cast("double") for f in features}).select(
-        key, label, *features, F.lit("").alias("feature"), F.lit(-1).alias("repeat")
-    )
-    scored = scorer(swapped.select(key, label, *features, "feature", "repeat").unionByName(base_row))
-    conf = confusion_matrix(scored, "feature", "repeat", actual=label, predicted="pred_code")
+    blocks = max(1, sample.count() // block_rows)
+    own = seeded_hash(f"{seed}-receiver", key)
+    row = F.struct(own.alias("h"), F.col(key).alias("k"), F.col(label).alias("y"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    dealt = sample.groupBy((hash_number(own) % blocks).alias("_block")).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    trials = F.array(
+        F.struct(F.lit("").alias("feature"), F.lit(-1).alias("repeat"), F.lit(-1).alias("at")),
+        *[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.lit(i).alias("at")) for i, f in enumerate(features) for r in range(repeats)],
+    )
+    size = F.size("_rows")
+    drawn = hash_number(seeded_hash(f"{seed}-shift", "feature", "repeat", "_block"))
+    swapped = (
+        dealt.select("_block", "_rows", F.inline(trials))
+        .withColumn("_shift", (drawn % F.greatest(size - 1, F.lit(1)) + 1).cast("int"))
+        .select("feature", "repeat", "at", F.inline(F.transform("_rows", lambda x, i: F.struct(
+            x["k"].alias(key), x["y"].alias(label), x["x"].alias("_x"),
+            F.get(F.get(F.col("_rows"), F.pmod(i + F.col("_shift"), size))["x"], F.col("at")).alias("_donor"),
+        ))))
+    )
+    copies = swapped.select(key, label, "feature", "repeat", *[
+        F.when(F.col("at") == i, F.col("_donor")).otherwise(F.col("_x")[i]).alias(f) for i, f in enumerate(features)
+    ])
+    conf = confusion_matrix(scorer(copies), "feature", "repeat", actual=label, predicted="pred_code")
     f1 = weighted_f1(class_report(conf, "feature", "repeat"), "feature", "repeat")
     every = Window.partitionBy(F.lit(0))  # one row per (feature, repeat)
     base = F.max(F.when(F.col("feature") == "", F.col("f1_weighted"))).over(every)

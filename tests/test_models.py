@@ -1,5 +1,6 @@
 """Metric operators on the published matrices; fits, importance and persistence on the fixture."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -106,6 +107,55 @@ def test_noise_ranks_last(parts):
     assert set(got) == set(use) and got["hour"][0] > 0.2 and abs(got["noise"][0]) < 0.05
 
 
+def test_importance_by_hand(spark):
+    """Values move round their block: counted row by row, with blocks of one row, a tie of keys and an empty table."""
+    features, n = ("a", "b"), 40
+    rows = [(i if i < n - 1 else 0, i % 3, float(i % 3), float(i % 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "obs_id long, congestion_code int, a double, b double")
+
+    def scorer(d):
+        return d.withColumn("pred_code", F.pmod(F.col("a") + F.floor(F.col("b") / 4), F.lit(3)).cast("int"))
+
+    def number(text):
+        return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
+    def f1(pairs):
+        total = 0.0
+        for c in range(3):
+            hit, a, p = (sum(map(f, pairs)) for f in (lambda x: x == (c, c), lambda x: x[0] == c, lambda x: x[1] == c))
+            total += 2 * hit / (a + p) * a if a + p else 0.0
+        return total / len(pairs)
+
+    guess = lambda x: int((x[0] + x[1] // 4) % 3)
+    for block_rows in (1, 7, 100):
+        blocks = {}
+        for r in rows:
+            name = f"42-receiver-{r[0]}"
+            blocks.setdefault(number(name) % max(1, n // block_rows), []).append((hashlib.md5(name.encode()).hexdigest(), *r))
+        want = {}
+        for j, f in enumerate(features):
+            for repeat in range(2):
+                pairs = []
+                for b, held in blocks.items():
+                    held.sort()
+                    shift = number(f"42-shift-{f}-{repeat}-{b}") % max(len(held) - 1, 1) + 1
+                    for i, r in enumerate(held):
+                        x = list(r[3:])
+                        x[j] = held[(i + shift) % len(held)][3 + j]
+                        pairs.append((r[2], guess(x)))
+                want.setdefault(f, []).append(f1([(r[1], guess(r[2:])) for r in rows]) - f1(pairs))
+        got = E.permutation_importance(df, scorer, features=features, repeats=2, block_rows=block_rows).collect()
+        assert {r.feature: round(r.importance, 9) for r in got} == {f: round(sum(d) / 2, 9) for f, d in want.items()}
+    assert E.permutation_importance(df.limit(0), scorer, features=features).count() == 0
+
+
+def test_importance_shuffles_the_test_rows_once(spark):
+    df = spark.range(100).select(F.col("id").alias("obs_id"), (F.col("id") % 4).cast("int").alias("congestion_code"), F.rand(1).alias("a"))
+    found = E.permutation_importance(df, lambda d: d.withColumn("pred_code", F.lit(1)), features=("a",))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("collect_list") == 1
+
+
 def test_artifacts_round_trip(spark, matrices, tmp_path):
     assert R.read_importance(spark, str(tmp_path / "none")) is None
     summary = E.summary_metrics(matrices, "model").withColumn("train_time_sec", F.lit(1.5))
