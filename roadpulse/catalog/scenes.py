@@ -80,6 +80,7 @@ def _live(spark, d):
         _joined(F.transform("risk_forecast", lambda x: x["code"].cast("string")), "").alias("risk_codes"),
         _joined(F.transform("corridor", lambda x: x["segment_code"].cast("string")), "").alias("corridor_codes"),
         F.col("alerts.alert_count").alias("alert_count"), F.col("alerts.alert_active").alias("alert_active"),
+        "corridor_summary.*",
     )
 
 
@@ -335,11 +336,14 @@ ORACLE = {
         strftime(date_time, '%H:%M') AS local_time, strftime(date_time, '%Y-%m-%d') AS date,
         strftime(date_time, '%A') AS day_name, label, pred_code AS code, CAST((hour + 1) % 24 AS INTEGER) AS next_hour,
         label AS next_label, 'steady' AS trend, r.codes AS risk_codes, c.codes AS corridor_codes,
-        CAST(c.alerts AS INTEGER) AS alert_count, c.alerts > 0 AS alert_active FROM pred p
+        CAST(c.alerts AS INTEGER) AS alert_count, c.alerts > 0 AS alert_active, c.alerts - c.severe AS high_count,
+        c.severe AS severe_count, c.total AS total_segments, c.worst AS worst_segment, c.safest AS safest_segment FROM pred p
         JOIN (SELECT scenario_id, string_agg(CAST(code AS VARCHAR), '' ORDER BY hour) AS codes FROM risk GROUP BY 1) r
           ON p.scenario_id = r.scenario_id
         JOIN (SELECT scenario_id, string_agg(CAST(segment_code AS VARCHAR), '' ORDER BY ordinal) AS codes,
-          count(*) FILTER (WHERE segment_code >= 2) AS alerts FROM state GROUP BY 1) c ON p.scenario_id = c.scenario_id"""),
+          count(*) FILTER (WHERE segment_code >= 2) AS alerts, count(*) FILTER (WHERE segment_code = 3) AS severe, count(*) AS total,
+          first(name ORDER BY segment_code DESC, factor DESC, ordinal) AS worst,
+          first(name ORDER BY segment_code, factor DESC, ordinal) AS safest FROM state GROUP BY 1) c ON p.scenario_id = c.scenario_id"""),
     "g18_alert_block": sql("""SELECT scenario_id,
         coalesce(string_agg(CASE WHEN segment_code >= 2 THEN name END, '|' ORDER BY ordinal), '') AS segments,
         CAST(count(*) FILTER (WHERE segment_code >= 2) AS INTEGER) AS alert_count,

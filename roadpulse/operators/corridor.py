@@ -97,17 +97,24 @@ def corridor_state(base: DataFrame, segments: DataFrame, salts: int = SALTS) ->
     return with_corridor(base, per_code, salts=salts).select(*base.columns, F.inline("_segments"))
 
 
+def summary_columns() -> dict[str, Column]:
+    """Aggregates over the coded segments of a corridor: counts by level, worst and safest segment."""
+    code, factor, ordinal = F.col("segment_code"), F.col("factor"), F.col("ordinal")
+    rank = lambda c: F.min(F.struct(c.alias("c"), (-factor).alias("f"), ordinal, F.col("name")))["name"]
+    return {
+        "severe_count": F.count_if(code == 3),
+        "high_count": F.count_if(code == 2),
+        "total_segments": F.count(F.lit(1)),
+        "worst_segment": rank(-code),
+        "safest_segment": rank(code),
+    }
+
+
 def corridor_summary(base: DataFrame, segments: DataFrame) -> DataFrame:
     """Counts, worst and safest segment per condition. The summary is computed once per corridor
     and base code, then looked up, so conditions neither fan out nor shuffle by scenario."""
-    code, factor, ordinal = F.col("segment_code"), F.col("factor"), F.col("ordinal")
-    rank = lambda c: F.min(F.struct(c.alias("c"), (-factor).alias("f"), ordinal, F.col("name")))["name"]
     per_code = coded_segments(segments).groupBy("corridor_id", "base_code").agg(
-        F.count_if(code == 3).alias("severe_count"),
-        F.count_if(code == 2).alias("high_count"),
-        F.count(F.lit(1)).alias("total_segments"),
-        rank(-code).alias("worst_segment"),
-        rank(code).alias("safest_segment"),
+        *[c.alias(n) for n, c in summary_columns().items()]
     )
     counts = ("severe_count", "high_count", "total_segments")
     return with_corridor(base, per_code, "left").fillna(0, subset=list(counts))

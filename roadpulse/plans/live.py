@@ -1,16 +1,17 @@
-"""The combined report: now, next hour, 24-hour risk, corridor and alerts per condition."""
+"""The combined report: now, next hour, 24-hour risk, corridor with its summary, and alerts per condition."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadpulse import fixed_values as V
 from roadpulse.functions import columns as C
 from roadpulse.operators.aggregates import LAGS
-from roadpulse.operators.corridor import at_or_above, coded_segments, with_corridor
+from roadpulse.operators.corridor import at_or_above, coded_segments, summary_columns, with_corridor
 from roadpulse.operators.explain import contributing_factors, narrative
 from roadpulse.operators.features import condition_features, default_lags
-from roadpulse.operators.scoring import RISK_DEFAULTS, Scorer, score_conditions, trend
+from roadpulse.operators.scoring import RISK_DEFAULTS, Scorer, class_probabilities, score_conditions, trend
 
 NOW, NEXT = -2, -1
 
@@ -42,17 +43,25 @@ def _predictions(conditions: DataFrame, hourly_lags: DataFrame, scorer: Scorer)
         F.max(F.when(slot == i, F.col(c))).alias(f"{c}_{i}")
         for i in range(NOW, 24) for c in (("pred_code", "confidence") if sure else ("pred_code",))
     ]
+    classes = range(len(V.CONGESTION_LABELS)) if sure else ()
+    picks += [
+        F.max(F.when(slot == i, F.col("probabilities")[c])).alias(f"share_{c}_{i}") for i in (NOW, NEXT) for c in classes
+    ]
     wide = conditions.join(scored.groupBy("scenario_id").agg(*picks), "scenario_id")
 
-    def outcome(hour, code, confidence) -> Column:
+    def outcome(hour, code, confidence, *more: Column) -> Column:
         return F.struct(
             hour.alias("hour"), C.level_label(code).alias("label"), code.alias("code"),
-            confidence.alias("confidence"), C.risk_score(code).alias("risk_score"),
+            confidence.alias("confidence"), C.risk_score(code).alias("risk_score"), *more,
         )
 
+    def probabilities(i: int) -> Column:
+        shares = F.array(*[F.col(f"share_{c}_{i}") for c in classes]) if sure else F.lit(None).cast("array<double>")
+        return class_probabilities(shares).alias("probabilities")
+
     unknown = F.lit(None).cast("double")
     conf = lambda i: F.col(f"confidence_{i}") if sure else unknown
-    one = lambda i, hour: outcome(hour, F.col(f"pred_code_{i}"), conf(i))
+    one = lambda i, hour: outcome(hour, F.col(f"pred_code_{i}"), conf(i), probabilities(i))
     # A lambda over the 24 values keeps the generated code small enough to be compiled.
     each = F.array(*[F.struct(F.col(f"pred_code_{i}").alias("c"), conf(i).alias("p")) for i in range(24)])
     hour = F.col("hour")
@@ -67,8 +76,9 @@ def _predictions(conditions: DataFrame, hourly_lags: DataFrame, scorer: Scorer)
 def live_report(
     conditions: DataFrame, hourly_lags: DataFrame, segments: DataFrame, scorer: Scorer, level: str = "High"
 ) -> DataFrame:
-    """One nested row per condition: current prediction with its explanation, next hour, 24-hour
-    risk, corridor and alerts. Corridor state and alerts are looked up per (corridor, base code)."""
+    """One nested row per condition: current prediction with its class probabilities and explanation, next hour, 24-hour
+    risk, corridor, its summary and alerts. Corridor state, summary and alerts are looked up per (corridor, base code);
+    a condition without corridor has counts of 0. A scorer without probabilities gives empty maps."""
     t = F.col("date_time")
     timed = conditions.withColumns({
         "hour": F.hour(t), "day_of_week": F.weekday(t), "month": F.month(t), "as_of": F.to_date(t),
@@ -86,6 +96,11 @@ def live_report(
     state = coded_segments(segments).groupBy("corridor_id", "base_code").agg(
         F.array_sort(F.collect_list(seg)).alias("corridor"),
         F.array_sort(F.collect_list(F.when(at_or_above(level), seg))).alias("_hits"),
+        F.struct(*[c.alias(n) for n, c in summary_columns().items()]).alias("_summary"),
+    )
+    counts = ("severe_count", "high_count", "total_segments")
+    summary = F.struct(
+        *[F.coalesce(F.col(f"_summary.{c}"), F.lit(0)).alias(c) for c in counts], "_summary.worst_segment", "_summary.safest_segment"
     )
     hits = F.coalesce("_hits", F.array())  # no segment, no alert
     return with_corridor(told, state, "left").select(
@@ -93,7 +108,7 @@ def live_report(
         *[c.alias(n) for n, c in C.time_texts(t).items()],
         "current", "next_hour",
         trend(F.col("current.code"), F.col("next_hour.code")).alias("trend"),
-        "risk_forecast", "corridor",
+        "risk_forecast", "corridor", summary.alias("corridor_summary"),
         F.struct(
             hits.alias("segments"), F.size(hits).alias("alert_count"),
             (F.size(hits) > 0).alias("alert_active"),
