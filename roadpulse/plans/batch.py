@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadpulse import fixed_values as V
@@ -13,8 +13,11 @@ from roadpulse.operators.evaluation import (
 from roadpulse.operators.features import (
     calendar_features, engineer, holiday_feature, label_congestion, row_features, rush_features,
 )
-from roadpulse.operators.learning import model_scorer, train_and_compare
-from roadpulse.sources.artifacts import write_importance, write_metric_tables, write_metrics, write_model
+from roadpulse.operators.learning import model_scorer, timed_fit, train_and_compare
+from roadpulse.plans.manifest import Manifest
+from roadpulse.sources.artifacts import (
+    read_importance, read_model, write_importance, write_metric_tables, write_metrics, write_model,
+)
 
 
 def prepared_history(raw: DataFrame, keys=(), tie: str | None = None, **series) -> DataFrame:
@@ -55,6 +58,11 @@ def training_rows(history: DataFrame, key: str = "obs_id") -> DataFrame:
     return history.select(key, "congestion_code", *V.FEATURES)
 
 
+def read_split(spark: SparkSession, path: str) -> list[DataFrame]:
+    table = spark.read.parquet(path)
+    return [table.where(F.col("is_test") == i).drop("is_test") for i in (0, 1)]
+
+
 def write_split(raw: DataFrame, path: str, keys=(), share: float = 0.15, seed: int = 42) -> list[DataFrame]:
     """Feature rows written once, by part, and read back as (train, test): the fits and the evaluation
     start from a table, and lost executors re-read files. The split ranks on calendar rows, so
@@ -62,23 +70,47 @@ def write_split(raw: DataFrame, path: str, keys=(), share: float = 0.15, seed: i
     rows = training_rows(prepared_history(raw, keys=keys))
     rows = stratified_split(rows, share, seed, population=labelled_calendar(raw))
     rows.write.mode("overwrite").partitionBy("is_test").parquet(path)
-    table = raw.sparkSession.read.parquet(path)
-    return [table.where(F.col("is_test") == i).drop("is_test") for i in (0, 1)]
+    return read_split(raw.sparkSession, path)
 
 
 def train_job(
     raw: DataFrame, out: str, keys=(), settings: dict[str, dict] | None = None, models=None,
-    share: float = 0.15, seed: int = 42, sample: int | None = None, repeats: int = 5,
+    share: float = 0.15, seed: int = 42, sample: int | None = None, repeats: int = 5, resume: bool = False,
 ):
-    """Prepare, split, fit and compare, rank features, write artifacts. Returns (best name, summary, importance)."""
-    train, test = write_split(raw, f"{out}/feature_rows", keys, share, seed)
-    fitted, summary, confusion = train_and_compare(train, test, settings, models)
+    """Prepare, split, fit and compare, rank features, write artifacts. Returns (best name, summary, importance).
+
+    The feature rows, every model and the importance are noted in `out`/finished once they are written. With `resume` a job
+    that was stopped goes on from there: what is noted under the same settings is read, the rest is done.
+    """
+    spark = raw.sparkSession
+    done = Manifest(spark, f"{out}/finished", resume)
+    place = done.stage("feature_rows", {"keys": list(keys), "share": share, "seed": seed})
+    if done.finished(place):
+        train, test = read_split(spark, f"{out}/feature_rows")
+    else:
+        train, test = write_split(raw, f"{out}/feature_rows", keys, share, seed)
+        done.finish(place)
+
+    def fit_one(name, fit, train, own):
+        place, path = done.stage(f"model-{name}", own), f"{out}/models/{name}"
+        noted = done.finished(place)
+        if noted:
+            return read_model(path), noted["seconds"]
+        model, seconds = timed_fit(name, fit, train, own)
+        write_model(model, path)
+        done.finish(place, seconds)
+        return model, seconds
+
+    fitted, summary, confusion = train_and_compare(train, test, settings, models, fit_one)
     write_metrics(summary, f"{out}/model_results")
     report = class_report(confusion, "model")
     full = report.drop("code").unionByName(report_averages(report, "model"))
     write_metric_tables(f"{out}/model_comparison", summary=summary, confusion=confusion, report=full)
     best = summary.orderBy(F.desc("f1_weighted"), "model").first()["model"]  # a few rows
-    importance = permutation_importance(test, model_scorer(fitted[best]), rows=sample, repeats=repeats, seed=seed)
-    write_importance(importance, f"{out}/feature_importance")
+    place = done.stage("importance", {"best": best, "sample": sample, "repeats": repeats})
+    if not done.finished(place):
+        found = permutation_importance(test, model_scorer(fitted[best]), rows=sample, repeats=repeats, seed=seed)
+        write_importance(found, f"{out}/feature_importance")
+        done.finish(place)
     write_model(fitted[best], f"{out}/model")
-    return best, summary, importance
+    return best, summary, read_importance(spark, f"{out}/feature_importance")

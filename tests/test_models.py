@@ -187,6 +187,47 @@ def test_training_job_writes_everything(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "model_comparison" / "report")).count() == 6
 
 
+def test_killed_training_job_goes_on(spark, tmp_path):
+    """Stopped in its third fit: the rows and two models are read, the rest is done, as without the stop."""
+    from roadpulse.plans.batch import train_job
+    from roadpulse.sources.bindings import observations
+
+    raw, calls = observations(spark, "/root/testdata/sf0.001"), []
+    sizes = {"RandomForest": {"trees": 3, "depth": 3}, "RandomisedForest": {"trees": 3, "depth": 3}, "BoostedTrees": {"max_iter": 2, "depth": 2}}
+
+    def fits(stop=()):
+        def counted(name):
+            def fit(train, **own):
+                calls.append(name)
+                if name in stop:
+                    raise RuntimeError("killed")
+                return L.MODELS[name](train, **own)
+            return fit
+        return {name: counted(name) for name in sizes}
+
+    def job(out, stop=(), settings=sizes, **more):
+        best, summary, importance = train_job(raw, str(tmp_path / out), models=fits(stop), settings=settings, sample=60, repeats=1, **more)
+        return best, sorted(tuple(r) for r in summary.drop("train_time_sec").collect()), sorted(tuple(r) for r in importance.collect())
+
+    whole = job("whole")
+    calls.clear()
+    with pytest.raises(RuntimeError):
+        job("cut", stop=("BoostedTrees",))
+    assert calls == list(sizes)
+    rows = {p: p.stat().st_mtime_ns for p in (tmp_path / "cut" / "feature_rows").rglob("*.parquet")}
+    calls.clear()
+    assert job("cut", resume=True) == whole and calls == ["BoostedTrees"]
+    assert rows == {p: p.stat().st_mtime_ns for p in (tmp_path / "cut" / "feature_rows").rglob("*.parquet")}
+    calls.clear()
+    assert job("cut", resume=True) == whole and calls == []
+    # other settings of the second model: it and what follows it is done again
+    job("cut", settings={**sizes, "RandomisedForest": {"trees": 2, "depth": 2}}, resume=True)
+    assert calls == ["RandomisedForest", "BoostedTrees"]
+    calls.clear()
+    job("cut")
+    assert calls == list(sizes)
+
+
 def separable(spark, classes, n=400):
     rows = [(i, classes[i % len(classes)], float(classes[i % len(classes)] * 10 + i % 7), float(i % 5)) for i in range(n)]
     return spark.createDataFrame(rows, "obs_id long, congestion_code int, x double, y double")
