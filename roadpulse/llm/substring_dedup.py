@@ -1,7 +1,7 @@
 """Repeated word windows, found with a compressed FM-index per shard.
 
-Each shard holds the regions of some anchors (see `repeats`). Its index is the Burrows-Wheeler transform of the
-regions, sorted by 32 words of context, in a wavelet matrix whose bit vectors are packed words with block
+Each shard holds the halves of regions of some keys (see `repeats`). Its index is the Burrows-Wheeler transform of these
+pieces, sorted by 32 words of context, in a wavelet matrix whose bit vectors are packed words with block
 counts. The shard's documents then pass it from right to left by backward search: with the 20 words that start at
 a place goes an interval of the index, whose width is the number of their occurrences and whose smallest
 text position is the first. From one place to the next the last word is dropped (the interval grows to that of
@@ -9,7 +9,8 @@ text position is the first. From one place to the next the last word is dropped
 cut at the window's length, cost one step a word. All documents of a shard take their steps together.
 
 Null and empty texts have no words. Repeated rows (equal doc_id) share their spans, and none of them counts as
-earlier than the other. Extra columns are ignored.
+earlier than the other. Rows without doc_id are no place that a window could repeat and keep all their words. Long texts are
+taken whole, in pieces of a few million tokens; an empty table gives an empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations

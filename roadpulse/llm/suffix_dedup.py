@@ -1,7 +1,7 @@
 """Repeated byte strings, found with suffix arrays built by linear grouping.
 
-Each shard holds the regions of some anchors (see `repeats`). Equal strings have their anchor at the same
-offset, so regions are read in blocks of BLOCK bytes aligned to the anchor, and a block is one symbol. Over the
+Each shard holds the halves of regions of some keys (see `repeats`). Equal strings have their anchor at the same
+offset, so these pieces are read in blocks of BLOCK bytes aligned to the anchor, and a block is one symbol. Over the
 shard's sequence of blocks a suffix array is built in two phases:
 
 * grouping: suffixes start in groups by first symbol. Groups are taken in descending order; every suffix finds
@@ -14,8 +14,9 @@ shard's sequence of blocks a suffix array is built in two phases:
 Neighbours in the suffix array that agree in 24 blocks, which every string of 400 bytes contains, form a class;
 strings of a class that also agree in the bytes before and after those blocks are equal.
 
-Null texts are empty. Repeated rows (equal doc_id) are places of their own: their strings repeat. Extra columns
-are ignored.
+Null texts are empty. Repeated rows (equal doc_id) are places of their own: their strings repeat. Rows without
+doc_id are no place that a string could repeat and keep all their bytes. Long texts are taken whole; an empty table gives an
+empty one. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -100,6 +100,29 @@ def test_suffix_dedup(docs):
     assert got == want
 
 
+@pytest.mark.parametrize("length, gram", [(20, 4), (400, 16), (21, 4), (5, 5), (6, 5)])
+def test_halves_hold_each_window_once_and_what_it_shares(length, gram):
+    rng = np.random.default_rng(length)
+    for n in (length, length + 1, 3 * length, 1500):
+        hashes = rng.integers(0, 40, n - gram + 1).astype(np.uint64) << np.uint64(24)
+        seen = []
+        for first, last, at in repeats.regions(hashes, length, gram):
+            for s0, s1, a, b in repeats.halves(first, last, at, length, gram):
+                seen.extend(range(s0, s1 + 1))
+                assert all(w <= a and b <= w + length for w in range(s0, s1 + 1)) and b - a > (length - gram) // 2
+        assert sorted(seen) == list(range(n - length + 1))
+
+
+def test_frequent_gram_in_different_surroundings(spark):
+    """One line in every document, shorter than a window, beside copies: only the copies repeat."""
+    rng = random.Random(6)
+    rows = [(i, " ".join([*words(rng, 40, 10**6), *["same"] * 11, *words(rng, 40, 10**6)]), "en", "a") for i in range(80)]
+    rows += [(100 + i, t, "en", "a") for i, (_, t, *_) in enumerate(rows[:20])]
+    df = table(spark, rows)
+    assert sorted(map(tuple, substring_dedup.deduplicate(df).collect()), key=repr) == brute_words(rows)
+    assert sorted(map(tuple, suffix_dedup.deduplicate(df).collect()), key=repr) == brute_bytes(rows)
+
+
 def test_hot_passage_is_split(spark, monkeypatch):
     """A passage in every document, with other words around it, in parts of a few regions."""
     monkeypatch.setattr(repeats, "PART_ROWS", 4)
