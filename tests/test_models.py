@@ -354,3 +354,44 @@ def test_ensembles_of_few_rows(spark):
             assert got == ({want} if want is not None else {0, 3})
     for model in (L.boosted_trees(none, features=("a",), max_iter=4), L.randomised_forest(none, features=("a",), trees=3)):
         assert L.model_scorer(model)(one).select(F.size("probabilities").alias("n")).distinct().collect()[0].n == 4
+
+
+def test_best_first_growth_opens_no_more_than_it_keeps():
+    """Against a growth of all nodes that is cut back afterwards; the whole growth has far more nodes."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, (3000, 4)).astype(np.uint8)
+    values = np.stack([rng.integers(-H.UNIT, H.UNIT, 3000), rng.integers(1, H.UNIT // 4, 3000)], axis=1).astype(np.int32)
+    rule = H.Boosting(0.1, 5, 8)
+    limited, whole = (list(rule.grown(x, values, 0, 1, 9, leaves)) for leaves in (31, None))
+    assert len(limited) == 61 < len(whole)
+    nodes = lambda found: {n[0]: n[1:] for n in found}
+    assert _same(H.TreeEnsemble([], [H.assembled(nodes(limited), leaves=31)]), H.TreeEnsemble([], [H.assembled(nodes(whole), leaves=31)]))
+    sums = rule.histograms(x, values, np.arange(3000) % 3, 3, 9)
+    for s in range(3):
+        for b in range(9):
+            use = (np.arange(3000) % 3 == s) & (x[:, 2] == b)
+            assert sums[s, 2, b].tolist() == [*values[use].sum(axis=0, dtype=np.int64).tolist(), int(use.sum())]
+
+
+def test_random_nodes_of_a_level_are_those_one_by_one():
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 7, (900, 5)).astype(np.uint8), rng.integers(0, 4, (900, 1)).astype(np.uint8)
+    x[:, 3] = 2  # varies nowhere
+    rule = H.Randomised((1.0, 2.0, 0.5, 1.5), tuple(tuple(np.arange(0.5, 6.5)) for _ in range(5)), 3, 6, 2, 42)
+    found = {}
+    for numbers, *arrays in rule.grown(x, y, 1, 1, 7, None):
+        found |= {k: rest for k, *rest in zip(numbers.tolist(), *arrays)}
+
+    def walk(k, rows):
+        hist = rule.histograms(x[rows], y[rows], np.zeros(len(rows), np.int64), 1, 7)[0]
+        total = hist[0].sum(axis=0)
+        split = rule.split(hist, total, 1, k) if k.bit_length() <= 6 and len(rows) >= 6 else None
+        f, cut, gain, value = found.pop(k)
+        assert value.tolist() == rule.value(total) and ((f, cut, gain) == split if split else f == -1)
+        if split:
+            right = x[rows, f] > cut
+            walk(2 * k, rows[~right])
+            walk(2 * k + 1, rows[right])
+
+    walk(1, np.arange(900))
+    assert not found
