@@ -156,6 +156,46 @@ def test_importance_shuffles_the_test_rows_once(spark):
     assert "Join" not in plan and plan.count("collect_list") == 1
 
 
+def test_shuffled_importance_by_hand(spark):
+    """Values move over the whole table, not within blocks: counted row by row, ranked in one part and in several, with a null, and an empty table."""
+    features, n = ("a", "b"), 1100
+    rows = [(i, i % 3, float(i % 3), None if i == 5 else float(i % 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "obs_id long, congestion_code int, a double, b double")
+
+    def scorer(d):
+        return d.withColumn("pred_code", F.pmod(F.col("a") + F.floor(F.coalesce("b", F.lit(0.0)) / 4), F.lit(3)).cast("int"))
+
+    def order(text):
+        return sorted(rows, key=lambda r: hashlib.md5(f"42-{text}{r[0]}".encode()).hexdigest())
+
+    def f1(pairs):
+        total = 0.0
+        for c in range(3):
+            hit, a, p = (sum(map(f, pairs)) for f in (lambda x: x == (c, c), lambda x: x[0] == c, lambda x: x[1] == c))
+            total += 2 * hit / (a + p) * a if a + p else 0.0
+        return total / len(pairs)
+
+    guess = lambda x: int((x[0] + (x[1] or 0) // 4) % 3)
+    want, receivers = {}, order("receiver-")
+    for j, f in enumerate(features):
+        for repeat in range(2):
+            pairs = []
+            for r, donor in zip(receivers, order(f"{f}-{repeat}-")):
+                x = list(r[2:])
+                x[j] = donor[2 + j]
+                pairs.append((r[1], guess(x)))
+            want.setdefault(f, []).append(f1([(r[1], guess(r[2:])) for r in rows]) - f1(pairs))
+    want = {f: round(sum(d) / 2, 9) for f, d in want.items()}
+    ranked = E.RANKED
+    try:
+        for E.RANKED in (2, ranked):
+            got = E.shuffled_importance(df, scorer, features=features, repeats=2).collect()
+            assert {r.feature: round(r.importance, 9) for r in got} == want
+    finally:
+        E.RANKED = ranked
+    assert E.shuffled_importance(df.limit(0), scorer, features=features).count() == 0
+
+
 def test_artifacts_round_trip(spark, matrices, tmp_path):
     assert R.read_importance(spark, str(tmp_path / "none")) is None
     summary = E.summary_metrics(matrices, "model").withColumn("train_time_sec", F.lit(1.5))
