@@ -32,10 +32,11 @@ def _slots(conditions: DataFrame, hourly_lags: DataFrame) -> DataFrame:
     })
 
 
-def _predictions(conditions: DataFrame, hourly_lags: DataFrame, scorer: Scorer) -> DataFrame:
-    """The 26 outcomes beside each condition (`scenario_id` is unique). All slots are scored in one
+def _predictions(conditions: DataFrame, hourly_lags: DataFrame, scorer: Scorer, state: DataFrame) -> DataFrame:
+    """The 26 outcomes and the corridor's `state` beside each condition (`scenario_id` is unique). All slots are scored in one
     pass; the aggregation has numeric keys and buffers only, so it hashes and combines before the
-    shuffle, and the wide condition columns meet it once per scenario instead of 26 times."""
+    shuffle, and the wide condition columns meet it once per scenario instead of 26 times. Outcomes stay numbers until
+    the corridor is joined: texts and nested rows, many times as wide, are made after the last shuffle."""
     scored = score_conditions(_slots(conditions, hourly_lags), scorer)
     slot = F.col("_slot")
     sure = getattr(scorer, "has_probabilities", True)
@@ -47,7 +48,9 @@ def _predictions(conditions: DataFrame, hourly_lags: DataFrame, scorer: Scorer)
     picks += [
         F.max(F.when(slot == i, F.col("probabilities")[c])).alias(f"share_{c}_{i}") for i in (NOW, NEXT) for c in classes
     ]
-    wide = conditions.join(scored.groupBy("scenario_id").agg(*picks), "scenario_id")
+    wide = conditions.join(scored.groupBy("scenario_id").agg(*picks), "scenario_id").withColumn("base_code", F.col(f"pred_code_{NOW}"))
+    found = [c for c in state.columns if c not in ("corridor_id", "base_code")]
+    wide = with_corridor(wide, state, "left")
 
     def outcome(hour, code, confidence, *more: Column) -> Column:
         return F.struct(
@@ -66,7 +69,7 @@ def _predictions(conditions: DataFrame, hourly_lags: DataFrame, scorer: Scorer)
     each = F.array(*[F.struct(F.col(f"pred_code_{i}").alias("c"), conf(i).alias("p")) for i in range(24)])
     hour = F.col("hour")
     return wide.select(
-        *conditions.columns, F.col(f"pred_code_{NOW}").alias("base_code"),
+        *conditions.columns, "base_code", *found,
         one(NOW, hour).alias("_now"),
         one(NEXT, F.pmod(hour + 1, F.lit(24))).alias("next_hour"),
         F.transform(each, lambda x, i: outcome(i, x["c"], x["p"])).alias("risk_forecast"),
@@ -83,8 +86,14 @@ def live_report(
     timed = conditions.withColumns({
         "hour": F.hour(t), "day_of_week": F.weekday(t), "month": F.month(t), "as_of": F.to_date(t),
     })
+    seg = F.struct("ordinal", "name", "factor", "segment_label", "segment_code", "color_hex", "is_bottleneck")
+    state = coded_segments(segments).groupBy("corridor_id", "base_code").agg(
+        F.array_sort(F.collect_list(seg)).alias("corridor"),
+        F.array_sort(F.collect_list(F.when(at_or_above(level), seg))).alias("_hits"),
+        F.struct(*[c.alias(n) for n, c in summary_columns().items()]).alias("_summary"),
+    )
     told = (
-        _predictions(timed, hourly_lags, scorer)
+        _predictions(timed, hourly_lags, scorer, state)
         .transform(condition_features)
         .withColumn("_factors", contributing_factors())
         .withColumn("current", F.struct(
@@ -92,18 +101,12 @@ def live_report(
             narrative(F.col("_now.label"), F.col("_factors")).alias("narrative"),
         ))
     )
-    seg = F.struct("ordinal", "name", "factor", "segment_label", "segment_code", "color_hex", "is_bottleneck")
-    state = coded_segments(segments).groupBy("corridor_id", "base_code").agg(
-        F.array_sort(F.collect_list(seg)).alias("corridor"),
-        F.array_sort(F.collect_list(F.when(at_or_above(level), seg))).alias("_hits"),
-        F.struct(*[c.alias(n) for n, c in summary_columns().items()]).alias("_summary"),
-    )
     counts = ("severe_count", "high_count", "total_segments")
     summary = F.struct(
         *[F.coalesce(F.col(f"_summary.{c}"), F.lit(0)).alias(c) for c in counts], "_summary.worst_segment", "_summary.safest_segment"
     )
     hits = F.coalesce("_hits", F.array())  # no segment, no alert
-    return with_corridor(told, state, "left").select(
+    return told.select(
         "scenario_id",
         *[c.alias(n) for n, c in C.time_texts(t).items()],
         "current", "next_hour",

@@ -60,3 +60,14 @@ def test_summary_equals_corridor_summary(spark, conditions, lags):
 def test_rules_have_no_probabilities(spark, conditions, lags):
     r = live_report(conditions, lags, corridor.default_segments(spark), rule_scorer()).first()
     assert r.current.probabilities == r.next_hour.probabilities == {} and r.current.confidence is None
+
+
+def test_texts_are_made_after_the_last_join(spark, sf_dir, monkeypatch):
+    """What meets the corridor is numbers: no nested outcome and no narrative is shuffled."""
+    from roadpulse.catalog.scenes import _live
+    from roadpulse.plans import live
+
+    met, joined = [], live.with_corridor
+    monkeypatch.setattr(live, "with_corridor", lambda base, *more: met.append(base.columns) or joined(base, *more))
+    _live(spark, sf_dir)
+    assert len(met) == 1 and not {"current", "_now", "next_hour", "risk_forecast", "_factors"} & set(met[0])
