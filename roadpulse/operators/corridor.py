@@ -88,10 +88,12 @@ def with_corridor(base: DataFrame, per_code: DataFrame, how: str = "inner", salt
     return salted.join(copies, ["corridor_id", "base_code", "_salt"], how).drop("_salt")
 
 
-def corridor_state(base: DataFrame, segments: DataFrame, salts: int = SALTS) -> DataFrame:
-    """One row per condition and segment of its corridor. The segments of a corridor under a code are one array, so the
+def corridor_state(base: DataFrame, segments: DataFrame, salts: int = SALTS, level: str | None = None) -> DataFrame:
+    """One row per condition and segment of its corridor, at or above `level` where one is given. The segments of a corridor under a code are one array, so the
     join moves a condition once, whatever the number of segments, and the rows fan out after it."""
     coded = coded_segments(segments)
+    if level is not None:
+        coded = coded.where(at_or_above(level))
     own = [c for c in coded.columns if c not in ("corridor_id", "base_code")]
     per_code = coded.groupBy("corridor_id", "base_code").agg(F.collect_list(F.struct(*own)).alias("_segments"))
     return with_corridor(base, per_code, salts=salts).select(*base.columns, F.inline("_segments"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadpulse.operators.corridor import base_predictions, bottlenecks, corridor_state
+from roadpulse.operators.corridor import SALTS, base_predictions, corridor_state
 from roadpulse.operators.scoring import Scorer
 from roadpulse.schema import CONDITIONS
 
@@ -17,19 +17,20 @@ def read_condition_stream(spark: SparkSession, path: str, files_per_batch: int |
     return r.parquet(path)
 
 
-def corridor_alerts(conditions: DataFrame, segments: DataFrame, scorer: Scorer, level: str = "High") -> DataFrame:
+def corridor_alerts(conditions: DataFrame, segments: DataFrame, scorer: Scorer, level: str = "High", salts: int = SALTS) -> DataFrame:
     """Conditions to alerted segments. Stateless: the last volume arrives in the row, so the same
-    plan serves a batch and a stream joined with the static segment table."""
-    return bottlenecks(corridor_state(base_predictions(conditions, scorer), segments), level)
+    plan serves a batch and a stream joined with the static segment table. Only alerted segments enter the join. Where batches
+    are bounded in rows, one salt will do: the segments are then not copied for each."""
+    return corridor_state(base_predictions(conditions, scorer), segments, salts, level)
 
 
 def run_alert_stream(
     conditions: DataFrame, segments: DataFrame, scorer: Scorer, out: str, checkpoint: str,
-    level: str = "High", available_now: bool = True,
+    level: str = "High", available_now: bool = True, salts: int = SALTS,
 ):
     """Append alerts to a Parquet folder; the file sink and the checkpoint give exactly-once output."""
     writer = (
-        corridor_alerts(conditions, segments, scorer, level)
+        corridor_alerts(conditions, segments, scorer, level, salts)
         .writeStream.format("parquet").outputMode("append")
         .option("path", out).option("checkpointLocation", checkpoint)
     )
