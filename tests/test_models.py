@@ -435,3 +435,31 @@ def test_random_nodes_of_a_level_are_those_one_by_one():
 
     walk(1, np.arange(900))
     assert not found
+
+
+def test_features_counted_together_have_their_own_sums():
+    """Features of few bins share a pass over the rows; nodes, cuts and sums are those of features counted one by one."""
+    rng = np.random.default_rng(7)
+    sizes = (127, 2, 24, 2, 100, 3, 1, 7)
+    x = np.stack([rng.integers(0, n, 50_000) for n in sizes], axis=1).astype(np.uint8)
+    values = np.stack([rng.integers(-H.UNIT, H.UNIT, 50_000), rng.integers(1, H.UNIT // 4, 50_000)], axis=1).astype(np.int32)
+    one, together = H.Boosting(0.1, 20, 8), H.Boosting(0.1, 20, 8, sizes=sizes)
+    assert len(together.joined(8, 128)) < len(one.joined(8, 128)) == 8
+    slot = np.arange(50_000) % 3
+    assert np.array_equal(one.histograms(x, values, slot, 3, 128), together.histograms(x, values, slot, 3, 128))
+    assert list(one.grown(x, values, 0, 1, 128, 31)) == list(together.grown(x, values, 0, 1, 128, 31))
+
+
+def test_trees_that_begin_alike_share_their_rows(spark, decided, monkeypatch):
+    """The rows go to a task once for all of its trees, not once for each tree."""
+    whole = []
+    monkeypatch.setattr(H, "_dealt", lambda *a: whole.append(a))  # only nodes below the roots are dealt one by one
+    model = L.randomised_forest(decided[0], features=USE, trees=20, depth=5)
+    assert not whole and len(model.trees) == 20
+
+
+def test_nodes_are_dealt_by_their_rows():
+    sizes = {(0, 1): 100, (1, 1): 60, (2, 1): 50, (3, 1): 40, (4, 1): 40}
+    places = H._dealt(sizes, 3)
+    filled = [sum(n for k, n in sizes.items() if places[k] == i) for i in range(3)]
+    assert set(places) == set(sizes) and sum(filled) == 290 and max(filled) <= 100
