@@ -450,6 +450,30 @@ def test_features_counted_together_have_their_own_sums():
     assert list(one.grown(x, values, 0, 1, 128, 31)) == list(together.grown(x, values, 0, 1, 128, 31))
 
 
+def _random_tree(rng, leaves, width, outputs):
+    feature, cut, left, ends = [-1], [0.0], [0], [0]
+    while len(ends) < leaves:
+        at = ends.pop(int(rng.integers(len(ends))))
+        feature[at], cut[at], left[at] = int(rng.integers(width)), float(rng.integers(-20, 20)) / 10, len(feature)
+        ends += [len(feature), len(feature) + 1]
+        feature, cut, left = feature + [-1, -1], cut + [0.0, 0.0], left + [0, 0]
+    return H.Tree(np.array(feature, np.int32), np.array(cut), np.array(left, np.int32), rng.random((len(feature), outputs)))
+
+
+@pytest.mark.parametrize("leaves", [1, 2, 31, 40, 64, 65, 900])
+def test_scores_are_the_leaves_values(leaves):
+    """Lookups and steps find the leaf that a walk down the tree finds, with values on a cut, beyond all cuts and missing."""
+    rng = np.random.default_rng(leaves)
+    x = np.round(rng.normal(size=(2000, 6)), 1)
+    x[rng.random(x.shape) < 0.05] = np.nan
+    x[0], x[1] = np.inf, -np.inf
+    trees = [_random_tree(rng, leaves, 6, 4) for _ in range(3)]
+    places = H.TreeEnsemble(list("abcdef"), trees).on_places()
+    assert all((len(t) == 2) == (leaves <= 64) for t in places.trees)
+    want = sum(t.value[t.leaves(x)] for t in trees)
+    assert np.array_equal(places.probabilities(list(x.T)), want / want.sum(axis=1, keepdims=True))
+
+
 def test_trees_that_begin_alike_share_their_rows(spark, decided, monkeypatch):
     """The rows go to a task once for all of its trees, not once for each tree."""
     whole = []
