@@ -487,3 +487,28 @@ def test_nodes_are_dealt_by_their_rows():
     places = H._dealt(sizes, 3)
     filled = [sum(n for k, n in sizes.items() if places[k] == i) for i in range(3)]
     assert set(places) == set(sizes) and sum(filled) == 290 and max(filled) <= 100
+
+
+def test_boosted_rows_travel_and_add_up_by_combinations_of_bins():
+    rng = np.random.default_rng(5)
+    sizes, n = (100, 40, 7, 2, 2, 12), 9_000
+    x = np.stack([rng.integers(0, b, n) for b in sizes], axis=1).astype(np.uint8)
+    values = np.stack([rng.integers(-H.UNIT, H.UNIT, n) + (x[:, 0] > 40) * np.int64(9_000_000) - x[:, 2] * x[:, 3] * np.int64(4_000_000), rng.integers(1, H.UNIT // 4, n)], axis=1).astype(np.int32)
+    trees = []
+    for depth, leaves in ((8, 31), (3, None), (7, None), (5, 9), (0, 31)):
+        rule = H.Boosting(0.1, 20, depth, sizes=sizes)
+        sent = rule.sent(x, 128)
+        assert sent.shape[1] * sent.itemsize < 2 * len(sizes)  # features of few bins share a place
+        rows = rule.received([sent[:5_000].tobytes(), sent[5_000:].tobytes()], len(sizes), 128)
+        tree = H.assembled({k: rest for k, *rest in rule.grown_of_sent(rows, values, 0, 1, 128, leaves, len(sizes))}, (), leaves)
+        at, sums = tree.leaves(x), np.zeros((len(tree.feature), 2), np.int64)
+        np.add.at(sums, at, values)
+        for leaf in np.unique(at):  # each leaf has the value of the rows that walk to it
+            assert tree.value[leaf].tolist() == rule.value(sums[leaf])
+        trees.append(tree)
+    assert max((t.feature < 0).sum() for t in trees) > 32  # one that isn't looked up
+    begin = rng.normal(size=(n, len(trees)))
+    ready = H.lookups_of_round(trees, rule, len(sizes), 128)
+    one, two = (m.copy() for m in H._added(begin, x, rule.coded(x, 128), [ready, ready], 0.08))
+    walked = np.stack([0.08 * t.value[t.leaves(x)][:, 0] for t in trees], axis=1)
+    assert (one == begin + walked).all() and (two == begin + walked + walked).all()
