@@ -13,12 +13,19 @@ their 64-bit hash, and the order is cut into fragments (vertical partitions), wh
 * Segments that only one text has are left out behind a filter sized by the number of repeated ones (it lets a few
   others pass). Texts with equal sets are one from here on.
 * Counting. For each pair of sets, the overlaps of the segments of SLICES equal fragments are counted separately and
-  summed per pair; the test is on integers. No task holds more of a set than one segment.
-* What needs counting: all sets that meet at a segment are paired with one of them, and the links that this gives
-  are contracted to components. At segments where more than one component is left, the members of different
-  components are paired; a pair whose parity sketches already differ in more bits than it may differ in n-grams is
-  left out. So copies, and groups that a centre links, make as many pairs as they have members, and no link
-  between components is lost. Near copies that do not link are paired with each other, at each segment they meet at.
+  summed per pair; the test is on integers.
+* Centres. All sets that meet at a segment are paired with one of them, unless their parity sketches already differ in
+  more bits than the sets may differ in n-grams, and the links that this gives are contracted to components. So copies,
+  and groups that a centre links, make as many pairs as they have members.
+* Groups. Sets that meet, directly or by way of others, at segments where more than one component is left form a group.
+  Near copies that do not link are many there, so they are not paired with each other. A group's middle holds the n-grams
+  of more than half of its sets (of two sets, those of one), and each set is known by its difference: the n-grams in which it and the middle differ.
+  Two sets differ in |A| + |B| - 2 |A and B| n-grams, for differences A and B, and with a set's slack
+  (100 - percent) n - (100 + percent) |A| they link when 2 (100 + percent) |A and B| >= -(slack + slack).
+  Pairs whose slacks sum to 0 or more need no common n-gram; all sets in such pairs link to the one with the largest
+  slack. Any other pair must share so many n-grams of A and B that it meets at one of the first of both, when each
+  difference is read from its rarest n-gram on. Edits of their own put near copies far from each other there, and only
+  pairs that meet are counted. Pairs still grow with the square of sets that share the same rare differences and do not link.
 
 Sets and n-grams stand for themselves by hashes of 128 and 64 bits. Null, empty and blank texts have an empty set
 and are linked with nothing. Repeated rows and rows without doc_id are documents; a component without any doc_id
@@ -41,7 +48,6 @@ PERCENT = 85
 SLICES = 8
 CUTS = 40
 SKETCH_BITS = 1024
-FOLDED = 4
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
@@ -222,43 +228,31 @@ def central_pairs(held: DataFrame, percent: int) -> DataFrame:
     return _possible(held, pairs, percent)
 
 
-def _folded(k: int) -> Column:
-    """One of the FOLDED longs that a sketch is folded to: parities in fewer places."""
-    own = F.filter("sketch", lambda x, i: i % FOLDED == k)
-    return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+def _head(batch: pa.RecordBatch) -> dict:
+    """The first eight bytes of each hash as a long."""
+    return {"g": np.frombuffer(b"".join(s[:8] for s in batch.column("sid").to_pylist()), np.int64)}
 
 
-def open_pairs(held: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """The pairs, as from `central_pairs`, that meet at a key and are in different components."""
-    folded = [_folded(k).alias(f"s{k}") for k in range(FOLDED)]
-    rooted = stored(held.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), *folded), "rooted")
-    met = _met(held).join(rooted.select("node", "root"), "node")
-    several = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or("home").alias("own"))
-    met = stored(met.drop("root").join(several.where("own AND low <> high").select("key"), "key", "left_semi"), "open").join(rooted, "node")
-    other = met.select("key", F.col("node").alias("two"), F.col("n").alias("m"), F.col("home").alias("home_m"), F.col("root").alias("root_m"),
-                       *[F.col(f"s{k}").alias(f"t{k}") for k in range(FOLDED)])
-    once = F.col("home") & (~F.col("home_m") | (F.col("node") < F.col("two"))) & (F.col("root") != F.col("root_m"))
-    differ = sum(F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(FOLDED))
-    pairs = met.join(other, "key").where(once & _may_link(differ, percent)).select(F.col("node").alias("one"), "two").distinct()
-    return _possible(held, pairs, percent)
+def _asked(sids: DataFrame, rows: int):
+    """A broadcast filter that lets the given set hashes pass, and a few others."""
+    return sids.sparkSession.sparkContext.broadcast(key_bits(arrow_map(sids, _head, "g long"), filter_bits(rows)))
 
 
-def _head(batch: pa.RecordBatch) -> dict:
-    """The first eight bytes of each hash as a long."""
-    return {"g": np.frombuffer(b"".join(s[:8] for s in batch.column("sid").to_pylist()), np.int64)}
+def _passing(needed, sids: list[bytes]) -> list[int]:
+    """Which of `sids` pass the filter."""
+    return np.flatnonzero(passes(needed.value, np.frombuffer(b"".join(s[:8] for s in sids), np.uint64))).tolist()
 
 
 def linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): the nodes of the pairs that link. Overlaps are counted per fragment of the order and summed per pair."""
     pairs = stored(pairs, "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    needed = docs.sparkSession.sparkContext.broadcast(key_bits(arrow_map(asked, _head, "g long"), filter_bits(2 * pairs.count())))
+    needed = _asked(asked, 2 * pairs.count())
 
     def cut(batch: pa.RecordBatch) -> dict:
         sets, sids = _sets_of(batch, words)
-        heads = np.frombuffer(b"".join(s[:8] for s in sids), np.uint64)
         out = ([], [], [])
-        for k in np.flatnonzero(passes(needed.value, heads)).tolist():
+        for k in _passing(needed, sids):
             fragment = (sets[k] >> np.uint64(32)) * np.uint64(SLICES) >> np.uint64(32)
             ends = np.searchsorted(fragment, np.arange(SLICES + 1))
             for f, (start, end) in enumerate(zip(ends, ends[1:])):
@@ -278,13 +272,97 @@ def linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
     return stored(enough.select(F.col("one").alias("a"), F.col("two").alias("b")), "links")
 
 
+def groups(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, grp, sid, n, root): the sets at keys where more than one component is left; sets that meet there are in one group."""
+    rooted = stored(held.join(roots, "node", "left").select("node", "sid", "n", F.coalesce("root", "node").alias("root")), "rooted")
+    met = _met(held).join(rooted.select("node", "root"), "node")
+    keys = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or("home").alias("own"), F.min("node").alias("a"))
+    spokes = met.join(keys.where("own AND low <> high").select("key", "a"), "key").select("a", F.col("node").alias("b"))
+    return stored(rooted.join(connected_components(spokes).withColumnRenamed("root", "grp"), "node"), "groups")
+
+
+def differences(docs: DataFrame, grouped: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, root, grp, delta, slack): in which n-grams each set and the middle of its group differ; and (grp, g, sets):
+    the n-grams that are in the differences of several sets of a group."""
+    needed = _asked(grouped.select("sid"), grouped.count())
+
+    def pick(batch: pa.RecordBatch) -> dict:
+        sets, sids = _sets_of(batch, words)
+        held = _passing(needed, sids)
+        return {"sid": pa.array([sids[k] for k in held], pa.binary()), "grams": pa.array([sets[k].view(np.int64) for k in held], pa.list_(pa.int64()))}
+
+    picked = arrow_map(docs.select("text"), pick, "sid binary, grams array<long>")
+    sets = stored(picked.dropDuplicates(["sid"]).join(grouped, "sid").drop("sid"), "sets")
+    sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("first"))
+    sized = sets.join(sizes, "grp")
+    several = sized.where("members > 2").select("grp", F.explode("grams").alias("g")).groupBy("grp", "g").agg(F.count(F.lit(1)).alias("times"))
+    times = several.where("times > 1").join(sizes, "grp").select("grp", "g", "times", "members", F.expr("2 * times > members").alias("most"))
+    times = stored(times, "times")
+    two = sized.where("members = 2 AND node = first").select("grp", F.col("grams").alias("middle"))  # one of two is the middle
+    middles = times.where("most").groupBy("grp").agg(F.collect_list("g").alias("middle")).unionByName(two)
+    middle = F.coalesce("middle", F.array().cast("array<long>"))
+    delta = F.concat(F.array_except("grams", middle), F.array_except(middle, "grams"))
+    found = sets.join(middles, "grp", "left").select("node", "root", "grp", "n", delta.alias("delta"))
+    slack = (100 - percent) * F.col("n") - (100 + percent) * F.size("delta")
+    rare = times.select("grp", "g", F.expr("CASE WHEN most THEN members - times ELSE times END").alias("sets"))
+    return stored(found.select("node", "root", "grp", "delta", slack.alias("slack")), "differences"), rare.where("sets > 1")
+
+
+def rate(deltas: DataFrame) -> DataFrame:
+    """(node, root, grp, slack, hub, top, near): with the set of the largest slack of each group (`hub`, `top`), to which `near` sets are sure to link."""
+    best = deltas.groupBy("grp").agg(F.max(F.struct("slack", "node")).alias("best"))
+    rated = deltas.drop("delta").join(best.select("grp", F.col("best.slack").alias("top"), F.col("best.node").alias("hub")), "grp")
+    return stored(rated.withColumn("near", F.expr("slack + top >= 0")), "rated")
+
+
+def meetings(deltas: DataFrame, rare: DataFrame, rated: DataFrame, percent: int) -> DataFrame:
+    """(one, two): sets of different components, not both near, that meet early enough in their differences to link; once for each n-gram.
+
+    A pair is sought by the set of the smaller slack. `reach` is what the n-grams from one place on can add to the sum of the slacks.
+    """
+    next_ = rated.where("NOT near").groupBy("grp").agg(F.max("slack").alias("next"))
+    needed = deltas.sparkSession.sparkContext.broadcast(key_bits(rare.select("g"), filter_bits(rare.count())))
+
+    def keep(batch: pa.RecordBatch) -> dict:
+        lists = batch.column("delta")
+        ends = np.asarray(lists.offsets)
+        grams = np.asarray(lists.values)[ends[0]: ends[-1]].view(np.uint64)
+        rows = np.repeat(np.arange(len(lists)), np.diff(ends))
+        held = passes(needed.value, grams)
+        return {"grp": batch.column("grp"), "node": batch.column("node"), "delta": _lists(rows[held], grams[held], len(lists))}
+
+    kept = arrow_map(deltas.select("grp", "node", "delta"), keep, "grp long, node long, delta array<long>")
+    shared = kept.select("grp", "node", F.explode("delta").alias("g")).join(rare, ["grp", "g"])
+    listed = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("sets", "g"))).alias("list")).join(rated, "node").join(next_, "grp")
+    own = ["grp", "node", "root", "slack", "near", "top", "next"]
+    places = listed.select(*own, F.size("list").alias("size"), F.posexplode("list"))
+    reach = 2 * (100 + percent) * (F.col("size") - F.col("pos"))
+    places = stored(places.select(*own, F.col("col.g").alias("g"), reach.alias("reach")), "places")
+    seeking = places.where("NOT near AND reach + slack + top >= 0").select("grp", "g", F.col("node").alias("one"), "root", "slack", "reach")
+    sought = places.where("reach + slack + if(near, next, slack) >= 0").select(
+        "grp", "g", F.col("node").alias("two"), F.col("root").alias("root_m"), F.col("slack").alias("slack_m"), F.col("reach").alias("reach_m"))
+    once = "root <> root_m AND (slack < slack_m OR (slack = slack_m AND one < two)) AND least(reach, reach_m) + slack + slack_m >= 0"
+    return seeking.join(sought, ["grp", "g"]).where(once).select("one", "two")
+
+
+def group_links(deltas: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect, within each group, all sets of different components that links connect."""
+    rated = rate(deltas)
+    sure = rated.where("near AND node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    pairs = stored(meetings(deltas, rare, rated, percent).distinct(), "met")
+    of = lambda node, d, s: deltas.select(F.col("node").alias(node), F.col("delta").alias(d), F.col("slack").alias(s))
+    both = pairs.join(of("a", "d", "s"), pairs["one"] == F.col("a")).join(of("b", "e", "t"), pairs["two"] == F.col("b"))
+    counted = both.where(2 * (100 + percent) * F.size(F.array_intersect("d", "e")) + F.col("s") + F.col("t") >= 0)
+    return stored(sure.unionByName(counted.select("a", "b")), "group_links")
+
+
 def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, its own included)."""
     marked = stored(signed(docs, words, Classes(percent)), "signed")
     held = stored(repeated_only(marked).withColumn("node", F.monotonically_increasing_id()), "held")  # numbered once, as written
     near = linked(docs, central_pairs(held, percent), words, percent)
     roots = connected_components(near)
-    more = linked(docs, open_pairs(held, roots, percent), words, percent)
+    more = group_links(*differences(docs, groups(held, roots), words, percent), percent)
     if not more.isEmpty():
         roots = connected_components(near.unionByName(more))
     rooted = held.select("sid", "node").join(roots, "node").select("sid", "root")

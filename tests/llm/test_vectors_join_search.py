@@ -7,8 +7,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from roadpulse.llm import lexical_search, ngram_join, whitening
+from roadpulse.llm.frames import stored
 from tests.llm.test_operators import awkward, table, words
 
 
@@ -145,6 +147,46 @@ def test_join_equals_brute_force(spark):
     assert sorted([tuple(r) for r in found], key=repr) == brute_join(rows)
 
 
+def near_copies(rng, copies, most=9):
+    """Copies of one text with up to `most` words changed, of which few link; some changes are shared, some words are cut off."""
+    base = words(rng, 150, 5000)
+    common = [(rng.randrange(150), f"y{i}") for i in range(6)]
+    out = []
+    for k in range(copies):
+        own = list(base)
+        for _ in range(rng.randrange(most + 1)):
+            place, word = rng.choice(common) if rng.random() < 0.3 else (rng.randrange(150), f"x{rng.randrange(10**9)}")
+            own[place] = word
+        out.append((5000 + k, " ".join(own[rng.choice([0, 0, 0, 1, 5]):]), "en", "n"))
+    return out
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(85)
+    rows = [*near_copies(rng, 120), *near_copies(rng, 40, 4), *families(rng)]
+    found = ngram_join.join_components(table(spark, rows)).collect()
+    assert sorted([tuple(r) for r in found], key=repr) == brute_join(rows)
+
+
+def test_near_copies_that_do_not_link_are_not_paired(spark):
+    """The sets at a segment make pairs with the square of the group; the pairs that are looked at grow with the group."""
+    rng = random.Random(4)
+    base = words(rng, 150, 5000)
+    for copies in (40, 160):
+        texts = [list(base) for _ in range(copies)]
+        for own in texts:
+            for place in rng.sample(range(150), 4):
+                own[place] = f"x{rng.randrange(10**9)}"
+        docs = table(spark, [(k, " ".join(own), "en", "n") for k, own in enumerate(texts)])
+        held = ngram_join.repeated_only(ngram_join.signed(docs, 4, ngram_join.Classes(85)))
+        held = stored(held.withColumn("node", F.monotonically_increasing_id()), "held")
+        at_segments = ngram_join._met(held).groupBy("key").count().selectExpr("sum(count * (count - 1) / 2) AS pairs").first().pairs
+        alone = held.selectExpr("node", "node AS root")
+        deltas, rare = ngram_join.differences(docs, ngram_join.groups(held, alone), 4, 85)
+        assert deltas.count() > 0.9 * copies and at_segments > copies * (copies - 1) / 2
+        assert ngram_join.meetings(deltas, rare, ngram_join.rate(deltas), 85).count() < copies
+
+
 def test_join_of_empty_tables(spark):
     assert ngram_join.join_components(table(spark, [])).count() == 0
     blank = ngram_join.join_components(table(spark, [(1, None, "en", "a"), (2, "", "en", "a"), (2, " ", "en", "a")])).collect()
