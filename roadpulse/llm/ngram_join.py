@@ -26,6 +26,8 @@ their 64-bit hash, and the order is cut into fragments (vertical partitions), wh
   slack. Any other pair must share so many n-grams of A and B that it meets at one of the first of both, when each
   difference is read from its rarest n-gram on. Edits of their own put near copies far from each other there, and only
   pairs that meet are counted. Pairs still grow with the square of sets that share the same rare differences and do not link.
+* Driver. It holds filters of at most 32 MB, each until the table read through it is written. Joins deal both sides out by key, and
+  what is summed by a key is written before it is joined on that key, so that a large group can be split there.
 
 Sets and n-grams stand for themselves by hashes of 128 and 64 bits. Null, empty and blank texts have an empty set
 and are linked with nothing. Repeated rows and rows without doc_id are documents; a component without any doc_id
@@ -40,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.llm.components import connected_components
-from roadpulse.llm.frames import arrow_map, stored, texts_of
+from roadpulse.llm.frames import arrow_map, dealt, stored, texts_of
 from roadpulse.llm.grams import key_bits, mixed, passes
 
 WORDS = 4
@@ -172,7 +174,7 @@ def filter_bits(keys: int) -> int:
 
 
 def repeated_only(marked: DataFrame) -> DataFrame:
-    """One row per set with the keys that more than one row of `marked` has (and a few others)."""
+    """One row per set with the keys that more than one row of `marked` has (and a few others), numbered once, as written (`node`)."""
     counted = marked.select(F.explode(F.concat("own", "below")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
     many = stored(counted.where("rows > 1").select("g"), "repeated")
     shared = marked.sparkSession.sparkContext.broadcast(key_bits(many, filter_bits(many.count())))
@@ -190,7 +192,9 @@ def repeated_only(marked: DataFrame) -> DataFrame:
 
     sets = marked.drop("doc_id").where("size(own) + size(below) > 0")
     left = arrow_map(sets, keep, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sets.schema)).where("size(own) + size(below) > 0")
-    return left.dropDuplicates(["sid"])
+    held = stored(left.dropDuplicates(["sid"]).withColumn("node", F.monotonically_increasing_id()), "held")
+    shared.destroy()  # what is read again is written; the driver keeps no filter
+    return held
 
 
 def _differ(s: str, t: str) -> Column:
@@ -216,7 +220,7 @@ def _possible(held: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(one, two, a, b, sum): the pairs (one, two) of nodes that sizes and sketches leave possible, with hashes and the sum of the sizes."""
     own = held.select(F.col("node").alias("one"), F.col("sid").alias("a"), "n", F.col("sketch").alias("s"))
     other = held.select(F.col("node").alias("two"), F.col("sid").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("t"))
-    both = pairs.join(own, "one").join(other, "two").where(_may_link(_differ("s", "t"), percent))
+    both = pairs.join(dealt(own), "one").join(dealt(other), "two").where(_may_link(_differ("s", "t"), percent))
     return both.select("one", "two", "a", "b", (F.col("n") + F.col("m")).alias("sum"))
 
 
@@ -224,7 +228,7 @@ def central_pairs(held: DataFrame, percent: int) -> DataFrame:
     """Pairs as from `_possible`: at each key the first set of the key's own class with each other set there."""
     met = _met(held)
     centres = met.where("home").groupBy("key").agg(F.min("node").alias("one"))
-    pairs = met.join(centres, "key").where("node <> one").select("one", F.col("node").alias("two")).distinct()
+    pairs = met.join(dealt(centres), "key").where("node <> one").select("one", F.col("node").alias("two")).distinct()
     return _possible(held, pairs, percent)
 
 
@@ -264,7 +268,8 @@ def linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
 
     cuts = arrow_map(docs.select("text"), cut, "sid binary, fragment int, segment array<long>")
     segments = stored(cuts.dropDuplicates(["sid", "fragment"]), "segments")
-    of = lambda c: segments.select(F.col("sid").alias(c), "fragment", F.col("segment").alias(f"{c}_s"))
+    needed.destroy()
+    of = lambda c: dealt(segments.select(F.col("sid").alias(c), "fragment", F.col("segment").alias(f"{c}_s")))
     shared = F.size(F.array_intersect("a_s", "b_s"))
     counted = pairs.join(of("b"), "b").join(of("a"), ["a", "fragment"]).select("one", "two", "sum", shared.alias("shared"))
     both = counted.groupBy("one", "two", "sum").agg(F.sum("shared").alias("both"))
@@ -274,11 +279,11 @@ def linked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
 
 def groups(held: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, grp, sid, n, root): the sets at keys where more than one component is left; sets that meet there are in one group."""
-    rooted = stored(held.join(roots, "node", "left").select("node", "sid", "n", F.coalesce("root", "node").alias("root")), "rooted")
-    met = _met(held).join(rooted.select("node", "root"), "node")
+    rooted = stored(held.join(dealt(roots), "node", "left").select("node", "sid", "n", F.coalesce("root", "node").alias("root")), "rooted")
+    met = _met(held).join(dealt(rooted.select("node", "root")), "node")
     keys = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or("home").alias("own"), F.min("node").alias("a"))
-    spokes = met.join(keys.where("own AND low <> high").select("key", "a"), "key").select("a", F.col("node").alias("b"))
-    return stored(rooted.join(connected_components(spokes).withColumnRenamed("root", "grp"), "node"), "groups")
+    spokes = met.join(dealt(keys.where("own AND low <> high").select("key", "a")), "key").select("a", F.col("node").alias("b"))
+    return stored(rooted.join(dealt(connected_components(spokes).withColumnRenamed("root", "grp")), "node"), "groups")
 
 
 def differences(docs: DataFrame, grouped: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -292,17 +297,18 @@ def differences(docs: DataFrame, grouped: DataFrame, words: int, percent: int) -
         return {"sid": pa.array([sids[k] for k in held], pa.binary()), "grams": pa.array([sets[k].view(np.int64) for k in held], pa.list_(pa.int64()))}
 
     picked = arrow_map(docs.select("text"), pick, "sid binary, grams array<long>")
-    sets = stored(picked.dropDuplicates(["sid"]).join(grouped, "sid").drop("sid"), "sets")
-    sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("first"))
-    sized = sets.join(sizes, "grp")
+    sets = stored(picked.dropDuplicates(["sid"]).join(dealt(grouped), "sid").drop("sid"), "sets")
+    needed.destroy()
+    sizes = stored(grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("first")), "sizes")
+    sized = sets.join(dealt(sizes), "grp")
     several = sized.where("members > 2").select("grp", F.explode("grams").alias("g")).groupBy("grp", "g").agg(F.count(F.lit(1)).alias("times"))
-    times = several.where("times > 1").join(sizes, "grp").select("grp", "g", "times", "members", F.expr("2 * times > members").alias("most"))
+    times = several.where("times > 1").join(dealt(sizes), "grp").select("grp", "g", "times", "members", F.expr("2 * times > members").alias("most"))
     times = stored(times, "times")
     two = sized.where("members = 2 AND node = first").select("grp", F.col("grams").alias("middle"))  # one of two is the middle
     middles = times.where("most").groupBy("grp").agg(F.collect_list("g").alias("middle")).unionByName(two)
     middle = F.coalesce("middle", F.array().cast("array<long>"))
     delta = F.concat(F.array_except("grams", middle), F.array_except(middle, "grams"))
-    found = sets.join(middles, "grp", "left").select("node", "root", "grp", "n", delta.alias("delta"))
+    found = sets.join(dealt(middles), "grp", "left").select("node", "root", "grp", "n", delta.alias("delta"))
     slack = (100 - percent) * F.col("n") - (100 + percent) * F.size("delta")
     rare = times.select("grp", "g", F.expr("CASE WHEN most THEN members - times ELSE times END").alias("sets"))
     return stored(found.select("node", "root", "grp", "delta", slack.alias("slack")), "differences"), rare.where("sets > 1")
@@ -311,7 +317,8 @@ def differences(docs: DataFrame, grouped: DataFrame, words: int, percent: int) -
 def rate(deltas: DataFrame) -> DataFrame:
     """(node, root, grp, slack, hub, top, near): with the set of the largest slack of each group (`hub`, `top`), to which `near` sets are sure to link."""
     best = deltas.groupBy("grp").agg(F.max(F.struct("slack", "node")).alias("best"))
-    rated = deltas.drop("delta").join(best.select("grp", F.col("best.slack").alias("top"), F.col("best.node").alias("hub")), "grp")
+    best = stored(best.select("grp", F.col("best.slack").alias("top"), F.col("best.node").alias("hub")), "best")
+    rated = deltas.drop("delta").join(dealt(best), "grp")
     return stored(rated.withColumn("near", F.expr("slack + top >= 0")), "rated")
 
 
@@ -320,7 +327,7 @@ def meetings(deltas: DataFrame, rare: DataFrame, rated: DataFrame, percent: int)
 
     A pair is sought by the set of the smaller slack. `reach` is what the n-grams from one place on can add to the sum of the slacks.
     """
-    next_ = rated.where("NOT near").groupBy("grp").agg(F.max("slack").alias("next"))
+    next_ = stored(rated.where("NOT near").groupBy("grp").agg(F.max("slack").alias("next")), "next")
     needed = deltas.sparkSession.sparkContext.broadcast(key_bits(rare.select("g"), filter_bits(rare.count())))
 
     def keep(batch: pa.RecordBatch) -> dict:
@@ -332,17 +339,18 @@ def meetings(deltas: DataFrame, rare: DataFrame, rated: DataFrame, percent: int)
         return {"grp": batch.column("grp"), "node": batch.column("node"), "delta": _lists(rows[held], grams[held], len(lists))}
 
     kept = arrow_map(deltas.select("grp", "node", "delta"), keep, "grp long, node long, delta array<long>")
-    shared = kept.select("grp", "node", F.explode("delta").alias("g")).join(rare, ["grp", "g"])
-    listed = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("sets", "g"))).alias("list")).join(rated, "node").join(next_, "grp")
+    shared = kept.select("grp", "node", F.explode("delta").alias("g")).join(dealt(rare), ["grp", "g"])
+    listed = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("sets", "g"))).alias("list")).join(dealt(rated), "node").join(dealt(next_), "grp")
     own = ["grp", "node", "root", "slack", "near", "top", "next"]
     places = listed.select(*own, F.size("list").alias("size"), F.posexplode("list"))
     reach = 2 * (100 + percent) * (F.col("size") - F.col("pos"))
     places = stored(places.select(*own, F.col("col.g").alias("g"), reach.alias("reach")), "places")
+    needed.destroy()
     seeking = places.where("NOT near AND reach + slack + top >= 0").select("grp", "g", F.col("node").alias("one"), "root", "slack", "reach")
     sought = places.where("reach + slack + if(near, next, slack) >= 0").select(
         "grp", "g", F.col("node").alias("two"), F.col("root").alias("root_m"), F.col("slack").alias("slack_m"), F.col("reach").alias("reach_m"))
     once = "root <> root_m AND (slack < slack_m OR (slack = slack_m AND one < two)) AND least(reach, reach_m) + slack + slack_m >= 0"
-    return seeking.join(sought, ["grp", "g"]).where(once).select("one", "two")
+    return seeking.join(dealt(sought), ["grp", "g"]).where(once).select("one", "two")
 
 
 def group_links(deltas: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
@@ -350,7 +358,7 @@ def group_links(deltas: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
     rated = rate(deltas)
     sure = rated.where("near AND node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     pairs = stored(meetings(deltas, rare, rated, percent).distinct(), "met")
-    of = lambda node, d, s: deltas.select(F.col("node").alias(node), F.col("delta").alias(d), F.col("slack").alias(s))
+    of = lambda node, d, s: dealt(deltas.select(F.col("node").alias(node), F.col("delta").alias(d), F.col("slack").alias(s)))
     both = pairs.join(of("a", "d", "s"), pairs["one"] == F.col("a")).join(of("b", "e", "t"), pairs["two"] == F.col("b"))
     counted = both.where(2 * (100 + percent) * F.size(F.array_intersect("d", "e")) + F.col("s") + F.col("t") >= 0)
     return stored(sure.unionByName(counted.select("a", "b")), "group_links")
@@ -359,15 +367,15 @@ def group_links(deltas: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
 def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, its own included)."""
     marked = stored(signed(docs, words, Classes(percent)), "signed")
-    held = stored(repeated_only(marked).withColumn("node", F.monotonically_increasing_id()), "held")  # numbered once, as written
+    held = repeated_only(marked)
     near = linked(docs, central_pairs(held, percent), words, percent)
     roots = connected_components(near)
     more = group_links(*differences(docs, groups(held, roots), words, percent), percent)
     if not more.isEmpty():
         roots = connected_components(near.unionByName(more))
-    rooted = held.select("sid", "node").join(roots, "node").select("sid", "root")
-    texts = marked.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first")).join(rooted, "sid", "left")
-    smallest = texts.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("low"))
-    found = texts.join(smallest, "root", "left").select("sid", F.least("low", "first").alias("component_id"))
+    rooted = held.select("sid", "node").join(dealt(roots), "node").select("sid", "root")
+    texts = marked.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first")).join(dealt(rooted), "sid", "left")
+    smallest = stored(texts.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("low")), "smallest")
+    found = texts.join(dealt(smallest), "root", "left").select("sid", F.least("low", "first").alias("component_id"))
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return marked.join(found, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    return marked.join(dealt(found), "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
