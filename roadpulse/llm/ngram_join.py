@@ -297,14 +297,14 @@ def differences(docs: DataFrame, grouped: DataFrame, words: int, percent: int) -
         return {"sid": pa.array([sids[k] for k in held], pa.binary()), "grams": pa.array([sets[k].view(np.int64) for k in held], pa.list_(pa.int64()))}
 
     picked = arrow_map(docs.select("text"), pick, "sid binary, grams array<long>")
-    sets = stored(picked.dropDuplicates(["sid"]).join(dealt(grouped), "sid").drop("sid"), "sets")
-    needed.destroy()
     sizes = stored(grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("first")), "sizes")
-    sized = sets.join(dealt(sizes), "grp")
-    several = sized.where("members > 2").select("grp", F.explode("grams").alias("g")).groupBy("grp", "g").agg(F.count(F.lit(1)).alias("times"))
+    sized = stored(grouped.join(dealt(sizes), "grp"), "sized")
+    sets = stored(picked.dropDuplicates(["sid"]).join(dealt(sized), "sid").drop("sid"), "sets")  # not dealt by group, so n-grams are below
+    needed.destroy()
+    several = sets.where("members > 2").select("grp", F.explode("grams").alias("g")).groupBy("grp", "g").agg(F.count(F.lit(1)).alias("times"))
     times = several.where("times > 1").join(dealt(sizes), "grp").select("grp", "g", "times", "members", F.expr("2 * times > members").alias("most"))
     times = stored(times, "times")
-    two = sized.where("members = 2 AND node = first").select("grp", F.col("grams").alias("middle"))  # one of two is the middle
+    two = sets.where("members = 2 AND node = first").select("grp", F.col("grams").alias("middle"))  # one of two is the middle
     middles = times.where("most").groupBy("grp").agg(F.collect_list("g").alias("middle")).unionByName(two)
     middle = F.coalesce("middle", F.array().cast("array<long>"))
     delta = F.concat(F.array_except("grams", middle), F.array_except(middle, "grams"))
